@@ -188,3 +188,38 @@ def corridor(medium: DataFrame, high: DataFrame, on: Sequence[str], value: str)
     return pair.withColumn("band_low", F.least("medium_value", "high_value")).withColumn(
         "band_high", F.greatest("medium_value", "high_value")
     )
+
+
+def resolve_names(df: DataFrame, folded: str, aliases: DataFrame, reference: DataFrame) -> DataFrame:
+    """Folded name -> alias if there is one -> (code, name); unmatched rows keep NULLs.
+
+    ``aliases``: alias, canonical (both folded); ``reference``: folded_name, code, name.
+    """
+    renamed = df.join(small_side(aliases), df[folded] == aliases["alias"], "left").withColumn(
+        "resolved_name", F.coalesce("canonical", folded)
+    )
+    return renamed.join(small_side(reference), F.col("resolved_name") == reference["folded_name"], "left").drop(
+        "alias", "canonical", "folded_name", "resolved_name"
+    )
+
+
+def feature_rows(
+    dynamic: DataFrame, static: DataFrame, on: str, features: Sequence[str], categorical: Sequence[str] = ()
+) -> DataFrame:
+    """Model inputs: the dynamic column where present, else the static one of that name.
+
+    Missing numbers stay NULL for the imputer; categories become text with the
+    missing marker. Sites lacking either side are left out.
+    """
+    from biotope.functions.text import fill_category
+
+    ids = [c for c in dynamic.columns if c not in features]
+    side = static.select(on, *[F.col(c).alias(f"static_{c}") for c in static.columns if c in features])
+    joined = dynamic.join(small_side(side), on)
+
+    def pick(name: str) -> Column:
+        found = [F.col(c) for c in (name, f"static_{name}") if c in joined.columns]
+        value = F.coalesce(*found)
+        return fill_category(value.cast("string")) if name in categorical else value.cast("double")
+
+    return joined.select(*ids, *[pick(f).alias(f) for f in features])

@@ -8,15 +8,20 @@ crowded square costs no extra shuffle.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biotope.session import small_side
 
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def with_edges(polygons: DataFrame, site: str, rings: str) -> DataFrame:
     """(site, part) with its edges and bounding box from closed rings of ``struct<x, y>``.

@@ -6,11 +6,13 @@ what leaves the aggregate is one k x k matrix per fold, solved with numpy.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from biotope.session import small_side
 
 SMALLEST_SCALE = 1e-12
 
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class RidgeModel:

@@ -65,7 +65,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     jdf = getattr(df, "_jdf", None)
     if jdf is None:
         return None
-    return int(jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small_side(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
