@@ -14,6 +14,7 @@ from biotope.operators.ordering import (
     average_rank,
     ordered_totals,
     quantile_bins,
+    quantile_columns,
     value_prefix,
 )
 
@@ -172,14 +173,13 @@ def calibration(df: DataFrame, truth: str, score: str, bins: int = 10, groups: S
     )
 
 
-def binned_dependence(df: DataFrame, feature: str, effect: str, bins: int = 12) -> DataFrame:
-    """Mean feature and median effect per quantile bin.
+def binned_dependence(df: DataFrame, feature: str, effect: str, bins: int = 12, least: int = 4) -> DataFrame:
+    """Mean feature and median effect per quantile bin; no rows below ``least`` distinct values.
 
     The medians come from running counts per bin, so a bin may hold most rows.
     """
-    from biotope.operators.ordering import quantile_columns
-
-    placed = quantile_bins(df, feature, bins)
+    distinct = df.select(feature).where(F.col(feature).isNotNull()).distinct().limit(bins).count()
+    placed = quantile_bins(df, feature, max(distinct, 1), lowest_joins_first=True).where(F.lit(distinct >= least))
     means = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"), F.avg(feature).alias("feature_mean"))
     medians = quantile_columns(placed, effect, {"effect_median": 0.5}, ["bin"])
     return means.join(medians, "bin")

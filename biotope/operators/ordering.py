@@ -16,8 +16,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotope.session import materialize
-
 MAX_BUCKETS = 1024
 MIN_BUCKETS = 16
 
@@ -216,20 +214,28 @@ def quantile_columns(
 
 
 def quantile_bins(
-    df: DataFrame, value: str, bins: int, groups: Sequence[str] = (), name: str = "bin", shrink: bool = True
+    df: DataFrame,
+    value: str,
+    bins: int,
+    groups: Sequence[str] = (),
+    name: str = "bin",
+    lowest_joins_first: bool = False,
 ) -> DataFrame:
     """Number of distinct inner quantile edges strictly below the value, from 0.
 
-    With ``shrink`` the bin count is lowered to the number of distinct values, as
-    the dependence report does. The edges (``bins`` - 1 per group) are the only
-    thing joined back.
+    Bins are closed on the right. With ``lowest_joins_first`` an edge equal to the
+    minimum is dropped, so that the minimum shares the first bin instead of forming
+    one. The edges (``bins`` + 1 per group at most) are the only thing joined back.
     """
     groups = list(groups)
-    edges = quantiles(df, value, [i / bins for i in range(1, bins)], groups)
+    probabilities = [i / bins for i in range(0 if lowest_joins_first else 1, bins)]
+    edges = quantiles(df, value, probabilities, groups)
     nested = edges.groupBy(*groups).agg(F.sort_array(F.collect_set("quantile")).alias("edges"))
     rows = df.where(F.col(value).isNotNull())
     placed = rows.join(nested, groups) if groups else rows.withColumn("edges", nested.select("edges").scalar())
     below = F.size(F.filter("edges", lambda e: e < F.col(value)))
+    if lowest_joins_first:
+        below = F.greatest(below - 1, F.lit(0))
     return placed.withColumn(name, below).drop("edges")
 
 
@@ -256,8 +262,3 @@ def percentile_scores(
         F.bround(100.0 * F.col("at_or_below") / F.col("reference_n"), 0).cast("int").alias(name),
     )
     return queries.join(scored, [*groups, value], "left")
-
-
-def stable(df: DataFrame, purpose: str) -> DataFrame:
-    """Materialize an expensive input before an operator that reads it more than once."""
-    return materialize(df, purpose)

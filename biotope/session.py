@@ -34,6 +34,13 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set the runtime options the results depend on (time zone) or profit from (adaptive execution)."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """New folder below the cluster's checkpoint directory.
 

@@ -26,6 +26,12 @@ def hourly_to_day(hourly: DataFrame, keys: Sequence[str], time: str = "time", la
     return days.agg(*hourly_aggregates()).withColumn("day", F.to_date("window.start")).drop("window")
 
 
+def hourly_to_day_from_hours(hours: DataFrame, keys: Sequence[str], time: str = "time") -> DataFrame:
+    """As ``hourly_to_day`` on hours that are themselves windows of the stream (their watermark applies)."""
+    days = hours.groupBy(F.window(time, "1 day"), *keys)
+    return days.agg(*hourly_aggregates()).withColumn("day", F.to_date("window.start")).drop("window")
+
+
 def day_to_week(daily: DataFrame, keys: Sequence[str], time: str = "day_start", lateness: str = LATENESS) -> DataFrame:
     """Week sums and means of cell-days; only weeks with all seven days are emitted.
 

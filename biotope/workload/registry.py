@@ -40,9 +40,9 @@ class Binding:
         body = self.sql.strip()
         ordered = relation_closure(self.needs)
         parts = ", ".join(f"{name} AS ({RELATION_SQL[name][1].strip()})" for name in ordered)
-        if body.upper().startswith("WITH "):
-            body = body[5:]
-            head = f"WITH {parts}, {body}" if parts else f"WITH {body}"
+        opening = "WITH RECURSIVE" if body.startswith("WITH RECURSIVE ") else "WITH"
+        if body.startswith(f"{opening} "):
+            head = f"{opening} {parts}, {body[len(opening):]}" if parts else body
         else:
             head = f"WITH {parts} {body}" if parts else body
         if not self.rounded:

@@ -1,7 +1,8 @@
 """Base relations of the workload: one Spark builder and one SQL text each.
 
 Counts and sums run on whole numbers (cents, percent points), so both sides give
-the same bits whatever the order of addition.
+the same bits whatever the order of addition. Units are scaled by divisors without
+finite decimals, which keeps later means off the exact halves of a rounding step.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ class Tables:
             F.min("l_quantity").alias("temp_min"),
             F.max("l_quantity").alias("temp_max"),
             (F.sum(cents(F.col("l_discount"))).cast("double") / F.count(F.lit(1)) * 10).alias("humid_mean"),
-            (F.sum(cents(F.col("l_extendedprice"))).cast("double") / 1000000).alias("rain_sum"),
+            (F.sum(cents(F.col("l_extendedprice"))).cast("double") / 990000).alias("rain_sum"),
         )
 
     @cached_property
@@ -93,7 +94,7 @@ class Tables:
         census = (year + F.pmod(year, F.lit(2))).alias("year")
         return self.order_sites.groupBy("site", census).agg(
             (F.count(F.lit(1)) * 1000).alias("population"),
-            (F.sum(cents(F.col("o_totalprice"))).cast("double") / F.count(F.lit(1)) / 100000).alias("density"),
+            (F.sum(cents(F.col("o_totalprice"))).cast("double") / F.count(F.lit(1)) / 99000).alias("density"),
         )
 
     @cached_property
@@ -101,7 +102,7 @@ class Tables:
         nation, region, supplier = self.table("nation"), self.table("region"), self.table("supplier")
         relief = supplier.groupBy("s_nationkey").agg(
             F.count(F.lit(1)).alias("stations"),
-            (F.sum(cents(F.col("s_acctbal"))).cast("double") / F.count(F.lit(1)) / 1000).alias("elevation_mean"),
+            (F.sum(cents(F.col("s_acctbal"))).cast("double") / F.count(F.lit(1)) / 990).alias("elevation_mean"),
             ((F.max(cents(F.col("s_acctbal"))) - F.min(cents(F.col("s_acctbal")))).cast("double") / 1000).alias(
                 "elevation_range"
             ),
@@ -136,13 +137,13 @@ class Tables:
             "cell_no",
             (F.lit(45) + F.col("cell_no") / 10).alias("latitude"),
             (F.lit(13) + F.col("cell_no") / 8).alias("longitude"),
-            (F.col("v") / 1000).alias("air_temperature_c"),
-            (F.col("h") / 100).alias("relative_humidity_pct"),
-            (F.col("r") / 500).alias("precipitation_mm"),
-            (F.col("v") / 2000).alias("soil_temperature_1_c"),
-            (F.col("v") / 4000).alias("soil_temperature_2_c"),
-            (F.col("h") / 20000).alias("soil_water_1"),
-            (F.col("h") / 40000).alias("soil_water_2"),
+            (F.col("v") / 990).alias("air_temperature_c"),
+            (F.col("h") / 101).alias("relative_humidity_pct"),
+            (F.col("r") / 510).alias("precipitation_mm"),
+            (F.col("v") / 1900).alias("soil_temperature_1_c"),
+            (F.col("v") / 3700).alias("soil_temperature_2_c"),
+            (F.col("h") / 21000).alias("soil_water_1"),
+            (F.col("h") / 41000).alias("soil_water_2"),
         )
         return hourly_grid(grid)
 
@@ -196,7 +197,7 @@ class Tables:
         return self.table("orders").groupBy(
             F.col("o_orderpriority").alias("scenario"), F.year("o_orderdate").alias("year")
         ).agg(
-            (F.sum(cents(F.col("o_totalprice"))).cast("double") / n / 1000000).alias("temp"),
+            (F.sum(cents(F.col("o_totalprice"))).cast("double") / n / 990000).alias("temp"),
             (F.sum(F.dayofmonth("o_orderdate")).cast("double") / n).alias("humidity"),
             (F.sum(F.month("o_orderdate")).cast("double") / n).alias("rain"),
             (F.sum(F.dayofyear("o_orderdate")).cast("double") / n).alias("soil"),
@@ -212,7 +213,7 @@ class Tables:
         return self.table("orders").groupBy(month.alias("month_start")).agg(
             n.alias("cases"),
             (F.count_if(F.col("o_orderstatus") == "F") * 1000.0 / n).alias("rate_a"),
-            (F.sum(cents(F.col("o_totalprice"))).cast("double") / n / 1000000).alias("temp"),
+            (F.sum(cents(F.col("o_totalprice"))).cast("double") / n / 990000).alias("temp"),
             (F.sum(F.dayofmonth("o_orderdate")).cast("double") / n).alias("rain"),
         ).select("*", F.year("month_start").alias("year"), F.month("month_start").alias("month"))
 
@@ -303,14 +304,14 @@ RELATION_SQL: dict[str, tuple[tuple[str, ...], str]] = {
           count(*) FILTER (WHERE l_returnflag = 'A') AS cases_b,
           avg(l_quantity) AS temp_mean, min(l_quantity) AS temp_min, max(l_quantity) AS temp_max,
           CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) * 10 AS humid_mean,
-          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 1000000 AS rain_sum
+          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 990000 AS rain_sum
         FROM lineitem JOIN order_sites ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     ),
     "yearly_site": (
         ("order_sites",),
         """SELECT site, CAST(year(order_day) + year(order_day) % 2 AS INTEGER) AS year,
           count(*) * 1000 AS population,
-          CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100000 AS density
+          CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 99000 AS density
         FROM order_sites GROUP BY 1, 2""",
     ),
     "static_site": (
@@ -319,7 +320,7 @@ RELATION_SQL: dict[str, tuple[tuple[str, ...], str]] = {
           stations, elevation_mean, elevation_range
         FROM nation JOIN region ON n_regionkey = r_regionkey
         LEFT JOIN (SELECT s_nationkey, count(*) AS stations,
-            CAST(sum(CAST(round(s_acctbal * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1000 AS elevation_mean,
+            CAST(sum(CAST(round(s_acctbal * 100) AS BIGINT)) AS DOUBLE) / count(*) / 990 AS elevation_mean,
             CAST(max(CAST(round(s_acctbal * 100) AS BIGINT)) - min(CAST(round(s_acctbal * 100) AS BIGINT)) AS DOUBLE)
               / 1000 AS elevation_range
           FROM supplier GROUP BY 1) AS relief ON n_nationkey = s_nationkey""",
@@ -327,9 +328,9 @@ RELATION_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "hourly": (
         (),
         """SELECT time, 45 + cell_no::DOUBLE / 10 AS latitude, 13 + cell_no::DOUBLE / 8 AS longitude,
-          v / 1000 AS air_temperature_c, h / 100 AS relative_humidity_pct, r / 500 AS precipitation_mm,
-          v / 2000 AS soil_temperature_1_c, v / 4000 AS soil_temperature_2_c,
-          h / 20000 AS soil_water_1, h / 40000 AS soil_water_2,
+          v / 990 AS air_temperature_c, h / 101 AS relative_humidity_pct, r / 510 AS precipitation_mm,
+          v / 1900 AS soil_temperature_1_c, v / 3700 AS soil_temperature_2_c,
+          h / 21000 AS soil_water_1, h / 41000 AS soil_water_2,
           printf('%.4f|%.4f', 45 + cell_no::DOUBLE / 10, 13 + cell_no::DOUBLE / 8) AS grid_key
         FROM (SELECT date_trunc('hour', ts) AS time,
             CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS INTEGER) AS cell_no,
@@ -368,7 +369,7 @@ RELATION_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "scenario_year": (
         (),
         """SELECT o_orderpriority AS scenario, CAST(year(o_orderdate) AS INTEGER) AS year,
-          CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1000000 AS temp,
+          CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 990000 AS temp,
           CAST(sum(day(o_orderdate)) AS DOUBLE) / count(*) AS humidity,
           CAST(sum(month(o_orderdate)) AS DOUBLE) / count(*) AS rain,
           CAST(sum(dayofyear(o_orderdate)) AS DOUBLE) / count(*) AS soil,
@@ -381,7 +382,7 @@ RELATION_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT *, CAST(year(month_start) AS INTEGER) AS year, CAST(month(month_start) AS INTEGER) AS month
         FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start, count(*) AS cases,
             count(*) FILTER (WHERE o_orderstatus = 'F') * 1000.0::DOUBLE / count(*) AS rate_a,
-            CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1000000 AS temp,
+            CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 990000 AS temp,
             CAST(sum(day(o_orderdate)) AS DOUBLE) / count(*) AS rain
           FROM orders GROUP BY 1) AS months""",
     ),
