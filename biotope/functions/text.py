@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tokens read as missing, and the category standing in for them.
 MISSING_TOKENS = ("", "nan", "na", "null", "none")
@@ -36,7 +37,7 @@ def fold_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[-/.()]", " "), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Full compatibility decomposition, for scripts beyond the Latin range of ``fold_name``."""
     for names in batches:

@@ -201,13 +201,18 @@ def pr_curve(df: DataFrame, truth: str, score: str, groups: Sequence[str] = ())
     )
 
 
+def correlation(first: str, second: str) -> Column:
+    """Pearson correlation, NULL when either side does not vary."""
+    return F.try_divide(F.covar_pop(first, second), F.stddev_pop(first) * F.stddev_pop(second))
+
+
 def spearman(df: DataFrame, first: str, second: str, groups: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of tie-averaged ranks."""
     groups = list(groups)
     once = average_rank(df, first, groups, "rank_a")
     twice = average_rank(once, second, groups, "rank_b")
     return twice.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("rows"), F.corr("rank_a", "rank_b").alias("spearman")
+        F.count(F.lit(1)).alias("rows"), correlation("rank_a", "rank_b").alias("spearman")
     )
 
 
@@ -219,7 +224,7 @@ def aggregate_fit(df: DataFrame, truth: str, prediction: str, split: str, period
     """R2 and correlation of the period totals of each split."""
     totals = period_totals(df, truth, prediction, [split, period])
     fit = regression_metrics(totals, "target_total", "prediction_total", [split]).select(split, "r2")
-    correlation = totals.groupBy(split).agg(
-        F.count(F.lit(1)).alias("periods"), F.corr("target_total", "prediction_total").alias("correlation")
+    correlations = totals.groupBy(split).agg(
+        F.count(F.lit(1)).alias("periods"), correlation("target_total", "prediction_total").alias("correlation")
     )
-    return correlation.join(fit, split)
+    return correlations.join(fit, split)

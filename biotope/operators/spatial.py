@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from biotope.session import small_side
 
@@ -145,7 +146,7 @@ def ring_in_box_area(ring: np.ndarray, x0: float, y0: float, x1: float, y1: floa
     return 0.5 * abs(float(np.dot(xs, np.roll(ys, -1)) - np.dot(ys, np.roll(xs, -1))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def box_overlap_area(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     """Area of outer ring minus holes inside a box; columns: rings, x0, y0, x1, y1."""
     for rings, x0, y0, x1, y1 in batches:

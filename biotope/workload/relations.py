@@ -244,8 +244,8 @@ class Tables:
             "site_name",
             "week_start",
             split.alias("split"),
-            (F.col("cases_a") >= 2).cast("int").alias("target"),
-            (F.col("rain_sum") / (F.col("rain_sum") + 20)).alias("score"),
+            (F.col("cases_a") * 3 >= F.col("line_count")).cast("int").alias("target"),
+            (F.col("rain_sum") / (F.col("rain_sum") + F.col("line_count") * 5)).alias("score"),
         )
 
     @cached_property
@@ -400,7 +400,7 @@ RELATION_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT site, site_name, week_start,
           CASE WHEN year(week_start) <= 1999 THEN 'train' WHEN year(week_start) <= 2000 THEN 'validation'
             ELSE 'test' END AS split,
-          CAST(cases_a >= 2 AS INTEGER) AS target, rain_sum / (rain_sum + 20) AS score
+          CAST(cases_a * 3 >= line_count AS INTEGER) AS target, rain_sum / (rain_sum + line_count * 5) AS score
         FROM site_week JOIN static_site USING (site)""",
     ),
     "names": (
