@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from biotope.functions.rules import any_present
 from biotope.operators.windows import forward_fill, over_panel
-from biotope.session import small_side
+from biotope.session import measured
 
 
 def overlay_join(cells: DataFrame, overlay: DataFrame, key: str = "grid_key") -> DataFrame:
     """Every cell row with every site the cell overlaps."""
-    return cells.join(small_side(overlay), key)
+    return cells.join(measured(overlay, "overlay"), key)
 
 
 def static_join(panel: DataFrame, static: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Left many-to-one join; uniqueness and completeness are separate checks (``quality``)."""
-    return panel.join(small_side(static), on, "left")
+    return panel.join(static, on, "left")
 
 
 def asof_year(
@@ -27,13 +27,15 @@ def asof_year(
 ) -> DataFrame:
     """Newest annual row with source year not after the panel year.
 
-    The years of a site (as many as the calendar has) travel as one sorted array,
-    so the panel keeps its rows and no year pairs are formed.
+    The years of a site (as many as the calendar has, one row each after the first
+    aggregate) travel as one sorted array, so the panel keeps its rows and no year
+    pairs are formed. Repeated years are for ``duplicate_keys`` to report.
     """
-    history = annual.groupBy(site).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(year).alias("source_year"), *values))).alias("annual_rows")
+    yearly = annual.groupBy(site, year).agg(F.max(F.struct(*values)).alias("values"))
+    history = yearly.groupBy(site).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(year).alias("source_year"), "values.*"))).alias("annual_rows")
     )
-    joined = panel.join(small_side(history), site, "left")
+    joined = panel.join(history, site, "left")
     eligible = F.filter("annual_rows", lambda a: a["source_year"] <= F.col(year))
     newest = F.try_element_at(eligible, F.lit(-1))
     return (
@@ -58,7 +60,7 @@ def yearly_fill(
     filled = known.select(
         site, year, forward_fill(value, w).alias(value), forward_fill("known_year", w).alias(source_year)
     )
-    return panel.join(small_side(filled), [site, year], "left")
+    return panel.join(filled, [site, year], "left")
 
 
 def zero_filled(panel: DataFrame, counts: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -78,22 +80,22 @@ def enrich(panel: DataFrame, sources: Mapping[str, tuple[DataFrame, Sequence[str
     flags = []
     for name, (table, on) in sources.items():
         features = [c for c in table.columns if c not in on]
-        panel = panel.join(small_side(table), list(on), "left").withColumn(
+        panel = panel.join(table, list(on), "left").withColumn(
             f"has_{name}", any_present([F.col(c) for c in features]).cast("int")
         )
         flags.append(F.col(f"has_{name}"))
     return panel.withColumn("sources_present_count", sum(flags[1:], flags[0]))
 
 
-def missing_keys(expected: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys of ``expected`` absent from ``present``."""
-    return expected.select(*keys).distinct().join(present.select(*keys).distinct(), list(keys), "left_anti")
-
-
 def key_difference(expected: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
-    absent = missing_keys(expected, present, keys).withColumn("difference", F.lit("missing"))
-    surplus = missing_keys(present, expected, keys).withColumn("difference", F.lit("unexpected"))
-    return absent.unionByName(surplus)
+    """Keys on one side only, found in one aggregate over both sides."""
+    sides = expected.select(*keys, F.lit(1).alias("wanted"), F.lit(0).alias("seen")).unionByName(
+        present.select(*keys, F.lit(0).alias("wanted"), F.lit(1).alias("seen"))
+    )
+    flags = sides.groupBy(*keys).agg(F.max("wanted").alias("wanted"), F.max("seen").alias("seen"))
+    return flags.where("wanted <> seen").select(
+        *keys, F.when(F.col("seen") == 0, "missing").otherwise("unexpected").alias("difference")
+    )
 
 
 def reference_effect(
@@ -108,7 +110,7 @@ def reference_effect(
     base = results.where(F.col(variant) == reference).select(
         *on, F.col(metric).alias(f"reference_{metric}")
     )
-    joined = results.where(F.col(variant) != reference).join(small_side(base), list(on), "left")
+    joined = results.where(F.col(variant) != reference).join(base, list(on), "left")
     gain = F.col(f"reference_{metric}") - F.col(metric)
     effect = F.when(F.col(kind) == "add", gain).otherwise(-gain)
     share = F.when(F.col(f"reference_{metric}") != 0, effect / F.col(f"reference_{metric}") * 100.0)
@@ -118,7 +120,7 @@ def reference_effect(
 def climatology_anomaly(panel: DataFrame, climatology: DataFrame, month: str, columns: Sequence[str]) -> DataFrame:
     """Value minus the mean of its calendar month; the climatology has 12 rows."""
     norms = climatology.select(month, *[F.col(c).alias(f"{c}_norm") for c in columns])
-    joined = panel.join(small_side(norms), month)
+    joined = panel.join(norms, month)
     return joined.select(
         *panel.columns, *[(F.col(c) - F.col(f"{c}_norm")).alias(f"{c}_anomaly") for c in columns]
     )
@@ -168,7 +170,7 @@ def constant_anchors(
         *[F.avg(v).alias(f"{v}_anchor_q4_mean") for v in values],
     )
     same = last.select(*keys, "month", *[F.col(v).alias(f"{v}_same_month_last_year") for v in values])
-    return future.join(small_side(annual), keys).join(small_side(same), [*keys, "month"])
+    return future.join(annual, keys).join(same, [*keys, "month"])
 
 
 def prediction_truth(
@@ -195,10 +197,11 @@ def resolve_names(df: DataFrame, folded: str, aliases: DataFrame, reference: Dat
 
     ``aliases``: alias, canonical (both folded); ``reference``: folded_name, code, name.
     """
-    renamed = df.join(small_side(aliases), df[folded] == aliases["alias"], "left").withColumn(
+    aliases, reference = measured(aliases, "aliases"), measured(reference, "reference")
+    renamed = df.join(aliases, df[folded] == aliases["alias"], "left").withColumn(
         "resolved_name", F.coalesce("canonical", folded)
     )
-    return renamed.join(small_side(reference), F.col("resolved_name") == reference["folded_name"], "left").drop(
+    return renamed.join(reference, F.col("resolved_name") == reference["folded_name"], "left").drop(
         "alias", "canonical", "folded_name", "resolved_name"
     )
 
@@ -215,7 +218,7 @@ def feature_rows(
 
     ids = [c for c in dynamic.columns if c not in features]
     side = static.select(on, *[F.col(c).alias(f"static_{c}") for c in static.columns if c in features])
-    joined = dynamic.join(small_side(side), on)
+    joined = dynamic.join(side, on)
 
     def pick(name: str) -> Column:
         found = [F.col(c) for c in (name, f"static_{name}") if c in joined.columns]

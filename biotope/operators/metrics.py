@@ -17,6 +17,7 @@ from biotope.operators.ordering import (
     quantile_columns,
     value_prefix,
 )
+from biotope.session import materialize, measured
 
 THRESHOLD = 0.5
 
@@ -24,24 +25,17 @@ THRESHOLD = 0.5
 def regression_metrics(df: DataFrame, truth: str, prediction: str, groups: Sequence[str] = ()) -> DataFrame:
     """RMSE, MAE, mean target and R2 = 1 - SSE / SST (1 when the target does not vary).
 
-    The mean is joined back per group before the squares are summed; the one-pass
-    sum of squares cancels badly for large targets.
+    SST comes from the population variance, which Spark merges from central moments;
+    so one pass suffices and large targets do not cancel.
     """
-    y, error = F.col(truth), F.col(truth) - F.col(prediction)
-    groups = list(groups)
-    means = df.groupBy(*groups).agg(F.avg(truth).alias("mean_target"))
-    if groups:
-        centred = df.join(means, groups)
-    else:
-        centred = df.withColumn("mean_target", means.scalar())
-    sst = F.sum((y - F.col("mean_target")) * (y - F.col("mean_target")))
-    sse = F.sum(error * error)
-    return centred.groupBy(*groups).agg(
+    error = F.col(truth) - F.col(prediction)
+    mse, variance = F.avg(error * error), F.var_pop(truth)
+    return df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sqrt(F.avg(error * error)).alias("rmse"),
+        F.sqrt(mse).alias("rmse"),
         F.avg(F.abs(error)).alias("mae"),
-        F.first("mean_target").alias("mean_target"),
-        F.when(sst == 0, 1.0).otherwise(1.0 - F.try_divide(sse, sst)).alias("r2"),
+        F.avg(truth).alias("mean_target"),
+        F.when(variance == 0, 1.0).otherwise(1.0 - F.try_divide(mse, variance)).alias("r2"),
     )
 
 
@@ -112,10 +106,11 @@ def roc_auc(df: DataFrame, truth: str, score: str, groups: Sequence[str] = ()) -
 
 
 def precision_terms(
-    df: DataFrame, truth: str, score: str, tie: str, groups: Sequence[str] = ()
+    df: DataFrame, truth: str, score: str, tie: str, groups: Sequence[str] = (), staged: bool = False
 ) -> DataFrame:
     """Running positives and precision at every row by score descending, then id."""
-    ranked = ordered_totals(df, score, tie, groups, {"positives_so_far": (F.col(truth) == 1).cast("int")})
+    sums = {"positives_so_far": (F.col(truth) == 1).cast("int")}
+    ranked = ordered_totals(df, score, tie, groups, sums, staged=staged)
     return ranked.withColumn("precision_at", F.col("positives_so_far") / F.col("position"))
 
 
@@ -131,16 +126,20 @@ def average_precision(
     )
 
 
+def group_sizes(rows: DataFrame, truth: str, groups: Sequence[str]) -> DataFrame:
+    positive = (F.col(truth) == 1).cast("int")
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_rows"), F.avg(positive).alias("prevalence"))
+    return measured(sizes, "sizes")
+
+
 def cumulative_gain(
     df: DataFrame, truth: str, score: str, tie: str, groups: Sequence[str], largest_fraction: float = 0.2
 ) -> DataFrame:
     """Running positives, precision and lift over the highest-scored fraction of each group."""
     groups = list(groups)
-    ranked = precision_terms(df, truth, score, tie, groups)
-    sizes = df.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("group_rows"), F.avg((F.col(truth) == 1).cast("int")).alias("prevalence")
-    )
-    joined = ranked.join(sizes, groups)
+    rows = materialize(df, "gain_rows")
+    ranked = precision_terms(rows, truth, score, tie, groups, staged=True)
+    joined = ranked.join(group_sizes(rows, truth, groups), groups)
     return joined.withColumn("fraction", F.col("position") / F.col("group_rows")).withColumn(
         "lift", F.try_divide(F.col("precision_at"), F.col("prevalence"))
     ).where(F.col("fraction") <= largest_fraction)
@@ -151,16 +150,16 @@ def top_fraction(
 ) -> DataFrame:
     """Precision and lift of the first max(1, floor(n * fraction)) rows."""
     groups = list(groups)
-    ranked = ordered_totals(df, score, tie, groups)
+    rows = materialize(df, "top_rows")
+    ranked = ordered_totals(rows, score, tie, groups, staged=True)
     positive = (F.col(truth) == 1).cast("int")
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_rows"), F.avg(positive).alias("prevalence"))
-    joined = ranked.join(sizes, groups).where(
+    joined = ranked.join(group_sizes(rows, truth, groups), groups).where(
         F.col("position") <= F.greatest(F.lit(1), F.floor(F.col("group_rows") * fraction))
     )
     return joined.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("top_rows"),
         F.avg(positive).alias("top_precision"),
-        F.try_divide(F.avg(positive), F.first("prevalence")).alias("top_lift"),
+        F.try_divide(F.avg(positive), F.max("prevalence")).alias("top_lift"),
     )
 
 
@@ -178,8 +177,10 @@ def binned_dependence(df: DataFrame, feature: str, effect: str, bins: int = 12,
 
     The medians come from running counts per bin, so a bin may hold most rows.
     """
-    distinct = df.select(feature).where(F.col(feature).isNotNull()).distinct().limit(bins).count()
-    placed = quantile_bins(df, feature, max(distinct, 1), lowest_joins_first=True).where(F.lit(distinct >= least))
+    rows = materialize(df.where(F.col(feature).isNotNull()), "dependence")
+    distinct = rows.select(feature).distinct().limit(bins).count()
+    placed = quantile_bins(rows, feature, max(distinct, 1), lowest_joins_first=True, staged=True)
+    placed = placed.where(F.lit(distinct >= least))
     means = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"), F.avg(feature).alias("feature_mean"))
     medians = quantile_columns(placed, effect, {"effect_median": 0.5}, ["bin"])
     return means.join(medians, "bin")
@@ -190,8 +191,10 @@ def pr_curve(df: DataFrame, truth: str, score: str, groups: Sequence[str] = ())
     groups = list(groups)
     positive = (F.col(truth) == 1).cast("int")
     cells = value_prefix(df, score, groups, {"positives": positive}, descending=True)
-    totals = df.where(F.col(score).isNotNull()).groupBy(*groups).agg(F.sum(positive).alias("all_positives"))
-    joined = cells.join(totals, groups) if groups else cells.withColumn("all_positives", totals.scalar())
+    totals = cells.groupBy(*groups).agg(F.sum("positives").alias("all_positives"))
+    joined = cells.join(measured(totals, "totals"), groups) if groups else cells.withColumn(
+        "all_positives", totals.scalar()
+    )
     found = F.col("positives_before") + F.col("positives")
     return joined.select(
         *groups,

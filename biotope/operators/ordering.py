@@ -6,6 +6,10 @@ first. Equal values share a bucket, so sums inside a bucket plus the totals of
 the buckets before it are exact whatever the cuts are; the cuts only decide how
 even the tasks are. Rows are pre-aggregated to one cell per distinct value, which
 also absorbs heavily tied values.
+
+The cuts are sampled in a job of their own, as a range sort would do. The rows are
+therefore written once to the shared folder, narrowed to what is needed, unless the
+caller says they are ``staged`` already.
 """
 
 from __future__ import annotations
@@ -16,7 +20,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 1024
+from biotope.session import materialize, measured
+
+MAX_BUCKETS = 8192
 MIN_BUCKETS = 16
 
 
@@ -80,6 +86,7 @@ def value_prefix(
     groups: Sequence[str] = (),
     sums: Mapping[str, Column] | None = None,
     descending: bool = False,
+    staged: bool = False,
 ) -> DataFrame:
     """One row per group and distinct value with ``n``, the sums, and the totals before it.
 
@@ -87,11 +94,10 @@ def value_prefix(
     """
     groups = list(groups)
     sums = dict(sums or {})
-    rows = df.where(F.col(value).isNotNull())
+    rows = df.where(F.col(value).isNotNull()).select(*groups, value, *[c.alias(s) for s, c in sums.items()])
+    rows = rows if staged else materialize(rows, "values")
     cuts = value_cuts(rows, value)[value]
-    cells = rows.groupBy(*groups, value).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(s) for s, c in sums.items()]
-    )
+    cells = rows.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in sums])
     cells = with_bucket(cells, value, cuts, "value_bucket")
     prefix = _prefix(
         cells, groups, "value_bucket", [_directed(value, descending)], ["n", *sums], descending
@@ -101,9 +107,10 @@ def value_prefix(
 
 def average_rank(df: DataFrame, value: str, groups: Sequence[str] = (), name: str = "avg_rank") -> DataFrame:
     """Rank from 1, ties sharing the mean of their positions."""
-    cells = value_prefix(df, value, groups)
+    rows = materialize(df, "ranked")
+    cells = value_prefix(rows, value, groups, staged=True)
     ranks = cells.select(*groups, value, (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(name))
-    return df.join(ranks, [*groups, value], "left")
+    return rows.join(ranks, [*groups, value], "left")
 
 
 def ordered_totals(
@@ -113,6 +120,7 @@ def ordered_totals(
     groups: Sequence[str] = (),
     sums: Mapping[str, Column] | None = None,
     rank_name: str = "position",
+    staged: bool = False,
 ) -> DataFrame:
     """Row position by score descending, then ``tie`` ascending, with inclusive running sums.
 
@@ -124,6 +132,7 @@ def ordered_totals(
     rows = df.where(F.col(score).isNotNull()).select(
         "*", *[c.alias(f"{s}_term") for s, c in sums.items()]
     )
+    rows = rows if staged else materialize(rows, "ordered")
     cuts = value_cuts(rows, score, tie)
     rows = with_bucket(rows, tie, cuts[tie], "tie_bucket")
     keys = [*groups, score, "tie_bucket"]
@@ -155,7 +164,7 @@ def ordered_totals(
 
 
 def quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = ()
+    df: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = (), staged: bool = False
 ) -> DataFrame:
     """Exact quantiles, linear on (n - 1) * p: one row per group and probability.
 
@@ -163,34 +172,23 @@ def quantiles(
     picked from the running counts instead of collecting the group's values.
     """
     groups = list(groups)
-    cells = value_prefix(df, value, groups).select(*groups, value, "n", "n_before")
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("group_n"))
-    wanted = sizes.select(
-        *groups, "group_n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
-    ).withColumn("place", (F.col("group_n") - 1) * F.col("p"))
-    on = groups or None
-    # few probabilities per group: the wanted places are nested so that the big side keeps its rows
-    places = wanted.groupBy(*groups).agg(F.collect_list(F.struct("p", "place")).alias("places"))
-    if on:
-        located = cells.join(places, on)
+    cells = value_prefix(df, value, groups, staged=staged).select(*groups, value, "n", "n_before")
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    places = cells.groupBy(*groups).agg(F.sum("n").alias("group_n")).select(
+        *groups,
+        F.transform(wanted, lambda p: F.struct(p.alias("p"), ((F.col("group_n") - 1) * p).alias("place"))).alias("places"),
+    )
+    # one short row per group meets the cells
+    if groups:
+        located = cells.join(measured(places, "places"), groups)
     else:
-        nested = places.select("places").scalar()
-        located = cells.withColumn("places", nested)
+        located = cells.withColumn("places", places.scalar())
 
     def covers(index: Column) -> Column:
         return (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
 
-    hits = located.select(
-        *groups,
-        value,
-        "n",
-        "n_before",
-        F.explode(
-            F.filter(
-                "places", lambda q: covers(F.floor(q["place"])) | covers(F.ceil(q["place"]))
-            )
-        ).alias("q"),
-    ).select(*groups, value, "n", "n_before", F.col("q.p").alias("p"), F.col("q.place").alias("place"))
+    near = F.filter("places", lambda q: covers(F.floor(q["place"])) | covers(F.ceil(q["place"])))
+    hits = located.select(*groups, value, "n", "n_before", F.inline(near))
     found = hits.groupBy(*groups, "p", "place").agg(
         F.max(F.when(covers(F.floor("place")), F.col(value))).alias("lower_value"),
         F.max(F.when(covers(F.ceil("place")), F.col(value))).alias("upper_value"),
@@ -220,6 +218,7 @@ def quantile_bins(
     groups: Sequence[str] = (),
     name: str = "bin",
     lowest_joins_first: bool = False,
+    staged: bool = False,
 ) -> DataFrame:
     """Number of distinct inner quantile edges strictly below the value, from 0.
 
@@ -229,10 +228,11 @@ def quantile_bins(
     """
     groups = list(groups)
     probabilities = [i / bins for i in range(0 if lowest_joins_first else 1, bins)]
-    edges = quantiles(df, value, probabilities, groups)
+    rows = df if staged else materialize(df, "binned")
+    edges = quantiles(rows, value, probabilities, groups, staged=True)
     nested = edges.groupBy(*groups).agg(F.sort_array(F.collect_set("quantile")).alias("edges"))
-    rows = df.where(F.col(value).isNotNull())
-    placed = rows.join(nested, groups) if groups else rows.withColumn("edges", nested.select("edges").scalar())
+    kept = rows.where(F.col(value).isNotNull())
+    placed = kept.join(measured(nested, "edges"), groups) if groups else kept.withColumn("edges", nested.scalar())
     below = F.size(F.filter("edges", lambda e: e < F.col(value)))
     if lowest_joins_first:
         below = F.greatest(below - 1, F.lit(0))
@@ -244,16 +244,15 @@ def percentile_scores(
 ) -> DataFrame:
     """Half-even rounded share (0-100) of reference values not above each query value."""
     groups = list(groups)
+    rows = materialize(queries, "queries")
     both = reference.select(*groups, value, F.lit(1).alias("counted")).unionByName(
-        queries.select(*groups, value, F.lit(0).alias("counted"))
+        rows.select(*groups, value, F.lit(0).alias("counted"))
     )
     cells = value_prefix(both, value, groups, {"held": F.col("counted")})
-    sizes = reference.where(F.col(value).isNotNull()).groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("reference_n")
-    )
+    sizes = cells.groupBy(*groups).agg(F.sum("held").alias("reference_n"))
     held = cells.withColumn("at_or_below", F.col("held_before") + F.col("held"))
     if groups:
-        held = held.join(sizes, groups)
+        held = held.join(measured(sizes, "sizes"), groups)
     else:
         held = held.withColumn("reference_n", sizes.scalar())
     scored = held.select(
@@ -261,4 +260,4 @@ def percentile_scores(
         value,
         F.bround(100.0 * F.col("at_or_below") / F.col("reference_n"), 0).cast("int").alias(name),
     )
-    return queries.join(scored, [*groups, value], "left")
+    return rows.join(scored, [*groups, value], "left")

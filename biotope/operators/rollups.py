@@ -95,11 +95,14 @@ def area_weighted_site_day(cell_days: DataFrame, overlay: DataFrame, key: str =
 def site_day_to_week(
     daily: DataFrame, keys: Sequence[str] = ("site",), first_day: str = "MON", keep_partial: bool = False
 ) -> DataFrame:
-    """Site-week measures; weeks without seven distinct days are dropped unless asked for."""
+    """Site-week measures; weeks without seven days are dropped unless asked for.
+
+    ``daily`` has one row per key and day, so counting rows counts days.
+    """
     rain, humid, active = F.col("rain_sum"), F.col("humid_hours_80"), F.col("activity_hours")
     flags = day_flags(rain, humid, active)
     weekly = daily.groupBy(week_start(F.col("day"), first_day).alias("week_start"), *keys).agg(
-        F.count_distinct("day").alias("observation_days"),
+        F.count("day").alias("observation_days"),
         F.avg("temperature_mean").alias("temperature_mean"),
         F.min("temperature_mean").alias("temperature_min"),
         F.max("temperature_mean").alias("temperature_max"),
@@ -399,10 +402,14 @@ def reconcile_totals(long: DataFrame, row: str, period: str, value: str) -> Data
 
 
 def dimension_counts(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """Rows per value of each single dimension, stacked."""
+    """Rows per value of each single dimension, stacked.
+
+    Rows are first counted per combination, so the grouping sets expand combinations.
+    """
     sets = [[d] for d in dimensions]
-    counted = df.groupingSets(sets, *dimensions).agg(
-        F.count(F.lit(1)).alias("rows"), F.grouping_id(*dimensions).alias("which")
+    combined = df.groupBy(*dimensions).agg(F.count(F.lit(1)).alias("rows"))
+    counted = combined.groupingSets(sets, *dimensions).agg(
+        F.sum("rows").alias("rows"), F.grouping_id(*dimensions).alias("which")
     )
     width = len(dimensions)
     codes = {d: (2**width - 1) ^ (1 << (width - 1 - i)) for i, d in enumerate(dimensions)}

@@ -18,14 +18,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biotope.session import small_side
+from biotope.session import measured
 
 # executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+BOX = ("x_min", "x_max", "y_min", "y_max")
+
+
+def with_box(polygons: DataFrame, rings: str) -> DataFrame:
+    """Bounding box of the outer ring."""
+    outer = F.get(rings, F.lit(0))
+    xs, ys = F.transform(outer, lambda p: p["x"]), F.transform(outer, lambda p: p["y"])
+    return polygons.select(
+        "*",
+        F.array_min(xs).alias("x_min"),
+        F.array_max(xs).alias("x_max"),
+        F.array_min(ys).alias("y_min"),
+        F.array_max(ys).alias("y_max"),
+    )
+
+
 def with_edges(polygons: DataFrame, site: str, rings: str) -> DataFrame:
-    """(site, part) with its edges and bounding box from closed rings of ``struct<x, y>``.
+    """One row per polygon part: site, box and edges, from closed rings of ``struct<x, y>``.
 
     ``rings`` is ``array<array<struct<x,y>>>``: the outer ring and its holes.
     """
@@ -40,17 +56,8 @@ def with_edges(polygons: DataFrame, site: str, rings: str) -> DataFrame:
             ),
         )
 
-    edged = polygons.withColumn("edges", F.flatten(F.transform(rings, ring_edges)))
-    ends = F.flatten(F.array(F.transform("edges", lambda e: e["x1"]), F.transform("edges", lambda e: e["x2"])))
-    heights = F.flatten(F.array(F.transform("edges", lambda e: e["y1"]), F.transform("edges", lambda e: e["y2"])))
-    return edged.select(
-        site,
-        "edges",
-        F.array_min(ends).alias("x_min"),
-        F.array_max(ends).alias("x_max"),
-        F.array_min(heights).alias("y_min"),
-        F.array_max(heights).alias("y_max"),
-    )
+    boxed = with_box(polygons, rings)
+    return boxed.select(site, F.flatten(F.transform(rings, ring_edges)).alias("edges"), *BOX)
 
 
 def bucket(coordinate: Column, size: float) -> Column:
@@ -70,12 +77,35 @@ def inside(px: Column, py: Column, shape: Column) -> Column:
     return boxed & (F.size(F.filter(shape["edges"], crosses)) % 2 == 1)
 
 
+def over_buckets(shapes: DataFrame, size: float) -> DataFrame:
+    """One row per shape and square bucket its box overlaps."""
+    columns = shapes.select(
+        "*", F.explode(F.sequence(bucket(F.col("x_min"), size), bucket(F.col("x_max"), size))).alias("bx")
+    )
+    return columns.select(
+        "*", F.explode(F.sequence(bucket(F.col("y_min"), size), bucket(F.col("y_max"), size))).alias("by")
+    )
+
+
 def bucketed_shapes(shapes: DataFrame, site: str, size: float) -> DataFrame:
-    """Per square bucket the shapes whose box overlaps it, ordered by site."""
-    spread = shapes.select(
-        F.explode(F.sequence(bucket(F.col("x_min"), size), bucket(F.col("x_max"), size))).alias("bx"), "*"
-    ).select(F.explode(F.sequence(bucket(F.col("y_min"), size), bucket(F.col("y_max"), size))).alias("by"), "*")
-    shape = F.struct(F.col(site).alias("site"), "x_min", "x_max", "y_min", "y_max", "edges")
+    """Per square bucket the shapes whose box overlaps it, ordered by site.
+
+    A shape keeps only the edges a rightward ray from the bucket can cross: those
+    reaching into its height band and not wholly to its left.
+    """
+    margin = size * 1e-6  # a point on a bucket's rim may round into its neighbour
+    left, low = F.col("bx") * size - margin, F.col("by") * size - margin
+    high = (F.col("by") + 1) * size + margin
+
+    def reachable(e: Column) -> Column:
+        return (
+            (F.least(e["y1"], e["y2"]) <= high)
+            & (F.greatest(e["y1"], e["y2"]) >= low)
+            & (F.greatest(e["x1"], e["x2"]) >= left)
+        )
+
+    spread = over_buckets(shapes, size).withColumn("edges", F.filter("edges", reachable))
+    shape = F.struct(F.col(site).alias("site"), *BOX, "edges")
     return spread.groupBy("bx", "by").agg(F.sort_array(F.collect_list(shape)).alias("shapes"))
 
 
@@ -86,7 +116,7 @@ def locate(
 
     ``shapes`` comes from ``with_edges``; a multipolygon is several rows of one site.
     """
-    listed = small_side(bucketed_shapes(shapes, site, size))
+    listed = measured(bucketed_shapes(shapes, site, size), "shapes")
     placed = points.withColumn("bx", bucket(F.col(x), size)).withColumn("by", bucket(F.col(y), size))
     joined = placed.join(listed, ["bx", "by"], "left")
     hit = F.get(F.filter("shapes", lambda s: inside(F.col(x), F.col(y), s)), F.lit(0))["site"]
@@ -103,20 +133,23 @@ def zonal_pixels(
     return locate(usable, shapes, site, x, y, size).where("site is not null")
 
 
-def _clip_half_plane(xs: np.ndarray, ys: np.ndarray, inside_at, crossing) -> tuple[np.ndarray, np.ndarray]:
-    keep = inside_at(xs, ys)
-    nxt = np.roll(keep, -1)
-    out_x, out_y = [], []
-    for i in range(len(xs)):
-        j = (i + 1) % len(xs)
-        if keep[i]:
-            out_x.append(xs[i])
-            out_y.append(ys[i])
-        if keep[i] != nxt[i]:
-            cx, cy = crossing(xs[i], ys[i], xs[j], ys[j])
-            out_x.append(cx)
-            out_y.append(cy)
-    return np.asarray(out_x, dtype=float), np.asarray(out_y, dtype=float)
+def _clip(a: np.ndarray, b: np.ndarray, limit: float, upper: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Clip a ring by ``a <= limit`` (or ``>=``); ``b`` is the other coordinate.
+
+    Every edge yields its start if that is inside and the crossing if it leaves or
+    enters, in this order.
+    """
+    keep = a <= limit if upper else a >= limit
+    if keep.all():
+        return a, b
+    next_a, next_b = np.roll(a, -1), np.roll(b, -1)
+    crossing = keep != np.roll(keep, -1)
+    run = np.where(crossing, next_a - a, 1.0)
+    cut = b + (next_b - b) * (limit - a) / run
+    out_a = np.column_stack([a, np.full_like(a, limit)]).ravel()
+    out_b = np.column_stack([b, cut]).ravel()
+    wanted = np.column_stack([keep, crossing]).ravel()
+    return out_a[wanted], out_b[wanted]
 
 
 def ring_in_box_area(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
@@ -125,22 +158,10 @@ def ring_in_box_area(ring: np.ndarray, x0: float, y0: float, x1: float, y1: floa
     if len(xs) > 1 and xs[0] == xs[-1] and ys[0] == ys[-1]:
         xs, ys = xs[:-1], ys[:-1]
 
-    def at_x(limit):
-        return lambda ax, ay, bx, by: (limit, ay + (by - ay) * (limit - ax) / (bx - ax))
-
-    def at_y(limit):
-        return lambda ax, ay, bx, by: (ax + (bx - ax) * (limit - ay) / (by - ay), limit)
-
-    sides = (
-        (lambda x, y: x >= x0, at_x(x0)),
-        (lambda x, y: x <= x1, at_x(x1)),
-        (lambda x, y: y >= y0, at_y(y0)),
-        (lambda x, y: y <= y1, at_y(y1)),
-    )
-    for inside_at, crossing in sides:
-        if len(xs) == 0:
-            return 0.0
-        xs, ys = _clip_half_plane(xs, ys, inside_at, crossing)
+    for limit, upper in ((x0, False), (x1, True)):
+        xs, ys = _clip(xs, ys, limit, upper)
+    for limit, upper in ((y0, False), (y1, True)):
+        ys, xs = _clip(ys, xs, limit, upper)
     if len(xs) < 3:
         return 0.0
     return 0.5 * abs(float(np.dot(xs, np.roll(ys, -1)) - np.dot(ys, np.roll(xs, -1))))
@@ -175,28 +196,23 @@ def polygon_area(rings: Column) -> Column:
 
 
 def grid_overlay(polygons: DataFrame, cells: DataFrame, site: str, rings: str, size: float) -> DataFrame:
-    """Site x cell intersection areas, weights and coverage.
+    """Site x cell intersection areas, weights and coverage; parts of a site add up.
 
-    ``cells``: cell, x_min, x_max, y_min, y_max of a regular grid of step ``size``;
-    a polygon meets only cells in the buckets of its box, so candidates come from
-    an equi join and the clip runs on those pairs alone.
+    ``cells``: cell, x_min, x_max, y_min, y_max of a regular grid of step ``size``.
+    A polygon meets only cells in the buckets of its box, so the candidates come
+    from an equi join and the clip runs on those pairs alone.
     """
-    shapes = with_edges(polygons, site, rings).select(site, "x_min", "x_max", "y_min", "y_max")
-    boxed = polygons.select(site, rings).join(
-        shapes.withColumnsRenamed({c: f"s_{c}" for c in ("x_min", "x_max", "y_min", "y_max")}), site
-    )
-    spread = boxed.select(
-        F.explode(F.sequence(bucket(F.col("s_x_min"), size), bucket(F.col("s_x_max"), size))).alias("bx"), "*"
-    ).select(F.explode(F.sequence(bucket(F.col("s_y_min"), size), bucket(F.col("s_y_max"), size))).alias("by"), "*")
+    parts = with_box(polygons.select(site, rings), rings)
+    places = over_buckets(parts, size).drop(*BOX)
     middle_x, middle_y = (F.col("x_min") + F.col("x_max")) / 2, (F.col("y_min") + F.col("y_max")) / 2
     placed = cells.withColumn("bx", bucket(middle_x, size)).withColumn("by", bucket(middle_y, size))
-    pairs = spread.join(placed, ["bx", "by"])
-    cut = pairs.withColumn("intersection_area", box_overlap_area(rings, "x_min", "y_min", "x_max", "y_max"))
-    kept = cut.where("intersection_area > 0").withColumn("site_area", polygon_area(F.col(rings)))
+    pairs = places.join(placed, ["bx", "by"])
+    cut = pairs.select(site, "cell", box_overlap_area(rings, "x_min", "y_min", "x_max", "y_max").alias("area"))
+    kept = cut.groupBy(site, "cell").agg(F.sum("area").alias("intersection_area")).where("intersection_area > 0")
+    areas = polygons.groupBy(site).agg(F.sum(polygon_area(F.col(rings))).alias("site_area"))
     covered = kept.groupBy(site).agg(F.sum("intersection_area").alias("covered_area"))
     return (
-        kept.select(site, "cell", "intersection_area", "site_area")
-        .join(covered, site)
+        kept.join(covered.join(areas, site), site)
         .withColumn("cell_weight", F.col("intersection_area") / F.col("covered_area"))
         .withColumn("coverage", F.col("covered_area") / F.col("site_area"))
     )

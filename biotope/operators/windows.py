@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biotope.session import measured
+
 
 def over_panel(site: str | Sequence[str], period: str):
     keys = [site] if isinstance(site, str) else list(site)
@@ -78,7 +80,7 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
 def inverse_group_weight(df: DataFrame, group: str, name: str = "row_weight") -> DataFrame:
     """1 / rows of the group, from a pre-aggregated count instead of a window over the group."""
     sizes = df.groupBy(group).agg((F.lit(1.0) / F.count(F.lit(1))).alias(name))
-    return df.join(sizes, group)
+    return df.join(measured(sizes, "sizes"), group)
 
 
 def deaccumulate(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from biotope.functions.rules import nonnegative
 from biotope.operators.splits import expanding_folds
-from biotope.session import small_side
+from biotope.session import materialize, measured
 
 SMALLEST_SCALE = 1e-12
 
@@ -58,7 +58,7 @@ def gram_sums(
         F.array(*[F.sum(w * F.col(c)) / F.sum(w) for c in columns]).alias("means"),
     )
     if groups:
-        centred = df.join(small_side(means), groups)
+        centred = df.join(measured(means, "means"), groups)
     else:
         one = means.select(F.struct("*")).scalar()
         centred = df.withColumn("stats", one).select("*", "stats.weight_sum", "stats.means")
@@ -135,15 +135,16 @@ def alpha_scores(
     All folds and penalties run as one job: sums per fold, one small solve per
     (fold, penalty), and the validation rows scored against that coefficient table.
     """
-    folds = expanding_folds(df, year, fold_years)
+    rows = materialize(df.select(year, *features, target, *([weight] if weight else [])), "alpha_rows")
+    folds = expanding_folds(rows, year, fold_years)
     sums = gram_sums(folds.where("fold_role = 'train'"), features, target, weight, ["fold_year"])
     models = solve_folds(sums, alphas, "fold_year int")
-    rows = folds.where("fold_role = 'validate'").join(small_side(models), "fold_year")
+    held_out = folds.where("fold_role = 'validate'").join(measured(models, "models"), "fold_year")
     total = F.col("intercept")
     for i, name in enumerate(features):
         total = total + F.col("coefficients")[i] * F.col(name)
     error = F.col(target) - nonnegative(total)
-    scored = rows.groupBy("alpha", "fold_year").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    scored = held_out.groupBy("alpha", "fold_year").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
     grid = scored.groupBy("alpha").agg(F.avg("rmse").alias("mean_rmse"), F.count(F.lit(1)).alias("folds"))
     best = grid.agg(F.min_by(F.col("alpha"), F.struct("mean_rmse", "alpha"))).scalar()
     return grid.withColumn("selected", F.col("alpha") == best)

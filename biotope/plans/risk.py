@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from biotope.functions.rules import level, trend_label
 from biotope.operators.ordering import percentile_scores, quantile_columns
 from biotope.operators.windows import over_panel, top_per_key
-from biotope.session import small_side
+from biotope.session import materialize
 
 # The quantiles that part Low, Medium and High.
 LOW_QUANTILE = 1 / 3
@@ -61,7 +61,12 @@ def publish(holdout: DataFrame, rows: DataFrame, value: str) -> DataFrame:
 
 
 def snapshot(holdout: DataFrame, site: str, name: str, period: str, value: str, top: int = TOP_SITES) -> DataFrame:
-    """Latest test week of the holdout, scored and ranked; the first sites are marked."""
+    """Latest test week of the holdout, scored; the first sites get their position.
+
+    The holdout is read by the thresholds, the percentiles and the ranking, so it is
+    written once.
+    """
+    holdout = materialize(holdout.select(site, name, period, "split", value), "holdout")
     latest = holdout.where("split = 'test'").agg(F.max(period)).scalar()
     week = holdout.where((F.col("split") == "test") & (F.col(period) == latest))
     published = publish(holdout, week.select(site, name, period, value), value)
@@ -71,12 +76,14 @@ def snapshot(holdout: DataFrame, site: str, name: str, period: str, value: str,
 def mark_top(published: DataFrame, site: str, name: str, period: str, value: str, top: int) -> DataFrame:
     """Position among the first ``top`` sites of the period, NULL for the others."""
     first = top_per_key(published, [period], site_order("score", value, name), top, "top_position")
-    return published.join(small_side(first.select(site, period, "top_position")), [site, period], "left")
+    return published.join(first.select(site, period, "top_position"), [site, period], "left")
 
 
 def live_snapshot(holdout: DataFrame, weeks: DataFrame, site: str, name: str, period: str, value: str,
                   reference_week: Column, top: int = TOP_SITES) -> DataFrame:
     """Current and previous week of every site scored alike, with level and trend."""
+    holdout = materialize(holdout.select(value), "holdout")
+    weeks = materialize(weeks.select(site, name, period, value), "weeks")
     pair = weeks.where(F.col(period).between(F.date_sub(reference_week, 7), reference_week))
     published = publish(holdout, pair.select(site, name, period, value), value)
     w = over_panel(site, period)

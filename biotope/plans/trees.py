@@ -18,6 +18,7 @@ from biotope.functions.rules import REPORT_FAMILY_RULES, first_rule
 from biotope.functions.text import fill_category
 from biotope.operators.metrics import THRESHOLD
 from biotope.operators.splits import expanding_folds
+from biotope.session import measured
 
 SMALLEST_ITERATIONS = 25
 PARALLEL_FITS = 4
@@ -57,7 +58,7 @@ def prepared(df: DataFrame, spec: TreeSpec) -> DataFrame:
     shares = train.groupBy("label").agg(F.count(F.lit(1)).alias("class_n"))
     total = train.agg(F.count(F.lit(1))).scalar()
     classes = shares.select("label", (total / (2.0 * F.col("class_n"))).alias("class_weight"))
-    return rows.join(classes, "label", "left").withColumn(
+    return rows.join(measured(classes, "classes"), "label", "left").withColumn(
         "row_weight", w * F.coalesce("class_weight", F.lit(1.0))
     )
 

@@ -1,4 +1,4 @@
-"""Session, shared folder and size-checked broadcast helpers."""
+"""Session, shared folder, and tables written once for the jobs that read them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,7 +15,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-BROADCAST_LIMIT_BYTES = 32 << 20
+_own_folder: list[str] = []
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -45,12 +44,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """New folder below the cluster's checkpoint directory.
 
     The directory is the one named in ``spark.checkpoint.dir``; only where that
-    is unset, as in tests, a directory of our own is made and remembered.
+    is unset, as in tests, a directory of our own is made and kept for the process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="biotope-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="biotope-"))
+        base = _own_folder[0]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -67,19 +67,12 @@ def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer's size estimate, an upper bound for scans, filters and aggregates."""
-    jdf = getattr(df, "_jdf", None)
-    if jdf is None:
-        return None
-    return int(str(jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def measured(df: DataFrame, purpose: str = "side") -> DataFrame:
+    """Join side whose size Catalyst knows from its files instead of guessing it.
 
-
-def small_side(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the size estimate is below the limit.
-
-    Above it the hint is left out and adaptive execution decides from the
-    measured shuffle size (broadcast, or sort-merge with skew splitting).
+    Meant for per-group statistics and site-level tables joined to a row-level
+    table: below ``spark.sql.autoBroadcastJoinThreshold`` they are broadcast and the
+    rows stay where they are, above it the join shuffles and adaptive execution
+    splits hot keys. No hint is given anywhere.
     """
-    size = estimated_bytes(df)
-    return F.broadcast(df) if size is not None and size <= limit_bytes else df
+    return materialize(df, purpose)

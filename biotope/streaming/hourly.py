@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biotope.functions.weather import day_flags
 from biotope.operators.rollups import hourly_aggregates
-from biotope.session import shared_folder
 
 LATENESS = "6 hours"
 WEEK_OFFSET = "4 days"  # 1970-01-01 was a Thursday; weeks start on Monday
@@ -64,20 +63,23 @@ def dedupe(events: DataFrame, key: str, time: str, lateness: str = LATENESS) ->
     return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_table(stream: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
-    """Process everything available into a Parquet sink below the shared folder and read it.
+def data_folder(path: str) -> str:
+    return f"{path}/data"
 
-    The checkpoint sits beside the sink, so a restarted job continues exactly once.
+
+def run_to_table(stream: DataFrame, path: str) -> DataFrame:
+    """Process everything available into a Parquet sink below ``path`` and read it.
+
+    The checkpoint sits beside the sink: the same path continues where an earlier
+    run, or a lost driver, stopped, and writes each row once.
     """
-    spark: SparkSession = stream.sparkSession
-    path = path or shared_folder(spark, purpose)
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
-        .option("path", f"{path}/data")
+        .option("path", data_folder(path))
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/data")
+    return stream.sparkSession.read.schema(stream.schema).parquet(data_folder(path))

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from biotope.functions import calendar as cal
 from biotope.functions import rules
 from biotope.operators import joins, rollups, spatial, windows
-from biotope.plans import risk
 from biotope.workload.registry import bind
 
 
@@ -420,7 +419,7 @@ def static_dynamic_join(t):
         "site", F.date_add("week_start", 7).alias("week_start"), F.col("temp_mean").alias("previous_temp")
     )
     static = t.static_site.select("site", "elevation_mean", "region_name")
-    return current.join(previous, ["site", "week_start"]).join(joins.small_side(static), "site")
+    return current.join(previous, ["site", "week_start"]).join(static, "site")
 
 
 @bind(

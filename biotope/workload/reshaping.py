@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from biotope.operators import metrics, reshape, rollups
+from biotope.session import materialize
 from biotope.workload.registry import bind
 
 WEEKS = range(1, 54)
@@ -34,8 +35,10 @@ LONG_WEEKS_SQL = """SELECT site, CAST(isoyear(week_start) AS INTEGER) AS iso_yea
 
 
 def long_weeks(t):
-    wide = wide_weeks(t)
-    sheets = [reshape.unpivot_weeks(sheet(wide, y), ["site", "SKUPAJ"], y) for y in range(1995, 2002)]
+    """All sheets, one per year of the panel; the wide table is made once."""
+    wide = materialize(wide_weeks(t), "wide_weeks")
+    years = sorted(r.sheet_year for r in wide.select("sheet_year").distinct().collect())
+    sheets = [reshape.unpivot_weeks(sheet(wide, y), ["site", "SKUPAJ"], y) for y in years]
     stacked = sheets[0]
     for s in sheets[1:]:
         stacked = stacked.unionByName(s)
@@ -160,7 +163,7 @@ def split_future_backtest(t):
 )
 def total_reconciliation(t):
     """Totals of one sheet at three grains, the site grain against the sheet's own total column."""
-    one = sheet(wide_weeks(t), 1998)
+    one = materialize(sheet(wide_weeks(t), 1998), "sheet")
     long = reshape.unpivot_weeks(one, ["site", "SKUPAJ"], 1998).where("value is not null")
     totals = rollups.reconcile_totals(long, "site", "iso_week", "value")
     published = one.select("site", F.col("SKUPAJ").cast("bigint").alias("published_total"))

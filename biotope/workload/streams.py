@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from biotope.functions.weather import grid_key
+from biotope.session import shared_folder
 from biotope.streaming import hourly
 from biotope.workload.aggregating import CELL_DAY_SQL, FLOAT_DAILY
 from biotope.workload.registry import bind
@@ -42,9 +43,9 @@ def hour_stream(t):
     )
 
 
-def day_table(t):
+def day_table(t, path):
     days = hourly.hourly_to_day_from_hours(hour_stream(t), ["grid_key"])
-    return hourly.run_to_table(days, "stream_days")
+    return hourly.run_to_table(days, path)
 
 
 CLOSED_DAY_SQL = f"""SELECT * FROM ({CELL_DAY_SQL}) AS d
@@ -53,7 +54,7 @@ CLOSED_DAY_SQL = f"""SELECT * FROM ({CELL_DAY_SQL}) AS d
 
 @bind("stream_hourly_to_day", CLOSED_DAY_SQL, needs="hourly", rounded=FLOAT_DAILY)
 def stream_hourly_to_day(t):
-    return day_table(t)
+    return day_table(t, shared_folder(t.spark, "stream_days"))
 
 
 @bind(
@@ -71,12 +72,13 @@ def stream_hourly_to_day(t):
 )
 def stream_day_to_week(t):
     """A second stream over the daily table the first one has written."""
-    days = day_table(t)
-    folder = days.inputFiles()[0].rsplit("/", 1)[0]
-    stream = t.spark.readStream.schema(days.schema).parquet(folder).withColumn(
+    path = shared_folder(t.spark, "stream_days")
+    days = day_table(t, path)
+    stream = t.spark.readStream.schema(days.schema).parquet(hourly.data_folder(path)).withColumn(
         "day_start", F.col("day").cast("timestamp")
     )
-    return hourly.run_to_table(hourly.day_to_week(stream, ["grid_key"]), "stream_weeks")
+    weeks = hourly.day_to_week(stream, ["grid_key"])
+    return hourly.run_to_table(weeks, shared_folder(t.spark, "stream_weeks"))
 
 
 @bind("stream_dedupe_keys", "SELECT event_id, user_id, event_type, value FROM events")
@@ -85,4 +87,5 @@ def stream_dedupe_keys(t):
     once = event_stream(t)
     twice = once.unionByName(event_stream(t))
     kept = hourly.dedupe(twice, "event_id", "time")
-    return hourly.run_to_table(kept.select("event_id", "user_id", "event_type", "value"), "stream_events")
+    kept = kept.select("event_id", "user_id", "event_type", "value")
+    return hourly.run_to_table(kept, shared_folder(t.spark, "stream_events"))
