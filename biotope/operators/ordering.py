@@ -172,11 +172,14 @@ def quantiles(
     picked from the running counts instead of collecting the group's values.
     """
     groups = list(groups)
-    cells = value_prefix(df, value, groups, staged=staged).select(*groups, value, "n", "n_before")
+    values = df.select(*groups, F.col(value).alias("order_value"))
+    cells = value_prefix(values, "order_value", groups, staged=staged).select(*groups, "order_value", "n", "n_before")
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
     places = cells.groupBy(*groups).agg(F.sum("n").alias("group_n")).select(
         *groups,
-        F.transform(wanted, lambda p: F.struct(p.alias("p"), ((F.col("group_n") - 1) * p).alias("place"))).alias("places"),
+        F.transform(
+            wanted, lambda p: F.struct(p.alias("probability"), ((F.col("group_n") - 1) * p).alias("place"))
+        ).alias("places"),
     )
     # one short row per group meets the cells
     if groups:
@@ -188,15 +191,15 @@ def quantiles(
         return (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
 
     near = F.filter("places", lambda q: covers(F.floor(q["place"])) | covers(F.ceil(q["place"])))
-    hits = located.select(*groups, value, "n", "n_before", F.inline(near))
-    found = hits.groupBy(*groups, "p", "place").agg(
-        F.max(F.when(covers(F.floor("place")), F.col(value))).alias("lower_value"),
-        F.max(F.when(covers(F.ceil("place")), F.col(value))).alias("upper_value"),
+    hits = located.select(*groups, "order_value", "n", "n_before", F.inline(near))
+    found = hits.groupBy(*groups, "probability", "place").agg(
+        F.max(F.when(covers(F.floor("place")), F.col("order_value"))).alias("lower_value"),
+        F.max(F.when(covers(F.ceil("place")), F.col("order_value"))).alias("upper_value"),
     )
     part = F.col("place") - F.floor("place")
     return found.select(
         *groups,
-        "p",
+        "probability",
         (F.col("lower_value") + (F.col("upper_value") - F.col("lower_value")) * part).alias("quantile"),
     )
 
@@ -207,7 +210,7 @@ def quantile_columns(
     """As ``quantiles`` with one column per named probability."""
     found = quantiles(df, value, list(named.values()), groups)
     return found.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("p") == float(p), F.col("quantile"))).alias(name) for name, p in named.items()]
+        *[F.max(F.when(F.col("probability") == float(p), F.col("quantile"))).alias(name) for name, p in named.items()]
     )
 
 
