@@ -86,7 +86,7 @@ def null_if_missing(text: Column) -> Column:
 
 
 def fill_category(text: Column) -> Column:
-    return F.coalesce(null_if_missing(text), F.lit(MISSING_CATEGORY))
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit(MISSING_CATEGORY))
 
 
 def key_slug(text: Column, lower: bool = False) -> Column:

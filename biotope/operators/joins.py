@@ -226,3 +226,44 @@ def feature_rows(
         return fill_category(value.cast("string")) if name in categorical else value.cast("double")
 
     return joined.select(*ids, *[pick(f).alias(f) for f in features])
+
+
+def target_join(base: DataFrame, targets: DataFrame, on: Sequence[str], target: str) -> DataFrame:
+    """Left one-to-one join of the targets; rows without one are flagged, not dropped."""
+    return base.join(targets, list(on), "left").withColumn("target_missing", F.col(target).isNull())
+
+
+def inner_targets(base: DataFrame, targets: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with a target, and the rows dropped for lack of one."""
+    return base.join(targets, list(on), "inner"), base.join(targets, list(on), "left_anti")
+
+
+def outer_merge(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
+    """Full outer join of per-variable frames on their shared keys."""
+    merged = frames[0]
+    for frame in frames[1:]:
+        merged = merged.join(frame, list(on), "full_outer")
+    return merged
+
+
+def template_values(
+    template: DataFrame, values: DataFrame, on: Sequence[str], flag: str, name: str = "ready"
+) -> DataFrame:
+    """Extracted values on the template rows; readiness is false where nothing was extracted."""
+    joined = template.join(values, list(on), "left")
+    return joined.withColumn(name, F.coalesce(flag, F.lit(False))).drop(flag)
+
+
+def current_and_previous(
+    weeks: DataFrame, static: DataFrame, site: str, period: str, columns: Sequence[str]
+) -> DataFrame:
+    """Weeks with the calendar week before and the static columns; sites lacking either are left out."""
+    before = weeks.select(
+        site, F.date_add(period, 7).alias(period), *[F.col(c).alias(f"previous_{c}") for c in columns]
+    )
+    return weeks.join(before, [site, period]).join(static, site)
+
+
+def boundaries_with_values(outlines: DataFrame, values: DataFrame, site: str, level: Column) -> DataFrame:
+    """Outlines of the sites that have a value, with its level."""
+    return outlines.join(values, site).withColumn("level", level)

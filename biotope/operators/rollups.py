@@ -215,7 +215,7 @@ def station_mean(
     total = F.sum(F.when(known, w))
     mean = F.when(total > 0, F.sum(F.when(known, F.col(value) * w)) / total).otherwise(F.avg(value))
     return readings.groupBy(*keys).agg(
-        mean.alias("weighted_value"),
+        F.round(mean, 6).alias("weighted_value"),
         F.count(value).alias("component_count"),
         F.count(weight).alias("weight_count"),
         *[
@@ -354,7 +354,63 @@ def source_coverage(panel: DataFrame, flags: Sequence[str], site: str, period: s
 
 
 def any_present_pct(columns: Sequence[str]) -> Column:
-    return F.avg(F.coalesce(*[F.when(F.col(c).isNotNull(), 1) for c in columns], F.lit(0))) * 100.0
+    """Percent of rows with a value in any of the columns, 0 without rows."""
+    some = F.coalesce(*[F.when(F.col(c).isNotNull(), 1) for c in columns], F.lit(0))
+    return F.coalesce(F.round(F.avg(some) * 100.0, 4), F.lit(0.0))
+
+
+def fold_summary(results: DataFrame, keys: Sequence[str], metrics: Sequence[str], fold: str) -> DataFrame:
+    """Mean and sample std of each metric over folds, and the folds completed."""
+    return results.groupBy(*keys).agg(
+        *[F.avg(m).alias(f"{m}_mean") for m in metrics],
+        *[F.stddev_samp(m).alias(f"{m}_std") for m in metrics],
+        F.count(metrics[0]).alias("completed_folds"),
+        F.max(fold).alias(f"max_{fold}"),
+    )
+
+
+def effect_summary(effects: DataFrame, keys: Sequence[str], effect: str = "effect") -> DataFrame:
+    """Effects over folds with the share of completed folds in which they help."""
+    helpful, done = F.count_if(F.col(effect) > 0), F.count(effect)
+    share = F.round(F.try_divide(helpful.cast("double"), done) * 100.0, 4)
+    return effects.groupBy(*keys).agg(
+        F.avg(effect).alias("mean_effect"),
+        F.stddev_samp(effect).alias("std_effect"),
+        F.min(effect).alias("min_effect"),
+        F.max(effect).alias("max_effect"),
+        helpful.alias("helpful_folds"),
+        F.coalesce(share, F.lit(0.0)).alias("helpful_folds_pct"),
+    )
+
+
+def value_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Count, mean, min, max and sum of the non-null values, rounded to 6 decimals."""
+    return df.groupBy(*keys).agg(
+        F.count(value).alias("value_count"),
+        F.round(F.avg(value), 6).alias("mean_value"),
+        F.round(F.min(value), 6).alias("min_value"),
+        F.round(F.max(value), 6).alias("max_value"),
+        F.round(F.sum(value), 6).alias("sum_value"),
+    )
+
+
+def climatology(df: DataFrame, month: str, columns: Sequence[str]) -> DataFrame:
+    return df.groupBy(month).agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def extents(df: DataFrame, column: str) -> DataFrame:
+    return df.agg(
+        F.min(column).alias("minimum"),
+        F.max(column).alias("maximum"),
+        F.avg(column).alias("mean_value"),
+        F.count(column).alias("present"),
+    )
+
+
+def year_coverage(df: DataFrame, keys: Sequence[str], year: str) -> DataFrame:
+    return df.groupBy(*keys).agg(
+        F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.count(F.lit(1)).alias("years")
+    )
 
 
 def zscores(history: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -77,6 +77,22 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Positions of a summary table's rows (variants of a target, a handful per group)."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def period_delta(df: DataFrame, value: str, site: str, period: str, name: str = "delta") -> DataFrame:
+    """Value minus the value of the period before."""
+    before = F.lag(value).over(over_panel(site, period))
+    return df.withColumn(name, F.col(value) - before)
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows, the same ones whatever the partitioning; kept by a top-n per task."""
+    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
 def inverse_group_weight(df: DataFrame, group: str, name: str = "row_weight") -> DataFrame:
     """1 / rows of the group, from a pre-aggregated count instead of a window over the group."""
     sizes = df.groupBy(group).agg((F.lit(1.0) / F.count(F.lit(1))).alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from biotope.functions.rules import level, trend_label
 from biotope.operators.ordering import percentile_scores, quantile_columns
-from biotope.operators.windows import over_panel, top_per_key
+from biotope.operators.windows import period_delta, top_per_key
 from biotope.session import materialize
 
 # The quantiles that part Low, Medium and High.
@@ -86,10 +86,8 @@ def live_snapshot(holdout: DataFrame, weeks: DataFrame, site: str, name: str, pe
     weeks = materialize(weeks.select(site, name, period, value), "weeks")
     pair = weeks.where(F.col(period).between(F.date_sub(reference_week, 7), reference_week))
     published = publish(holdout, pair.select(site, name, period, value), value)
-    w = over_panel(site, period)
-    delta = (F.col("score") - F.lag("score").over(w)).cast("int")
     current = (
-        published.withColumn("score_delta", delta)
+        period_delta(published, "score", site, period, "score_delta")
         .where(F.col(period) == reference_week)
         .where("score_delta is not null")
         .withColumn("trend", trend_label(F.col("score_delta")))

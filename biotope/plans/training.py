@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biotope.functions.text import fill_category, is_missing, null_if_missing
+from biotope.functions.text import fill_category, is_missing, nan_to_null
 from biotope.operators.joins import asof_year, static_join
 from biotope.operators.windows import lags, over_panel, prev_full, with_columns
 
@@ -29,21 +29,27 @@ def typed_rows(
     kept = raw.where(~is_missing(F.col(target))) if skip_missing_target else raw
 
     def number(name: str) -> Column:
-        return null_if_missing(F.trim(F.col(name))).try_cast("double")
+        return F.nullif(F.trim(F.col(name)), F.lit("")).try_cast("double")
 
-    checks = [F.when(F.col(time).try_cast("timestamp").isNull(), "bad time")]
-    checks.append(F.when(number(target).isNull(), "bad target"))
+    written = F.trim(F.col(target))
+    checks = [
+        F.when(F.col(time).try_cast("timestamp").isNull(), "bad time"),
+        F.when(is_missing(written), "missing target"),
+    ]
     if binary:
-        checks.append(F.when(~number(target).isin(0.0, 1.0), "target is not 0 or 1"))
+        checks.append(F.when(~written.isin("0", "1"), "target is not 0 or 1"))
+    else:
+        checks.append(F.when(number(target).isNull(), "target is not a number"))
     checks += [
-        F.when(~is_missing(F.col(c)) & number(c).isNull(), F.lit(f"bad number in {c}")) for c in numeric
+        F.when((F.coalesce(F.trim(F.col(c)), F.lit("")) != "") & number(c).isNull(), F.lit(f"bad number in {c}"))
+        for c in numeric
     ]
     typed = [c for c in raw.columns if c not in (time, target, *numeric, *categorical)]
     return kept.select(
         *typed,
         F.col(time).try_cast("timestamp").alias(time),
         number(target).alias(target),
-        *[number(c).alias(c) for c in numeric],
+        *[nan_to_null(number(c)).alias(c) for c in numeric],
         *[fill_category(F.col(c)).alias(c) for c in categorical],
         F.coalesce(*checks).alias("problem"),
     )

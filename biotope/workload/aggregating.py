@@ -363,31 +363,17 @@ def source_coverage(t):
 )
 def variant_summary(t):
     """Scenarios stand for variants, years for folds."""
-    return t.scenario_year.groupBy("scenario").agg(
-        F.avg("temp").alias("temp_mean"),
-        F.stddev_samp("temp").alias("temp_std"),
-        F.avg("soil").alias("soil_mean"),
-        F.stddev_samp("soil").alias("soil_std"),
-        F.count("temp").alias("completed_folds"),
-        F.max("year").alias("max_year"),
-    )
+    return rollups.fold_summary(t.scenario_year, ["scenario"], ["temp", "soil"], "year")
 
 
 EFFECT_SUMMARY_SQL = f"""SELECT scenario, kind, avg(effect) AS mean_effect, stddev_samp(effect) AS std_effect, min(effect) AS min_effect,
       max(effect) AS max_effect, count(*) FILTER (WHERE effect > 0) AS helpful_folds,
-      100.0::DOUBLE * count(*) FILTER (WHERE effect > 0) / count(effect) AS helpful_folds_pct
+      round(count(*) FILTER (WHERE effect > 0)::DOUBLE / count(effect) * 100, 4) AS helpful_folds_pct
     FROM ({EFFECT_SQL}) AS e GROUP BY 1, 2"""
 
 
 def effect_summary(t):
-    return effects(t).groupBy("scenario", "kind").agg(
-        F.avg("effect").alias("mean_effect"),
-        F.stddev_samp("effect").alias("std_effect"),
-        F.min("effect").alias("min_effect"),
-        F.max("effect").alias("max_effect"),
-        F.count_if(F.col("effect") > 0).alias("helpful_folds"),
-        (100.0 * F.count_if(F.col("effect") > 0) / F.count("effect")).alias("helpful_folds_pct"),
-    )
+    return rollups.effect_summary(effects(t), ["scenario", "kind"])
 
 
 @bind(
@@ -407,7 +393,7 @@ def group_effect_summary(t):
     rounded="temp rain",
 )
 def monthly_climatology(t):
-    return t.month_cases.groupBy("month").agg(F.avg("temp").alias("temp"), F.avg("rain").alias("rain"))
+    return rollups.climatology(t.month_cases, "month", ["temp", "rain"])
 
 
 ANOMALY_SQL = """SELECT s.scenario, s.year, s.temp - b.temp AS temp_anomaly, s.humidity - b.humidity AS humidity_anomaly,
@@ -494,6 +480,7 @@ def dimension_counts(t):
     FROM ({PANEL_YEAR_SQL}) AS p GROUP BY 1""",
     needs="site_week yearly_site static_site",
     rounded="covered_pct",
+    digits=4,
 )
 def coverage_pct(t):
     return panel_with_sources(t).groupBy("site").agg(
@@ -518,9 +505,7 @@ def period_totals_by_split(t):
     needs="scenario_year",
 )
 def coverage_by_scenario(t):
-    return t.scenario_year.groupBy("scenario").agg(
-        F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count(F.lit(1)).alias("years")
-    )
+    return rollups.year_coverage(t.scenario_year, ["scenario"], "year")
 
 
 @bind(
@@ -538,13 +523,7 @@ def yearly_species_summary(t):
     species = t.order_sites.groupBy("site", F.year("order_day").alias("year"), "o_orderpriority").agg(
         F.when(n > 1, F.sum(F.round("o_totalprice").cast("bigint")).cast("double") / n).alias("value")
     )
-    return species.groupBy("site", "year").agg(
-        F.count("value").alias("species_count"),
-        F.avg("value").alias("mean_value"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.sum("value").alias("sum_value"),
-    )
+    return rollups.value_summary(species, ["site", "year"], "value").withColumnRenamed("value_count", "species_count")
 
 
 @bind(
@@ -555,7 +534,4 @@ def yearly_species_summary(t):
     rounded="minimum maximum mean_value",
 )
 def column_extents(t):
-    c = "air_temperature_c"
-    return t.hourly.agg(
-        F.min(c).alias("minimum"), F.max(c).alias("maximum"), F.avg(c).alias("mean_value"), F.count(c).alias("present")
-    )
+    return rollups.extents(t.hourly, "air_temperature_c")

@@ -39,7 +39,7 @@ def static_left_join(t):
 def panel_target_join(t):
     base = t.site_week.select("site", "week_start", "temp_mean")
     targets = t.site_week.where("cases_a > 0").select("site", "week_start", "cases_a")
-    return base.join(targets, ["site", "week_start"], "left").withColumn("target_missing", F.col("cases_a").isNull())
+    return joins.target_join(base, targets, ["site", "week_start"], "cases_a")
 
 
 @bind(
@@ -52,10 +52,9 @@ def panel_target_join(t):
 def panel_inner_targets(t):
     base = t.site_week.select("site", "week_start", "temp_mean")
     targets = t.site_week.where("cases_b > 0").select("site", "week_start", "cases_b")
-    keys = ["site", "week_start"]
-    kept = base.join(targets, keys, "inner")
-    dropped = base.join(targets, keys, "left_anti").agg(F.count(F.lit(1))).scalar()
-    return kept.agg(F.count(F.lit(1)).alias("kept"), F.sum("cases_b").alias("cases")).withColumn("dropped", dropped)
+    kept, dropped = joins.inner_targets(base, targets, ["site", "week_start"])
+    lost = dropped.agg(F.count(F.lit(1))).scalar()
+    return kept.agg(F.count(F.lit(1)).alias("kept"), F.sum("cases_b").alias("cases")).withColumn("dropped", lost)
 
 
 @bind(
@@ -157,7 +156,7 @@ def full_outer_merge(t):
         found = rows.agg(F.avg("value").alias(name), F.count(F.lit(1)).alias("n"))
         return found.where("n > 3").drop("n")
 
-    return months("N", "temperature").join(months("A", "rain"), "target_month", "full_outer")
+    return joins.outer_merge([months("N", "temperature"), months("A", "rain")], ["target_month"])
 
 
 @bind(
@@ -178,8 +177,7 @@ def template_value_join(t):
     extracted = t.ensemble.where("value > 5000000").groupBy(*keys).agg(
         F.avg("value").alias("value"), F.lit(True).alias("extracted")
     )
-    joined = template.join(extracted, keys, "left")
-    return joined.withColumn("ready", F.coalesce("extracted", F.lit(False))).drop("extracted")
+    return joins.template_values(template, extracted, keys, "extracted")
 
 
 EFFECT_SQL = """SELECT r.scenario, r.year, r.temp, CASE WHEN r.scenario < '3' THEN 'add' ELSE 'remove' END AS kind,
@@ -244,7 +242,7 @@ def dev_holdout_merge(t):
 )
 def climatology_anomaly(t):
     months = t.month_cases.select("month_start", "month", "temp", "rain")
-    norms = months.groupBy("month").agg(F.avg("temp").alias("temp"), F.avg("rain").alias("rain"))
+    norms = rollups.climatology(months, "month", ["temp", "rain"])
     return joins.climatology_anomaly(months, norms, "month", ["temp", "rain"])
 
 
@@ -414,12 +412,10 @@ def scenario_corridor(t):
     needs="site_week static_site",
 )
 def static_dynamic_join(t):
-    current = t.site_week.select("site", "week_start", "temp_mean")
-    previous = t.site_week.select(
-        "site", F.date_add("week_start", 7).alias("week_start"), F.col("temp_mean").alias("previous_temp")
-    )
+    weeks = t.site_week.select("site", "week_start", "temp_mean")
     static = t.static_site.select("site", "elevation_mean", "region_name")
-    return current.join(previous, ["site", "week_start"]).join(static, "site")
+    paired = joins.current_and_previous(weeks, static, "site", "week_start", ["temp_mean"])
+    return paired.withColumnRenamed("previous_temp_mean", "previous_temp")
 
 
 @bind(
@@ -438,5 +434,6 @@ def boundary_value_join(t):
     outlines = t.polygons.select(
         "site", "part", F.aggregate("rings", F.lit(0), lambda acc, r: acc + F.size(r) - 1).alias("edge_count")
     )
-    joined = outlines.join(values, "site")
-    return joined.withColumn("level", rules.level(F.col("mean_value"), F.lit(-5), F.lit(5)))
+    return joins.boundaries_with_values(
+        outlines, values, "site", rules.level(F.col("mean_value"), F.lit(-5), F.lit(5))
+    )

@@ -34,8 +34,8 @@ def typed_training_rows(t):
         .when(toxic, "2")
         .otherwise(F.col("quality").cast("string"))
         .alias("target"),
-        F.when(lang == "de", "none").when(lang == "fr", "many").otherwise(F.col("n_chars").cast("string")).alias("feature"),
-        F.when(lang == "es", "null").otherwise(F.col("source")).alias("category"),
+        F.when(lang == "de", "").when(lang == "fr", "many").otherwise(F.col("n_chars").cast("string")).alias("feature"),
+        F.when(lang == "es", "").otherwise(F.col("source")).alias("category"),
     )
     return training.typed_rows(raw, "week_start", "target", ["feature"], ["category"], binary=True)
 

@@ -90,8 +90,7 @@ def panel_order(t):
 
 @bind("seeded_sample")
 def seeded_sample(t):
-    """At most 200 rows, the same ones whatever the partitioning."""
-    return t.scored.orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(200)
+    return windows.seeded_sample(t.scored, "doc_id", 200, 42)
 
 
 @bind("row_limit", "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 25")

@@ -126,7 +126,12 @@ def missing_token(t):
     )
 
 
-@bind("categorical_fill", f"SELECT code, coalesce({TOKEN_SQL}, '__MISSING__') AS category FROM names", needs="names")
+@bind(
+    "categorical_fill",
+    """SELECT code, CASE size WHEN 1 THEN ' NaN ' WHEN 2 THEN 'null' WHEN 3 THEN '__MISSING__' WHEN 4 THEN 'None'
+      ELSE brand END AS category FROM names""",
+    needs="names",
+)
 def categorical_fill(t):
     return t.names.select("code", text.fill_category(token(t)).alias("category"))
 

@@ -142,10 +142,9 @@ def latest_per_group(t):
     needs="scenario_year",
 )
 def rank_in_group(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("kind").orderBy(F.desc("mean_effect"), F.desc("helpful_folds_pct"), "scenario")
-    return effect_summary(t).select("kind", "scenario", F.row_number().over(w).alias("position"))
+    order = [F.desc("mean_effect"), F.desc("helpful_folds_pct"), F.asc("scenario")]
+    ranked = windows.rank_in_group(effect_summary(t), ["kind"], order)
+    return ranked.select("kind", "scenario", "position")
 
 
 @bind(
@@ -220,8 +219,8 @@ def deaccumulate(t):
     rounded="delta",
 )
 def period_delta(t):
-    w = windows.over_panel("site", "week_start")
-    return t.risk_panel.select("site", "week_start", (F.col("score") - F.lag("score").over(w)).alias("delta"))
+    deltas = windows.period_delta(t.risk_panel.select("site", "week_start", "score"), "score", "site", "week_start")
+    return deltas.drop("score")
 
 
 @bind(

@@ -225,12 +225,13 @@ def test_splits(spark):
 
 def test_typed_rows_skip_and_reject(spark):
     raw = spark.createDataFrame(
-        [(1, "2024-01-01", "1", "2,5"), (2, "2024-01-01", "", "3"), (3, "2024-01-01", "2", "1"), (4, "x", "0", "nan")],
+        [(1, "2024-01-01", "1", "2,5"), (2, "2024-01-01", "", "3"), (3, "2024-01-01", "2", "1"), (4, "x", "0", "nan"),
+         (5, "2024-01-01", "0", "nan"), (6, "2024-01-01", "0", "none")],
         "id int, t string, y string, x string",
     )
     typed = training.typed_rows(raw, "t", "y", ["x"], binary=True)
-    assert {r.id: r.problem for r in typed.collect()} == {1: "bad number in x", 3: "target is not 0 or 1", 4: "bad time"}
-    assert training.rejected(typed).count() == 3 and training.usable(typed).count() == 0
+    assert {r.id: r.problem for r in typed.collect()} == {1: "bad number in x", 3: "target is not 0 or 1", 4: "bad time", 5: None, 6: "bad number in x"}
+    assert training.rejected(typed).count() == 4 and [r.x for r in training.usable(typed).collect()] == [None]
 
 
 def test_weights_average_one(spark):
