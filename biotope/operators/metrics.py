@@ -22,6 +22,10 @@ from biotope.session import materialize, measured
 THRESHOLD = 0.5
 
 
+def r_squared(mse: Column, variance: Column) -> Column:
+    return F.when(variance == 0, 1.0).otherwise(1.0 - F.try_divide(mse, variance))
+
+
 def regression_metrics(df: DataFrame, truth: str, prediction: str, groups: Sequence[str] = ()) -> DataFrame:
     """RMSE, MAE, mean target and R2 = 1 - SSE / SST (1 when the target does not vary).
 
@@ -35,7 +39,7 @@ def regression_metrics(df: DataFrame, truth: str, prediction: str, groups: Seque
         F.sqrt(mse).alias("rmse"),
         F.avg(F.abs(error)).alias("mae"),
         F.avg(truth).alias("mean_target"),
-        F.when(variance == 0, 1.0).otherwise(1.0 - F.try_divide(mse, variance)).alias("r2"),
+        r_squared(mse, variance).alias("r2"),
     )
 
 
@@ -226,8 +230,9 @@ def period_totals(df: DataFrame, truth: str, prediction: str, keys: Sequence[str
 def aggregate_fit(df: DataFrame, truth: str, prediction: str, split: str, period: str) -> DataFrame:
     """R2 and correlation of the period totals of each split."""
     totals = period_totals(df, truth, prediction, [split, period])
-    fit = regression_metrics(totals, "target_total", "prediction_total", [split]).select(split, "r2")
-    correlations = totals.groupBy(split).agg(
-        F.count(F.lit(1)).alias("periods"), correlation("target_total", "prediction_total").alias("correlation")
+    error = F.col("target_total") - F.col("prediction_total")
+    return totals.groupBy(split).agg(
+        F.count(F.lit(1)).alias("periods"),
+        correlation("target_total", "prediction_total").alias("correlation"),
+        r_squared(F.avg(error * error), F.var_pop("target_total")).alias("r2"),
     )
-    return correlations.join(fit, split)

@@ -405,7 +405,7 @@ ANOMALIES = [f"{c}_anomaly" for c in CLIMATE]
 
 
 def anomalies(t):
-    rows = rollups.baseline_anomaly(t.scenario_year, "scenario", "year", CLIMATE, 1995, 1998)
+    rows = rollups.baseline_anomaly(t.once("scenario_year"), "scenario", "year", CLIMATE, 1995, 1998)
     return rows.select("scenario", "year", *ANOMALIES)
 
 

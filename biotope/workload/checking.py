@@ -85,8 +85,8 @@ def total_identity_check(t):
     needs="site_week",
 )
 def table_diff_report(t):
-    rebuilt = t.site_week.where("line_count > 1")
-    stored = t.site_week.where("cases_a + cases_b > 0").select(
+    rebuilt = t.once("site_week").where("line_count > 1")
+    stored = t.once("site_week").where("cases_a + cases_b > 0").select(
         "site",
         "week_start",
         F.when(F.col("cases_a") > 5, F.col("cases_a") + 1).otherwise(F.col("cases_a")).alias("cases_a"),
@@ -139,5 +139,5 @@ def expected_cardinality(t):
     needs="site_week",
 )
 def period_sequence_check(t):
-    last = t.site_week.agg(F.max("week_start")).scalar()
-    return quality.period_sequence(t.site_week, "site", "week_start", last)
+    last = t.once("site_week").agg(F.max("week_start")).scalar()
+    return quality.period_sequence(t.once("site_week"), "site", "week_start", last)

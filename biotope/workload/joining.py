@@ -37,8 +37,8 @@ def static_left_join(t):
     needs="site_week",
 )
 def panel_target_join(t):
-    base = t.site_week.select("site", "week_start", "temp_mean")
-    targets = t.site_week.where("cases_a > 0").select("site", "week_start", "cases_a")
+    base = t.once("site_week").select("site", "week_start", "temp_mean")
+    targets = t.once("site_week").where("cases_a > 0").select("site", "week_start", "cases_a")
     return joins.target_join(base, targets, ["site", "week_start"], "cases_a")
 
 
@@ -50,8 +50,8 @@ def panel_target_join(t):
     needs="site_week",
 )
 def panel_inner_targets(t):
-    base = t.site_week.select("site", "week_start", "temp_mean")
-    targets = t.site_week.where("cases_b > 0").select("site", "week_start", "cases_b")
+    base = t.once("site_week").select("site", "week_start", "temp_mean")
+    targets = t.once("site_week").where("cases_b > 0").select("site", "week_start", "cases_b")
     kept, dropped = joins.inner_targets(base, targets, ["site", "week_start"])
     lost = dropped.agg(F.count(F.lit(1))).scalar()
     return kept.agg(F.count(F.lit(1)).alias("kept"), F.sum("cases_b").alias("cases")).withColumn("dropped", lost)
@@ -72,8 +72,8 @@ def panel_inner_targets(t):
     needs="site_week static_site yearly_site",
 )
 def panel_multi_enrich(t):
-    panel = t.site_week.select("site", "week_start", "cases_a", cal.midpoint_year(F.col("week_start")).alias("year"))
-    local = t.site_week.where("cases_b > 1").select("site", "week_start", F.col("humid_mean").alias("local_humidity"))
+    panel = t.once("site_week").select("site", "week_start", "cases_a", cal.midpoint_year(F.col("week_start")).alias("year"))
+    local = t.once("site_week").where("cases_b > 1").select("site", "week_start", F.col("humid_mean").alias("local_humidity"))
     sources = {
         "relief": (t.static_site.select("site", "elevation_mean", "stations"), ["site"]),
         "local": (local, ["site", "week_start"]),
@@ -106,7 +106,7 @@ def asof_latest_year(t):
     needs="site_week yearly_site",
 )
 def yearly_ffill_attach(t):
-    panel = t.site_week.select("site", "week_start", F.year("week_start").alias("year"))
+    panel = t.once("site_week").select("site", "week_start", F.year("week_start").alias("year"))
     return joins.yearly_fill(panel, t.yearly_site, "site", "year", "population", "source_year").drop("year")
 
 
@@ -152,7 +152,7 @@ FAMILY_MONTH_SQL = "SELECT target_month, avg(value) AS {1} FROM ensemble WHERE f
 )
 def full_outer_merge(t):
     def months(family, name):
-        rows = t.ensemble.where(F.col("family") == family).groupBy("target_month")
+        rows = t.once("ensemble").where(F.col("family") == family).groupBy("target_month")
         found = rows.agg(F.avg("value").alias(name), F.count(F.lit(1)).alias("n"))
         return found.where("n > 3").drop("n")
 
@@ -173,8 +173,8 @@ def full_outer_merge(t):
 )
 def template_value_join(t):
     keys = ["family", "init_month", "lead_month", "target_month", "member"]
-    template = t.ensemble.select(*keys).distinct()
-    extracted = t.ensemble.where("value > 5000000").groupBy(*keys).agg(
+    template = t.once("ensemble").select(*keys).distinct()
+    extracted = t.once("ensemble").where("value > 5000000").groupBy(*keys).agg(
         F.avg("value").alias("value"), F.lit(True).alias("extracted")
     )
     return joins.template_values(template, extracted, keys, "extracted")
@@ -190,7 +190,7 @@ EFFECT_SQL = """SELECT r.scenario, r.year, r.temp, CASE WHEN r.scenario < '3' TH
 
 
 def effects(t):
-    results = t.scenario_year.select(
+    results = t.once("scenario_year").select(
         "scenario", "year", "temp", F.when(F.col("scenario") < "3", "add").otherwise("remove").alias("kind")
     )
     return joins.reference_effect(results, ["year"], "scenario", "5-LOW", "temp", "kind")
@@ -241,7 +241,7 @@ def dev_holdout_merge(t):
     rounded="temp_anomaly rain_anomaly",
 )
 def climatology_anomaly(t):
-    months = t.month_cases.select("month_start", "month", "temp", "rain")
+    months = t.once("month_cases").select("month_start", "month", "temp", "rain")
     norms = rollups.climatology(months, "month", ["temp", "rain"])
     return joins.climatology_anomaly(months, norms, "month", ["temp", "rain"])
 
@@ -257,9 +257,9 @@ ANCHOR_SQL = """SELECT t.year, t.month, least(t.month - 1, 4) AS issue_month, t.
 
 
 def anchored(t):
-    months = t.month_cases.select("year", "month", "rate_a")
+    months = t.once("month_cases").select("year", "month", "rate_a")
     rows = joins.anchored_rows(months, [], ["rate_a"])
-    return rows.join(t.month_cases.select("year", "month", "temp"), ["year", "month"])
+    return rows.join(t.once("month_cases").select("year", "month", "temp"), ["year", "month"])
 
 
 @bind("anchor_joins", ANCHOR_SQL, needs="month_cases", rounded="rate_a_anchor_q4_mean")
@@ -280,8 +280,8 @@ def anchor_joins(t):
 )
 def constant_anchor_attach(t):
     """One series, so the key of the anchors is a constant."""
-    last = t.month_cases.agg(F.max("year") - 1).scalar()
-    months = t.month_cases.select(F.lit("all").alias("series"), "year", "month", "rate_a")
+    last = t.once("month_cases").agg(F.max("year") - 1).scalar()
+    months = t.once("month_cases").select(F.lit("all").alias("series"), "year", "month", "rate_a")
     future = t.ensemble.select("target_month").distinct().select(
         F.lit("all").alias("series"), "target_month", F.month("target_month").alias("month")
     )
@@ -298,7 +298,7 @@ def constant_anchor_attach(t):
     rounded="prediction residual baseline_residual",
 )
 def prediction_truth_join(t):
-    s = t.scenario_year
+    s = t.once("scenario_year")
     predictions = s.select(
         "scenario", (F.col("year") + 1).alias("year"), (F.col("rate_a") * 0.9 + 40).alias("prediction"), F.col("rate_a").alias("baseline")
     )
@@ -398,7 +398,7 @@ def key_difference(t):
     needs="scenario_year",
 )
 def scenario_corridor(t):
-    s = t.scenario_year
+    s = t.once("scenario_year")
     return joins.corridor(s.where("scenario = '3-MEDIUM'"), s.where("scenario = '2-HIGH'"), ["year"], "rate_a")
 
 
@@ -412,7 +412,7 @@ def scenario_corridor(t):
     needs="site_week static_site",
 )
 def static_dynamic_join(t):
-    weeks = t.site_week.select("site", "week_start", "temp_mean")
+    weeks = t.once("site_week").select("site", "week_start", "temp_mean")
     static = t.static_site.select("site", "elevation_mean", "region_name")
     paired = joins.current_and_previous(weeks, static, "site", "week_start", ["temp_mean"])
     return paired.withColumnRenamed("previous_temp_mean", "previous_temp")

@@ -50,7 +50,7 @@ def typed_training_rows(t):
     needs="site_week",
 )
 def ratio_time_split(t):
-    return splits.ratio_split(t.site_week.select("site", "week_start"), "week_start")
+    return splits.ratio_split(t.once("site_week").select("site", "week_start"), "week_start")
 
 
 @bind(
@@ -289,7 +289,7 @@ def ridge_sql(source: str, key: str, target: str, alphas: str) -> str:
     digits=5,
 )
 def ridge_fit(t):
-    sums = ridge.gram_sums(t.scenario_year, ["temp", "rain"], "rate_a", groups=["scenario"])
+    sums = ridge.gram_sums(t.once("scenario_year"), ["temp", "rain"], "rate_a", groups=["scenario"])
     fits = ridge.solve_folds(sums, [1.0, 10.0], "scenario string")
     return fits.select(
         "scenario",
@@ -311,7 +311,7 @@ def ridge_fit(t):
     digits=4,
 )
 def ridge_sums(t):
-    sums = ridge.gram_sums(t.scenario_year, ["temp"], "rate_a", weight="humidity", groups=["scenario"])
+    sums = ridge.gram_sums(t.once("scenario_year"), ["temp"], "rate_a", weight="humidity", groups=["scenario"])
     return sums.select(
         "scenario",
         "rows",
@@ -336,9 +336,9 @@ POOLED = "(SELECT *, 1 AS pool FROM month_cases WHERE year <= 1999)"
 )
 def linear_score(t):
     """Coefficients from the early months, applied to all as a generated expression."""
-    model = ridge.fit(t.month_cases.where("year <= 1999"), ["temp", "rain"], "rate_a", 10.0)
+    model = ridge.fit(t.once("month_cases").where("year <= 1999"), ["temp", "rain"], "rate_a", 10.0)
     shifted = ridge.RidgeModel(model.features, model.alpha, model.intercept - 300, model.coefficients)
-    return t.month_cases.select("month_start", shifted.predict().alias("prediction"))
+    return t.once("month_cases").select("month_start", shifted.predict().alias("prediction"))
 
 
 @bind(
@@ -375,7 +375,7 @@ def alpha_grid(t):
     rounded="lag_1 rolling_3 predicted",
 )
 def recursive_projection(t):
-    s = t.scenario_year
+    s = t.once("scenario_year")
     history, ahead = s.where("year <= 1998"), s.where("year > 1998")
     return ridge.project(
         history, ahead, ["scenario"], "year", "rate_a", ["temp"], F.lit(50.0), F.lit(0.5), F.lit(0.3), [F.lit(20.0)]
@@ -394,7 +394,7 @@ def momentum(t):
     w = windows.over_panel("scenario", "year")
     lag1 = ridge.baseline_momentum("rate_a", w, "lag1")
     rolling = ridge.baseline_momentum("rate_a", w, "rolling3")
-    return t.scenario_year.select(
+    return t.once("scenario_year").select(
         "scenario",
         "year",
         "rate_a",
@@ -463,7 +463,7 @@ def residual_anchor_gaps(t):
 )
 def observed_reference_table(t):
     """The national series has one row per year, so its lags are joins of the year before."""
-    yearly = t.month_cases.groupBy("year").agg(F.avg("rate_a").alias("rate"))
+    yearly = t.once("month_cases").groupBy("year").agg(F.avg("rate_a").alias("rate"))
     observed = yearly
     for k in (1, 2):
         before = yearly.select((F.col("year") + k).alias("year"), F.col("rate").alias(f"rate_lag_{k}"))
@@ -508,7 +508,7 @@ def risk_snapshot(t):
     needs="risk_panel",
 )
 def live_risk_snapshot(t):
-    panel = t.risk_panel.withColumnRenamed("score", "value")
+    panel = t.once("risk_panel").withColumnRenamed("score", "value")
     holdout = panel.where(F.col("split").isin("validation", "test"))
     week = F.lit("2001-06-04").cast("date")
     return risk.live_snapshot(holdout, panel, "site", "site_name", "week_start", "value", week)
@@ -535,9 +535,9 @@ def live_risk_snapshot(t):
 )
 def weekly_training_table(t):
     """Weather, static, yearly and case columns in one plan."""
-    weather = t.site_week.select("site", "week_start", "temp_mean", "rain_sum")
+    weather = t.once("site_week").select("site", "week_start", "temp_mean", "rain_sum")
     static = t.static_site.select("site", "elevation_mean", "region_name")
-    cases = t.site_week.where("line_count > 1")
+    cases = t.once("site_week").where("line_count > 1")
     return training.weekly_training(weather, static, t.yearly_site, cases)
 
 
@@ -571,7 +571,8 @@ def training_panel(t: Tables):
     )
     panel = panel.join(t.static_site.select("site", "elevation_mean", "region_name"), "site", "left")
     panel = asof_year(panel, t.yearly_site, "site", "year", ["population"], "population_year")
-    typical = panel.groupBy(F.col("year").alias("year")).agg(F.avg("cases_next_4").alias("typical"))
+    panel = materialize(panel, "feature_panel")
+    typical = panel.groupBy("year").agg(F.avg("cases_next_4").alias("typical"))
     labelled = panel.join(typical, "year").withColumn(
         "target", (F.col("cases_next_4") > F.col("typical")).cast("int")
     )

@@ -105,8 +105,8 @@ def row_limit(t):
     needs="site_week",
 )
 def union_all_by_name(t):
-    a = t.site_week.select(F.lit("a").alias("model"), "site", "week_start", F.col("cases_a").alias("cases"), "temp_mean")
-    b = t.site_week.select(F.lit("b").alias("model"), F.col("cases_b").alias("cases"), "site", "week_start")
+    a = t.once("site_week").select(F.lit("a").alias("model"), "site", "week_start", F.col("cases_a").alias("cases"), "temp_mean")
+    b = t.once("site_week").select(F.lit("b").alias("model"), F.col("cases_b").alias("cases"), "site", "week_start")
     return a.unionByName(b, allowMissingColumns=True)
 
 

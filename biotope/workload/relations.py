@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from biotope.functions.calendar import week_start
 from biotope.functions.weather import grid_key
+from biotope.session import materialize
 from biotope.sources.gridded import hourly_grid
 
 CELLS = ("click", "error", "purchase", "signup", "view")
@@ -56,10 +57,21 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._written: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def once(self, name: str) -> DataFrame:
+        """The named relation written once, for queries that read it more than once.
+
+        Left to the optimizer, its two readers would ask for different columns and
+        the join below it would run twice.
+        """
+        if name not in self._written:
+            self._written[name] = materialize(getattr(self, name), name)
+        return self._written[name]
+
     @cached_property
     def order_sites(self) -> DataFrame:
         orders, customer = self.table("orders"), self.table("customer")
@@ -157,12 +169,11 @@ class Tables:
             F.sum(F.greatest(balance, F.lit(0))).alias("intersection_area"),
             F.sum(F.abs(balance)).alias("gross_area"),
         )
-        sites = area.groupBy("site").agg(
-            F.sum("intersection_area").alias("covered_area"), F.sum("gross_area").alias("site_area")
-        )
+        of_site = Window.partitionBy("site")  # a handful of cells each
         return (
-            area.where("intersection_area > 0")
-            .join(sites, "site")
+            area.withColumn("covered_area", F.sum("intersection_area").over(of_site))
+            .withColumn("site_area", F.sum("gross_area").over(of_site))
+            .where("intersection_area > 0")
             .select(
                 "site",
                 grid_key(F.lit(45) + F.col("cell_no") / 10, F.lit(13) + F.col("cell_no") / 8).alias("grid_key"),

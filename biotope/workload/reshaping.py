@@ -133,7 +133,7 @@ def melt_metrics(t):
     needs="scenario_year",
 )
 def history_future_union(t):
-    s = t.scenario_year
+    s = t.once("scenario_year")
     predictions = s.select("scenario", (F.col("year") + 10).alias("year"), (F.col("rate_a") + 5).alias("value"), "temp")
     history = s.where("scenario = '5-LOW'").select("year", F.col("rate_a").alias("value"))
     return reshape.history_and_future(history, predictions, "scenario", "year", F.lit(2008))

@@ -34,9 +34,9 @@ def scan_time_window(t):
 
 def cube_documents(t):
     """One cube per region: two measures x its sites and a total x the census years."""
-    years = t.yearly_site.agg(F.sort_array(F.collect_set("year"))).scalar()
+    years = t.once("yearly_site").agg(F.sort_array(F.collect_set("year"))).scalar()
     sites = t.static_site.select("region_name", "site")
-    wanted = sites.withColumn("year", F.explode(years)).join(t.yearly_site, ["site", "year"], "left")
+    wanted = sites.withColumn("year", F.explode(years)).join(t.once("yearly_site"), ["site", "year"], "left")
     measures = F.array(
         F.struct(F.lit("density").alias("measure"), F.col("density").alias("value")),
         F.struct(F.lit("population").alias("measure"), F.col("population").cast("double").alias("value")),

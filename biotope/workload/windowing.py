@@ -183,7 +183,7 @@ def cumulative_gain(t):
     needs="scenario_year",
 )
 def inverse_group_weight(t):
-    return windows.inverse_group_weight(t.scenario_year.select("scenario", "year"), "year")
+    return windows.inverse_group_weight(t.once("scenario_year").select("scenario", "year"), "year")
 
 
 @bind(
