@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from biotope.session import materialize, measured
 
-MAX_BUCKETS = 8192
+MAX_BUCKETS = 4096
 MIN_BUCKETS = 16
 
 

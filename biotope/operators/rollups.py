@@ -212,16 +212,23 @@ def station_mean(
     """
     w = F.coalesce(F.col(weight), F.lit(1.0))
     known = F.col(value).isNotNull()
-    total = F.sum(F.when(known, w))
-    mean = F.when(total > 0, F.sum(F.when(known, F.col(value) * w)) / total).otherwise(F.avg(value))
-    return readings.groupBy(*keys).agg(
-        F.round(mean, 6).alias("weighted_value"),
+    # plain sums per label first, so that the set aggregate below reads few rows
+    parts = readings.groupBy(*keys, *set(labels.values())).agg(
+        F.sum(F.when(known, F.col(value) * w)).alias("weighted_sum"),
+        F.sum(F.when(known, w)).alias("weight_sum"),
+        F.sum(value).alias("value_sum"),
         F.count(value).alias("component_count"),
         F.count(weight).alias("weight_count"),
-        *[
-            F.array_join(F.array_sort(F.collect_set(column)), "; ").alias(name)
-            for name, column in labels.items()
-        ],
+    )
+    total, components = F.sum("weight_sum"), F.sum("component_count")
+    mean = F.when(total > 0, F.try_divide(F.sum("weighted_sum"), total)).otherwise(
+        F.try_divide(F.sum("value_sum"), components)
+    )
+    return parts.groupBy(*keys).agg(
+        F.round(mean, 6).alias("weighted_value"),
+        components.alias("component_count"),
+        F.sum("weight_count").alias("weight_count"),
+        *[joined_set(column).alias(name) for name, column in labels.items()],
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biotope.functions.weather import grid_key
@@ -33,10 +33,14 @@ def read_hourly_grid(
     return hourly_grid(time_window(spark.read.parquet(path), "time", first_day, last_day), variables)
 
 
-def prefer_final(df: DataFrame, keys: Sequence[str], value: str, version: Column) -> DataFrame:
-    """One value per key: the first non-null by version (final before preliminary)."""
-    order = F.when(F.col(value).isNotNull(), version)
-    return df.groupBy(*keys).agg(F.min_by(F.col(value), order).alias(value), F.min(order).alias("used_version"))
+def prefer_final(df: DataFrame, keys: Sequence[str], value: str, version: str) -> DataFrame:
+    """One value per key: the first non-null by version (final before preliminary).
+
+    A version given twice counts with its smaller value.
+    """
+    each = df.groupBy(*keys, version).agg(F.min(value).alias(value))
+    order = F.when(F.col(value).isNotNull(), F.col(version))
+    return each.groupBy(*keys).agg(F.min_by(F.col(value), order).alias(value), F.min(order).alias("used_version"))
 
 
 def axis_edges(axis: DataFrame, value: str) -> DataFrame:

@@ -295,7 +295,7 @@ def ensemble_summary(t):
 
 @bind(
     "wide_family_collapse",
-    """SELECT init_month, lead_month, target_month, first(value ORDER BY member, cell, value) FILTER (WHERE family = 'N') AS first_n,
+    """SELECT init_month, lead_month, target_month, first(value ORDER BY member, value DESC) FILTER (WHERE family = 'N') AS first_n,
       max(value) FILTER (WHERE family = 'A') AS max_a, array_to_string(list_sort(list_distinct(list(family))), '; ') AS families,
       bool_or(family = 'N') AS has_n, bool_or(family = 'A') AS has_a, bool_or(family = 'R') AS has_r
     FROM ensemble GROUP BY 1, 2, 3""",
@@ -303,9 +303,12 @@ def ensemble_summary(t):
 )
 def wide_family_collapse(t):
     family = F.col("family")
-    rows = t.ensemble.withColumn("n_value", F.when(family == "N", F.col("value")))
+    members = t.ensemble.groupBy("init_month", "lead_month", "target_month", "family", "member").agg(
+        F.max("value").alias("value")
+    )
+    rows = members.withColumn("n_value", F.when(family == "N", F.col("value")))
     return rows.groupBy("init_month", "lead_month", "target_month").agg(
-        rollups.first_present("n_value", F.struct("member", "cell", "value")).alias("first_n"),
+        rollups.first_present("n_value", F.col("member")).alias("first_n"),
         F.max(F.when(family == "A", F.col("value"))).alias("max_a"),
         rollups.joined_set("family").alias("families"),
         *[F.bool_or(family == f).alias(f"has_{f.lower()}") for f in "NAR"],

@@ -695,7 +695,7 @@ def scenario_family(t):
 
 @bind(
     "merge_versions",
-    """SELECT user_id, day, first(value ORDER BY version, event_id) AS value, min(version) AS used_version
+    """SELECT user_id, day, first(value ORDER BY version, value) AS value, min(version) AS used_version
     FROM (SELECT user_id, CAST(ts AS DATE) AS day, event_id, value,
         CAST(CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS INTEGER) AS version
       FROM events WHERE event_type <> 'error') AS v GROUP BY 1, 2
@@ -709,10 +709,9 @@ def merge_versions(t):
         "user_id",
         F.to_date("ts").alias("day"),
         F.when(kind != "error", F.col("value")).alias("value"),
-        F.struct(version.alias("version"), F.col("event_id")).alias("preference"),
+        version.alias("version"),
     )
-    merged = gridded.prefer_final(rows, ["user_id", "day"], "value", F.col("preference"))
-    return merged.select("user_id", "day", "value", F.col("used_version.version").alias("used_version"))
+    return gridded.prefer_final(rows, ["user_id", "day"], "value", "version")
 
 
 @bind(
