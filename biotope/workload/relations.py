@@ -92,10 +92,10 @@ class Tables:
             F.count(F.lit(1)).alias("line_count"),
             F.count_if(F.col("l_returnflag") == "R").alias("cases_a"),
             F.count_if(F.col("l_returnflag") == "A").alias("cases_b"),
-            F.avg("l_quantity").alias("temp_mean"),
+            (F.avg("l_quantity") / 0.99).alias("temp_mean"),
             F.min("l_quantity").alias("temp_min"),
             F.max("l_quantity").alias("temp_max"),
-            (F.sum(cents(F.col("l_discount"))).cast("double") / F.count(F.lit(1)) * 10).alias("humid_mean"),
+            (F.sum(cents(F.col("l_discount"))).cast("double") / F.count(F.lit(1)) / 0.099).alias("humid_mean"),
             (F.sum(cents(F.col("l_extendedprice"))).cast("double") / 990000).alias("rain_sum"),
         )
 
@@ -209,11 +209,11 @@ class Tables:
             F.col("o_orderpriority").alias("scenario"), F.year("o_orderdate").alias("year")
         ).agg(
             (F.sum(cents(F.col("o_totalprice"))).cast("double") / n / 990000).alias("temp"),
-            (F.sum(F.dayofmonth("o_orderdate")).cast("double") / n).alias("humidity"),
-            (F.sum(F.month("o_orderdate")).cast("double") / n).alias("rain"),
-            (F.sum(F.dayofyear("o_orderdate")).cast("double") / n).alias("soil"),
-            (F.count_if(F.col("o_orderstatus") == "F") * 1000.0 / n).alias("rate_a"),
-            (F.count_if(F.col("o_orderstatus") == "P") * 1000.0 / n).alias("rate_b"),
+            (F.sum(F.dayofmonth("o_orderdate")).cast("double") / n / 0.99).alias("humidity"),
+            (F.sum(F.month("o_orderdate")).cast("double") / n / 0.99).alias("rain"),
+            (F.sum(F.dayofyear("o_orderdate")).cast("double") / n / 0.99).alias("soil"),
+            (F.count_if(F.col("o_orderstatus") == "F") * 1000.0 / n / 0.99).alias("rate_a"),
+            (F.count_if(F.col("o_orderstatus") == "P") * 1000.0 / n / 0.99).alias("rate_b"),
         )
 
     @cached_property
@@ -223,9 +223,9 @@ class Tables:
         month = F.to_date(F.trunc("o_orderdate", "month"))
         return self.table("orders").groupBy(month.alias("month_start")).agg(
             n.alias("cases"),
-            (F.count_if(F.col("o_orderstatus") == "F") * 1000.0 / n).alias("rate_a"),
+            (F.count_if(F.col("o_orderstatus") == "F") * 1000.0 / n / 0.99).alias("rate_a"),
             (F.sum(cents(F.col("o_totalprice"))).cast("double") / n / 990000).alias("temp"),
-            (F.sum(F.dayofmonth("o_orderdate")).cast("double") / n).alias("rain"),
+            (F.sum(F.dayofmonth("o_orderdate")).cast("double") / n / 0.99).alias("rain"),
         ).select("*", F.year("month_start").alias("year"), F.month("month_start").alias("month"))
 
     @cached_property
@@ -313,8 +313,8 @@ RELATION_SQL: dict[str, tuple[tuple[str, ...], str]] = {
           count(*) AS line_count,
           count(*) FILTER (WHERE l_returnflag = 'R') AS cases_a,
           count(*) FILTER (WHERE l_returnflag = 'A') AS cases_b,
-          avg(l_quantity) AS temp_mean, min(l_quantity) AS temp_min, max(l_quantity) AS temp_max,
-          CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) * 10 AS humid_mean,
+          avg(l_quantity) / 0.99::DOUBLE AS temp_mean, min(l_quantity) AS temp_min, max(l_quantity) AS temp_max,
+          CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) / 0.099::DOUBLE AS humid_mean,
           CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 990000 AS rain_sum
         FROM lineitem JOIN order_sites ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     ),
@@ -381,20 +381,20 @@ RELATION_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """SELECT o_orderpriority AS scenario, CAST(year(o_orderdate) AS INTEGER) AS year,
           CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 990000 AS temp,
-          CAST(sum(day(o_orderdate)) AS DOUBLE) / count(*) AS humidity,
-          CAST(sum(month(o_orderdate)) AS DOUBLE) / count(*) AS rain,
-          CAST(sum(dayofyear(o_orderdate)) AS DOUBLE) / count(*) AS soil,
-          count(*) FILTER (WHERE o_orderstatus = 'F') * 1000.0::DOUBLE / count(*) AS rate_a,
-          count(*) FILTER (WHERE o_orderstatus = 'P') * 1000.0::DOUBLE / count(*) AS rate_b
+          CAST(sum(day(o_orderdate)) AS DOUBLE) / count(*) / 0.99::DOUBLE AS humidity,
+          CAST(sum(month(o_orderdate)) AS DOUBLE) / count(*) / 0.99::DOUBLE AS rain,
+          CAST(sum(dayofyear(o_orderdate)) AS DOUBLE) / count(*) / 0.99::DOUBLE AS soil,
+          count(*) FILTER (WHERE o_orderstatus = 'F') * 1000.0::DOUBLE / count(*) / 0.99::DOUBLE AS rate_a,
+          count(*) FILTER (WHERE o_orderstatus = 'P') * 1000.0::DOUBLE / count(*) / 0.99::DOUBLE AS rate_b
         FROM orders GROUP BY 1, 2""",
     ),
     "month_cases": (
         (),
         """SELECT *, CAST(year(month_start) AS INTEGER) AS year, CAST(month(month_start) AS INTEGER) AS month
         FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start, count(*) AS cases,
-            count(*) FILTER (WHERE o_orderstatus = 'F') * 1000.0::DOUBLE / count(*) AS rate_a,
+            count(*) FILTER (WHERE o_orderstatus = 'F') * 1000.0::DOUBLE / count(*) / 0.99::DOUBLE AS rate_a,
             CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 990000 AS temp,
-            CAST(sum(day(o_orderdate)) AS DOUBLE) / count(*) AS rain
+            CAST(sum(day(o_orderdate)) AS DOUBLE) / count(*) / 0.99::DOUBLE AS rain
           FROM orders GROUP BY 1) AS months""",
     ),
     "scored": (
