@@ -279,17 +279,17 @@ def spatial_mean(t):
       avg(value) * d AS mean_value, quantile_cont(value, 0.1::DOUBLE) * d AS p10,
       quantile_cont(value, 0.5::DOUBLE) * d AS p50, quantile_cont(value, 0.9::DOUBLE) * d AS p90,
       stddev_pop(value) * d AS std_value
-    FROM (SELECT *, day(last_day(target_month)) AS d FROM ({MEMBER_SQL}) AS m) AS s GROUP BY 1, 2, 3, d""",
+    FROM (SELECT *, day(last_day(target_month)) / 990.0::DOUBLE AS d FROM ({MEMBER_SQL}) AS m) AS s GROUP BY 1, 2, 3, d""",
     needs="ensemble",
     rounded="mean_value p10 p50 p90 std_value",
-    digits=2,
+    digits=4,
 )
 def ensemble_summary(t):
     return rollups.ensemble_summary(
         member_means(t),
         ["family", "init_month", "target_month"],
         "value",
-        cal.days_in_month(F.col("target_month")).cast("double"),
+        cal.days_in_month(F.col("target_month")) / 990.0,
     )
 
 
