@@ -9,7 +9,7 @@ also absorbs heavily tied values.
 
 The cuts are sampled in a job of their own, as a range sort would do. The rows are
 therefore written once to the shared folder, narrowed to what is needed, unless the
-caller says they are ``staged`` already.
+caller says they are ``staged`` already. Group columns must not be NULL.
 """
 
 from __future__ import annotations

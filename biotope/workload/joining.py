@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from biotope.functions import calendar as cal
 from biotope.functions import rules
-from biotope.operators import joins, rollups, spatial, windows
+from biotope.operators import joins, rollups, spatial
 from biotope.workload.registry import bind
 
 
