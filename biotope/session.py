@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,15 +43,24 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """New folder below the cluster's checkpoint directory.
+    """New folder below the folder that driver and executors share.
 
-    The directory is the one named in ``spark.checkpoint.dir``; only where that
-    is unset, as in tests, a directory of our own is made and kept for the process.
+    That is the one named in ``spark.checkpoint.dir``, or the one given to
+    ``SparkContext.setCheckpointDir``. In local mode, where both are unset, a
+    folder of our own is made and removed when the process ends. On a cluster
+    such a folder would hold each executor's part on its own disk, so there it
+    is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = named.get() if named.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="biotope-"))
+            atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
         base = _own_folder[0]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
@@ -59,12 +70,13 @@ def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
 
     Used where several jobs read one intermediate table (iterative fits, edge
     sampling followed by the main pass). The files survive executor loss and cut
-    the lineage.
+    the lineage. The schema is read from the files, so a folder that the reader
+    cannot see is an error instead of an empty table.
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.parquet(path)
 
 
 def measured(df: DataFrame, purpose: str = "side") -> DataFrame:
