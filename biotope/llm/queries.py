@@ -2,22 +2,62 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from biotope.llm import bpe
 from biotope.llm.jaccard_join import jaccard_components
+from biotope.llm.line_dedup import remove_spread_lines
+from biotope.llm.sharding import shard_documents
+
+#: A line on so many distinct sources is boilerplate.
+MIN_SITES = 10
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = remove_spread_lines(documents(spark, folder), MIN_SITES)
+    return kept.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.md5("text").alias("kept_md5"))
+
+
+ORACLE_4 = f"""
+with lines as (
+  select doc_id, source, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')))) as line
+  from documents),
+spread as (select line, min(doc_id) as first_id from lines group by line having count(distinct source) >= {MIN_SITES}),
+bad as (select l.doc_id, list(l.line) as bad from lines l join spread s on l.line = s.line and l.doc_id > s.first_id group by l.doc_id),
+kept as (
+  select d.doc_id, string_split(d.text, chr(10)) as old,
+         list_filter(string_split(d.text, chr(10)), lambda x: not list_contains(coalesce(b.bad, []), x)) as new
+  from documents d left join bad b on d.doc_id = b.doc_id)
+select doc_id,
+       len(list_filter(old, lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]'))) as n_lines,
+       len(list_filter(old, lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]'))) - len(list_filter(new, lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]'))) as n_removed,
+       cast(strlen(array_to_string(new, chr(10))) as bigint) as kept_bytes,
+       md5(array_to_string(new, chr(10))) as kept_md5
+from kept
+"""
+
+
+def op5_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_documents(documents(spark, folder))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(documents(spark, folder))
 
 
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op9_ngram_jaccard_join,)
+    for f in (op4_line_dedup, op5_jump_sharding, op9_ngram_jaccard_join, op10_byte_bpe)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_dedup": ORACLE_4}
