@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biotope.llm import bpe
+from biotope.llm.decontaminate import benchmark_matches
 from biotope.llm.jaccard_join import jaccard_components
 from biotope.llm.line_dedup import remove_spread_lines
+from biotope.llm.quality_rules import fit_references, judge
 from biotope.llm.sharding import shard_documents
 
 #: A line on so many distinct sources is boilerplate.
@@ -19,6 +21,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return judge(docs, fit_references(docs))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_spread_lines(documents(spark, folder), MIN_SITES)
     return kept.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.md5("text").alias("kept_md5"))
@@ -47,6 +54,10 @@ def op5_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(documents(spark, folder))
 
 
+def op7_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_matches(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(documents(spark, folder))
 
@@ -57,7 +68,9 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_line_dedup, op5_jump_sharding, op9_ngram_jaccard_join, op10_byte_bpe)
+    for f in (
+        op1_distribution_divergence, op4_line_dedup, op5_jump_sharding, op7_pigeonhole_decontamination, op9_ngram_jaccard_join, op10_byte_bpe,
+    )
 }
 
 ORACLES: dict[str, str] = {"op4_line_dedup": ORACLE_4}
