@@ -195,8 +195,10 @@ RESULT = (
 )
 
 
-def judge(docs: DataFrame, references: References, rules: Rules = Rules(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, base figures, distances, kept) of each row's whole text.
+def judge(
+    docs: DataFrame, references: References, rules: Rules = Rules(), id_column: str = "doc_id", text: str = "text", carry: list[str] | None = None
+) -> DataFrame:
+    """(doc_id, base figures, distances, kept) of each row's whole text, or the ``carry`` columns in place of the id.
 
     A null text has no words, fails the base rules and is not kept. Repeated rows give repeated
     results; extra columns are ignored; an empty table gives an empty table. Without references only the
@@ -204,15 +206,17 @@ def judge(docs: DataFrame, references: References, rules: Rules = Rules(), id_co
     """
     texts.settings(docs.sparkSession)
     ref = docs.sparkSession.sparkContext.broadcast(references)
-    kind = docs.schema[id_column].dataType.simpleString()
+    source = docs.select(*[F.col(c) for c in carry or []], *([] if carry else [F.col(id_column).alias("doc_id")]), F.col(text).alias("_text"))
+    result = source.drop("_text").withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in RESULT.split(", ")}).schema
+    names, last_one = result.names, len(source.columns) - 1
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
 
     def run(batches):
         refs = ref.value
         for batch in batches:
-            bodies = batch.column(1).to_pylist()
-            for first, last, raw, offsets, classes, starts, ends, doc in _counts(batch.column(1)):
+            bodies = batch.column(last_one).to_pylist()
+            for first, last, raw, offsets, classes, starts, ends, doc in _counts(batch.column(last_one)):
                 rows = last - first
                 hashes = texts.hash_spans(raw, starts, ends)
                 n_words = np.bincount(doc, minlength=rows)
@@ -235,10 +239,16 @@ def judge(docs: DataFrame, references: References, rules: Rules = Rules(), id_co
                 odd |= (by_word > rules.max_word_distance) & (n_words >= rules.min_histogram_words)
                 figures = [n_words, chars, np.diff(signs), dup, repeat]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, rows)]
+                    [batch.column(k).slice(first, rows) for k in range(last_one)]
                     + [pa.array(x.astype(np.int64)) for x in figures]
                     + [pa.array(failed), pa.array(by_class), pa.array(by_word), pa.array(~failed & ~odd)],
-                    ["doc_id", *[c.split()[0] for c in RESULT.split(", ")]],
+                    names,
                 )
 
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, {RESULT}")
+    return source.mapInArrow(run, result)
+
+
+def keep_good(docs: DataFrame, references: References, rules: Rules = Rules(), text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text the rules keep, with all their columns, whatever these are called."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_body"))
+    return judge(rows, references, rules, text="_body", carry=["_row"]).where("kept").select("_row.*")
