@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biotope.llm import bpe
+from biotope.llm import bpe, language_kernel, quality_classifier, toxicity_crf
 from biotope.llm.decontaminate import benchmark_matches
 from biotope.llm.jaccard_join import jaccard_components
 from biotope.llm.line_dedup import remove_spread_lines
 from biotope.llm.quality_rules import fit_references, judge
+from biotope.llm.sampling import fold
 from biotope.llm.sharding import shard_documents
 
 #: A line on so many distinct sources is boilerplate.
@@ -26,6 +27,27 @@ def op1_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return judge(docs, fit_references(docs))
 
 
+def _held_out(folds: int, held: int):
+    return fold("doc_id", folds) == held
+
+
+def op2_string_kernel_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    known = docs.where(~_held_out(3, 1)).select("doc_id", "lang")
+    found = language_kernel.predict(docs, language_kernel.fit(docs.select("doc_id", "text"), known))
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    known = spark.read.parquet(f"{folder}/labels.parquet").where(~_held_out(4, 2))
+    found = toxicity_crf.score(docs, toxicity_crf.fit(docs, known))
+    return found.select(
+        "doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_toxic_words",
+        F.transform("spans", lambda s: s["start"]).alias("span_starts"), F.transform("spans", lambda s: s["end"]).alias("span_ends"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_spread_lines(documents(spark, folder), MIN_SITES)
     return kept.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.md5("text").alias("kept_md5"))
@@ -58,6 +80,13 @@ def op7_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFram
     return benchmark_matches(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op8_hashed_ftrl_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    known = spark.read.parquet(f"{folder}/labels.parquet").where(~_held_out(5, 0))
+    found = quality_classifier.score(docs, quality_classifier.fit(docs, known))
+    return found.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(documents(spark, folder))
 
@@ -69,7 +98,8 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_distribution_divergence, op4_line_dedup, op5_jump_sharding, op7_pigeonhole_decontamination, op9_ngram_jaccard_join, op10_byte_bpe,
+        op1_distribution_divergence, op2_string_kernel_language, op3_toxicity_crf, op4_line_dedup, op5_jump_sharding,
+        op7_pigeonhole_decontamination, op8_hashed_ftrl_quality, op9_ngram_jaccard_join, op10_byte_bpe,
     )
 }
 
