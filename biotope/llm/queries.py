@@ -13,6 +13,7 @@ from biotope.llm.line_dedup import remove_spread_lines
 from biotope.llm.quality_rules import fit_references, judge
 from biotope.llm.sampling import fold
 from biotope.llm.sharding import shard_documents
+from biotope.llm.suffix_dedup import dedup_windows
 
 #: A line on so many distinct sources is boilerplate.
 MIN_SITES = 10
@@ -76,6 +77,11 @@ def op5_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(documents(spark, folder))
 
 
+def op6_depth_limited_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    left = dedup_windows(documents(spark, folder))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_matches(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
@@ -99,7 +105,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_distribution_divergence, op2_string_kernel_language, op3_toxicity_crf, op4_line_dedup, op5_jump_sharding,
-        op7_pigeonhole_decontamination, op8_hashed_ftrl_quality, op9_ngram_jaccard_join, op10_byte_bpe,
+        op6_depth_limited_suffixes, op7_pigeonhole_decontamination, op8_hashed_ftrl_quality, op9_ngram_jaccard_join, op10_byte_bpe,
     )
 }
 
