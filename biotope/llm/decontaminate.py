@@ -185,4 +185,5 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc
     Rows that share an id share a verdict.
     """
     hit = benchmark_matches(docs, benchmark, id_column, text, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_column) == F.col("_hit"), "left_anti")
+    packed = docs.select(F.col(id_column).alias("_id"), F.struct(*docs.columns).alias("_row"))
+    return packed.join(hit, F.col("_id") == F.col("_hit"), "left_anti").select("_row.*")

@@ -68,13 +68,15 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 10, id_column: str = "
         .groupBy("_key").agg(F.collect_set("line_key").alias("_bad"))
     )
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*rest).join(bad, F.col(id_column) == F.col("_key"), "left")
-    lines = line_array(F.col(text))
+    packed = docs.select(F.col(id_column).alias("_id"), F.struct(*rest).alias("_row"))
+    joined = packed.join(bad, F.col("_id") == F.col("_key"), "left").select("_row", F.col("_bad"))
+    body = F.col("_row")[text]
+    lines = line_array(body)
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_bad"), line_key(x)))
     worded = lambda a: F.size(F.filter(a, has_word)).cast("long")
     none = F.col("_bad").isNull()
     return joined.select(
-        *[F.when(none, F.col(text)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(c) for c in rest],
+        *[F.when(none, body).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col("_row")[c].alias(c) for c in rest],
         worded(lines).alias("n_lines"),
         F.when(none, F.lit(0).cast("long")).otherwise(worded(lines) - worded(kept)).alias("n_removed"),
     )
