@@ -203,6 +203,12 @@ def test_byte_pair_merges_and_round_trip(docs, rows, empty):
         piece = "".join(rng.choice("abcdeéß中=-") for _ in range(rng.randint(1, 60))) if k % 2 else rng.choice(["a", "th", "==", "é"]) * rng.randint(1, 90)
         assert bpe.merge_ids(piece.encode(), ranks) == brute.merges(piece.encode(), ranks)
     peer = tiktoken.Encoding("peer", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    narrow = bpe.ascii_pattern(public.PATTERN)
+    coder = bpe.encoder(ranks, public.PATTERN)
+    for k in range(200):
+        text = "".join(rng.choice("abZ '09.,;\t\n\r\x0b\x1c\x1f_-$" + "é中\u00a0\u2028" * (k % 2)) for _ in range(rng.randint(0, 80))) + rng.choice(["'s", "'ll it", "  ", ""])
+        assert narrow and list(np.frombuffer(coder(text), "<u4")) == peer.encode_ordinary(text)
+    assert bpe.ascii_pattern(r"\w+") is None
     wanted = []
     for r in rows:
         ids = peer.encode_ordinary(r[1] or "")
