@@ -24,6 +24,7 @@ from biotope.llm import texts
 
 #: Ranks in one leaf of the bitmap; the top level has a bit for each leaf.
 LEAF_BITS = 8
+LEAF_MASK = (1 << LEAF_BITS) - 1
 #: Most pre-tokens in each of the two generations that a Python worker remembers (some 200 bytes each), and
 #: the longest of them in characters. What is remembered changes the speed only.
 REMEMBERED, REMEMBERED_CHARS = 500_000, 48
@@ -43,61 +44,71 @@ def merge_ids(piece: bytes, ranks: Ranks) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
+    rank_of = ranks.get
     token = [piece[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    current = [-1] * n  # rank of the pair that starts here; -1: none or unlinked
+    current = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that starts here; -1: none or unlinked
+    current.append(-1)
     buckets: dict[int, list[int]] = {}
     leaves: dict[int, int] = {}
     top = 0
-    mask = (1 << LEAF_BITS) - 1
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            current[i] = rank
+    pairs = 0  # that are neither stale nor merged; what is queued beyond the last one is stale
+    fresh = [(i, rank) for i, rank in enumerate(current) if rank >= 0]
+    while True:
+        for at, rank in fresh:
+            pairs += 1
             bucket = buckets.get(rank)
-            if bucket is None:
-                buckets[rank] = [i]
-                leaf = rank >> LEAF_BITS
-                leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & mask)
+            if bucket is not None:
+                heappush(bucket, at)
+                continue
+            buckets[rank] = [at]
+            leaf = rank >> LEAF_BITS
+            bits = leaves.get(leaf, 0)
+            leaves[leaf] = bits | 1 << (rank & LEAF_MASK)
+            if not bits:
                 top |= 1 << leaf
-            else:
-                bucket.append(i)  # ascending, so a heap already
-    while top:
-        leaf = (top & -top).bit_length() - 1
-        bits = leaves[leaf]
-        rank = (leaf << LEAF_BITS) + (bits & -bits).bit_length() - 1
-        bucket = buckets[rank]
-        i = heappop(bucket)
-        if not bucket:
+        if not pairs:
+            break
+        i = rank = -1
+        while rank < 0 or current[i] != rank:
+            leaf = (top & -top).bit_length() - 1
+            bits = leaves[leaf]
+            low = bits & -bits
+            rank = (leaf << LEAF_BITS) + low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+                continue
+            i = bucket[0]
             del buckets[rank]
-            bits &= bits - 1
+            bits ^= low
             leaves[leaf] = bits
             if not bits:
-                top &= top - 1
-        if current[i] != rank:
-            continue
+                top ^= 1 << leaf
         gone = after[i]
         token[i] += token[gone]
-        current[gone] = -1
+        pairs -= 1
+        if current[gone] >= 0:
+            current[gone] = -1
+            pairs -= 1
         after[i] = follow = after[gone]
+        fresh = []
         if follow < n:
             before[follow] = i
-        for at, then in ((before[i], i), (i, follow)):
-            if at < 0:
-                continue
-            fresh = ranks.get(token[at] + token[then]) if then < n else None
-            if fresh is None:
-                current[at] = -1
-            elif fresh != current[at] or at == i:
-                current[at] = fresh
-                bucket = buckets.get(fresh)
-                if bucket is None:
-                    buckets[fresh] = [at]
-                    leaf = fresh >> LEAF_BITS
-                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (fresh & mask)
-                    top |= 1 << leaf
-                else:
-                    heappush(bucket, at)
+            current[i] = rank = rank_of(token[i] + token[follow], -1)
+            if rank >= 0:
+                fresh.append((i, rank))
+        else:
+            current[i] = -1
+        at = before[i]
+        if at >= 0:
+            rank = rank_of(token[at] + token[i], -1)
+            if rank != current[at]:
+                if current[at] >= 0:
+                    pairs -= 1
+                current[at] = rank
+                if rank >= 0:
+                    fresh.append((at, rank))
     out, i = [], 0
     while i < n:
         out.append(ranks[token[i]])
