@@ -161,8 +161,14 @@ REGISTRY_RULES = (
     (equals("arso_relative_humidity_mean_pct"), "arso", "local_humidity", "include_local_optional", "low"),
     (equals("arso_precipitation_sum_mm"), "arso", "local_precipitation", "include_local_optional", "low"),
     (starts("arso_"), "arso", "local_weather", "include_local_optional", "low"),
-    (starts("gozdis_air_temperature_"), "gozdis", "local_temperature", "include_local_optional", "low"),
-    (starts("gozdis_relative_humidity_"), "gozdis", "local_humidity", "include_local_optional", "low"),
+    (
+        equals("gozdis_air_temperature_mean_c", "gozdis_air_temperature_min_c", "gozdis_air_temperature_max_c"),
+        "gozdis", "local_temperature", "include_local_optional", "low",
+    ),
+    (
+        equals("gozdis_relative_humidity_mean_pct", "gozdis_relative_humidity_min_pct", "gozdis_relative_humidity_max_pct"),
+        "gozdis", "local_humidity", "include_local_optional", "low",
+    ),
     (equals("gozdis_precipitation_sum_mm"), "gozdis", "local_precipitation", "include_local_optional", "low"),
     (starts("gozdis_"), "gozdis", "local_weather", "include_local_optional", "low"),
     (starts("obrod_species_"), "obrod", "local_forestry_species_detail", "exclude_sparse_detail", "medium"),

@@ -3,47 +3,42 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Tokens read as missing, and the category standing in for them.
 MISSING_TOKENS = ("", "nan", "na", "null", "none")
 MISSING_CATEGORY = "__MISSING__"
 
 
-def _latin_folding() -> tuple[str, str]:
-    """Accented Latin letters that decompose to one ASCII letter, and those letters."""
+def _letter_folding() -> tuple[str, str]:
+    """Characters of the basic plane whose compatibility decomposition is one character with marks, and that character."""
     source, target = [], []
-    for point in range(0x00C0, 0x0250):
+    for point in (*range(0x00A0, 0xD800), *range(0xF900, 0x10000)):
         base = "".join(
             c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c)
         )
-        if len(base) == 1 and base.isascii() and base.isalpha():
+        if len(base) == 1 and base != chr(point):
             source.append(chr(point))
             target.append(base)
     return "".join(source), "".join(target)
 
 
-ACCENTED, PLAIN = _latin_folding()
+ACCENTED, PLAIN = _letter_folding()
+
+
+def strip_marks(name: Column) -> Column:
+    """Name without accents, written as one letter or as combining marks."""
+    return F.regexp_replace(F.translate(name, ACCENTED, PLAIN), r"\p{M}+", "")
 
 
 def fold_name(name: Column) -> Column:
     """Accent-free upper-case name with punctuation and runs of blanks reduced to one blank."""
-    folded = F.upper(F.translate(name, ACCENTED, PLAIN))
+    folded = F.upper(strip_marks(name))
     return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[-/.()]", " "), r"\s+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def strip_marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Full compatibility decomposition, for scripts beyond the Latin range of ``fold_name``."""
-    for names in batches:
-        yield names.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)
-
-
 def site_code(code: Column) -> Column:
     """Code without leading zeros; an empty code is ``0``."""
     bare = F.regexp_replace(F.trim(code.cast("string")), "^0+", "")

@@ -14,6 +14,7 @@ caller says they are ``staged`` already. Group columns must not be NULL.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -22,22 +23,21 @@ from pyspark.sql import functions as F
 
 from biotope.session import materialize, measured
 
-MAX_BUCKETS = 4096
 MIN_BUCKETS = 16
 
 
 def bucket_count(df: DataFrame) -> int:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, 2 * partitions))
+    return max(MIN_BUCKETS, 2 * partitions)
 
 
 def value_cuts(df: DataFrame, *columns: str) -> dict[str, list[float]]:
-    """Approximate quantile cuts per column, at most ``MAX_BUCKETS`` numbers each."""
+    """Approximate quantile cuts per column, fewer than ``bucket_count`` finite numbers each."""
     n = bucket_count(df)
     probabilities = [i / n for i in range(1, n)]
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     found = doubles.approxQuantile(list(columns), probabilities, 1.0 / (2 * n))
-    return {c: sorted(set(cuts)) for c, cuts in zip(columns, found)}
+    return {c: sorted({x for x in cuts if math.isfinite(x)}) for c, cuts in zip(columns, found)}
 
 
 def with_bucket(df: DataFrame, column: str, cuts: Sequence[float], name: str) -> DataFrame:
@@ -68,7 +68,7 @@ def _prefix(
     local = cells.select(
         "*", *[F.coalesce(F.sum(s).over(inner), F.lit(0)).alias(f"{s}_local") for s in sums]
     )
-    # one row per group and bucket, at most MAX_BUCKETS + 1 per group
+    # one row per group and bucket, at most ``bucket_count`` + 1 per group
     outer = _before(Window.partitionBy(*groups).orderBy(_directed(bucket, descending)))
     totals = cells.groupBy(*groups, bucket).agg(*[F.sum(s).alias(s) for s in sums])
     offsets = totals.select(

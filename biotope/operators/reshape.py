@@ -28,6 +28,13 @@ def unpivot_weeks(wide: DataFrame, ids: Sequence[str], year: int | None = None)
     )
 
 
+def unpivot_week_numbers(wide: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """``WW`` columns of sheets whose year is among the ids -> (ids, iso_week, value)."""
+    labels = [c for c in wide.columns if c not in ids and c.isdigit()]
+    long = wide.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{c}`") for c in labels], "label", "value")
+    return long.select(*ids, F.col("label").cast("int").alias("iso_week"), "value")
+
+
 def unpivot_years(wide: DataFrame, ids: Sequence[str], prefix: str) -> DataFrame:
     """``<prefix>YYYY`` columns -> (ids, year, value) without NULL values."""
     labels = [c for c in wide.columns if c.startswith(prefix) and c[len(prefix):].isdigit()]

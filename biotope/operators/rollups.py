@@ -455,12 +455,13 @@ def baseline_anomaly(
     )
 
 
-def reconcile_totals(long: DataFrame, row: str, period: str, value: str) -> DataFrame:
-    """Totals per row, per period and overall in one pass."""
-    return long.groupingSets([[row], [period], []], row, period).agg(
+def reconcile_totals(long: DataFrame, row: str, period: str, value: str, sheet: Sequence[str] = ()) -> DataFrame:
+    """Totals per row, per period and overall in one pass, for each sheet where sheet columns are named."""
+    sheet = list(sheet)
+    return long.groupingSets([[*sheet, row], [*sheet, period], sheet], *sheet, row, period).agg(
         F.sum(value).alias("computed_total"),
         F.count(F.lit(1)).alias("cells"),
-        F.grouping_id(row, period).cast("int").alias("grain"),
+        (F.grouping(row) * 2 + F.grouping(period)).cast("int").alias("grain"),
     )
 
 

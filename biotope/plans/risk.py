@@ -31,6 +31,11 @@ FEATURE_LABELS = {
     "broad_leaved_forest_cover_pct": "listnati gozd",
     "coniferous_forest_cover_pct": "iglasti gozd",
     "dominant_clc_cover_pct": "tip rabe tal",
+    "agricultural_cover_pct": "kmetijska krajina",
+    "shrub_transitional_cover_pct": "grmisca in prehodni habitat",
+    "soil_temperature_level_1_c_mean": "temperatura tal",
+    "soil_temperature_level_2_c_mean": "temperatura globljih tal",
+    "wet_hours_ge_0_1mm_sum": "mokri dnevi",
 }
 
 

@@ -90,7 +90,7 @@ def panel_order(t):
 
 @bind("seeded_sample")
 def seeded_sample(t):
-    return windows.seeded_sample(t.scored, "doc_id", 200, 42)
+    return windows.seeded_sample(t.rated, "doc_id", 200, 42)
 
 
 @bind("row_limit", "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 25")

@@ -187,20 +187,19 @@ class Tables:
 
     @cached_property
     def ensemble(self) -> DataFrame:
-        """Forecast members: order month -> ship month, leads 1 to 6."""
+        """Every line item is a forecast member, issued in its order month with a lead of 1 to 6."""
         line, orders = self.table("lineitem"), self.table("orders")
         joined = line.join(orders, line.l_orderkey == orders.o_orderkey)
-        init, target = F.to_date(F.trunc("o_orderdate", "month")), F.to_date(F.trunc("l_shipdate", "month"))
-        lead = (F.year(target) - F.year(init)) * 12 + F.month(target) - F.month(init)
+        init, lead = F.to_date(F.trunc("o_orderdate", "month")), F.pmod("l_orderkey", F.lit(6)).cast("int") + 1
         return joined.select(
             F.col("l_returnflag").alias("family"),
             init.alias("init_month"),
-            target.alias("target_month"),
-            lead.cast("int").alias("lead_month"),
+            F.add_months(init, lead).alias("target_month"),
+            lead.alias("lead_month"),
             F.col("l_linenumber").alias("member"),
             F.col("l_suppkey").alias("cell"),
             cents(F.col("l_extendedprice")).alias("value"),
-        ).where("lead_month between 1 and 6")
+        )
 
     @cached_property
     def scenario_year(self) -> DataFrame:
@@ -245,6 +244,18 @@ class Tables:
             (F.col("n_chars").cast("double") / (F.col("n_chars") + 1000)).alias("score"),
         )
 
+    @cached_property
+    def rated(self) -> DataFrame:
+        """All documents as scored rows without a target."""
+        split = F.when(F.col("lang") == "en", "test").when(F.col("lang") == "es", "validation").otherwise("train")
+        return self.table("documents").drop("text").select(
+            "doc_id",
+            split.alias("split"),
+            F.col("source").alias("site"),
+            F.col("n_chars").cast("double").alias("feature"),
+            (F.col("n_chars").cast("double") / (F.col("n_chars") + 1000)).alias("score"),
+        )
+
     @cached_property
     def risk_panel(self) -> DataFrame:
         """Site-weeks with a score, split by calendar year."""
@@ -261,8 +272,15 @@ class Tables:
 
     @cached_property
     def names(self) -> DataFrame:
-        """Part names with accents and punctuation, under zero-padded codes."""
-        accented = F.translate(F.initcap("p_name"), "ecsz", "éčšž")
+        """Part names with accents and punctuation, under zero-padded codes.
+
+        Every third name writes its accents as combining marks, every third has letters beyond Latin Extended-B.
+        """
+        plain, form = F.initcap("p_name"), F.pmod("p_partkey", F.lit(3))
+        marked = F.regexp_replace(F.regexp_replace(plain, "([csz])", "$1\u030c"), "e", "e\u0301")
+        accented = (
+            F.when(form == 0, marked).when(form == 1, F.translate(plain, "aeou", "ạếộử")).otherwise(F.translate(plain, "ecsz", "éčšž"))
+        )
         return self.table("part").select(
             F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("code"),
             F.concat(F.replace(accented, F.lit(" "), F.lit("-")), F.lit(" ("), F.col("p_type"), F.lit(").  ")).alias(
@@ -368,14 +386,11 @@ RELATION_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "ensemble": (
         (),
-        """SELECT * FROM (SELECT l_returnflag AS family,
-            CAST(date_trunc('month', o_orderdate) AS DATE) AS init_month,
-            CAST(date_trunc('month', l_shipdate) AS DATE) AS target_month,
-            CAST((year(l_shipdate) - year(o_orderdate)) * 12 + month(l_shipdate) - month(o_orderdate) AS INTEGER)
-              AS lead_month,
+        """SELECT l_returnflag AS family, CAST(date_trunc('month', o_orderdate) AS DATE) AS init_month,
+            CAST(date_trunc('month', o_orderdate) + to_months(CAST(l_orderkey % 6 + 1 AS INTEGER)) AS DATE) AS target_month,
+            CAST(l_orderkey % 6 + 1 AS INTEGER) AS lead_month,
             l_linenumber AS member, l_suppkey AS cell, CAST(round(l_extendedprice * 100) AS BIGINT) AS value
-          FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS members
-        WHERE lead_month BETWEEN 1 AND 6""",
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     ),
     "scenario_year": (
         (),
@@ -406,6 +421,12 @@ RELATION_SQL: dict[str, tuple[tuple[str, ...], str]] = {
           n_chars::DOUBLE / (n_chars + 1000) AS score
         FROM labels JOIN documents USING (doc_id)""",
     ),
+    "rated": (
+        (),
+        """SELECT doc_id, CASE WHEN lang = 'en' THEN 'test' WHEN lang = 'es' THEN 'validation' ELSE 'train' END AS split,
+          source AS site, n_chars::DOUBLE AS feature, n_chars::DOUBLE / (n_chars + 1000) AS score
+        FROM documents""",
+    ),
     "risk_panel": (
         ("site_week", "static_site"),
         """SELECT site, site_name, week_start,
@@ -417,11 +438,13 @@ RELATION_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "names": (
         (),
         """SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code,
-          replace(translate(list_aggregate(list_transform(string_split(p_name, ' '),
-              lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' '), 'ecsz', 'éčšž'), ' ', '-')
+          replace(CASE p_partkey % 3
+              WHEN 0 THEN replace(regexp_replace(plain, '([csz])', '\\1' || chr(780), 'g'), 'e', 'e' || chr(769))
+              WHEN 1 THEN translate(plain, 'aeou', 'ạếộử') ELSE translate(plain, 'ecsz', 'éčšž') END, ' ', '-')
             || ' (' || p_type || ').  ' AS raw_name,
           p_brand AS brand, p_retailprice AS price, p_size AS size
-        FROM part""",
+        FROM (SELECT *, list_aggregate(list_transform(string_split(p_name, ' '),
+              lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS plain FROM part) AS p""",
     ),
     "pixels": (
         (),

@@ -3,31 +3,22 @@
 from pyspark.sql import functions as F
 
 from biotope.operators import metrics, reshape, rollups
-from biotope.session import materialize
 from biotope.workload.registry import bind
 
 WEEKS = range(1, 54)
-YEARS = range(1994, 2004, 2)
 
 
 def wide_weeks(t):
-    """Site x ISO year rows with one column per week and a total, as a case workbook sheet."""
+    """Site x ISO year rows with one column per week and a total, as the sheets of a case workbook."""
     keyed = t.site_week.select(
         "site",
-        F.extract(F.lit("YEAROFWEEK"), "week_start").alias("sheet_year"),
+        F.extract(F.lit("YEAROFWEEK"), "week_start").alias("iso_year"),
         F.weekofyear("week_start").alias("week"),
         "cases_a",
     )
-    wide = keyed.groupBy("site", "sheet_year").pivot("week", list(WEEKS)).agg(F.first("cases_a"))
+    wide = keyed.groupBy("site", "iso_year").pivot("week", list(WEEKS)).agg(F.first("cases_a"))
     total = sum([F.coalesce(f"`{w}`", F.lit(0)) for w in WEEKS], F.lit(0)).alias("SKUPAJ")
-    return wide.select("site", "sheet_year", *[F.col(f"`{w}`") for w in WEEKS], total)
-
-
-def sheet(wide, year):
-    """One year's sheet with ``YYYY-WW`` headers."""
-    return wide.where(F.col("sheet_year") == year).select(
-        "site", *[F.col(f"`{w}`").alias(f"{year}-{w:02d}") for w in WEEKS], "SKUPAJ"
-    )
+    return wide.select("site", "iso_year", *[F.col(f"`{w}`").alias(f"{w:02d}") for w in WEEKS], total)
 
 
 LONG_WEEKS_SQL = """SELECT site, CAST(isoyear(week_start) AS INTEGER) AS iso_year,
@@ -35,19 +26,13 @@ LONG_WEEKS_SQL = """SELECT site, CAST(isoyear(week_start) AS INTEGER) AS iso_yea
 
 
 def long_weeks(t):
-    """All sheets, one per year of the panel; the wide table is made once."""
-    wide = materialize(wide_weeks(t), "wide_weeks")
-    years = sorted(r.sheet_year for r in wide.select("sheet_year").distinct().collect())
-    sheets = [reshape.unpivot_weeks(sheet(wide, y), ["site", "SKUPAJ"], y) for y in years]
-    stacked = sheets[0]
-    for s in sheets[1:]:
-        stacked = stacked.unionByName(s)
-    return stacked
+    """All sheets at once: the sheet's year is an id of the row."""
+    return reshape.unpivot_week_numbers(wide_weeks(t), ["site", "iso_year", "SKUPAJ"]).where("value is not null")
 
 
 @bind("unpivot_week_columns", LONG_WEEKS_SQL, needs="site_week")
 def unpivot_week_columns(t):
-    return long_weeks(t).where("value is not null").select("site", "iso_year", "iso_week", "value")
+    return long_weeks(t).select("site", "iso_year", "iso_week", "value")
 
 
 @bind(
@@ -56,8 +41,11 @@ def unpivot_week_columns(t):
     needs="yearly_site",
 )
 def unpivot_year_columns(t):
-    wide = t.yearly_site.groupBy("site").pivot("year", list(YEARS)).agg(F.first("population").cast("double"))
-    named = wide.select("site", *[F.col(f"`{y}`").alias(f"metric_{y}") for y in YEARS])
+    """The years of the wide table are those of the data, a calendar's handful."""
+    rows = t.once("yearly_site")
+    years = [r.year for r in rows.select("year").distinct().orderBy("year").collect()]
+    wide = rows.groupBy("site").pivot("year", years).agg(F.first("population").cast("double"))
+    named = wide.select("site", *[F.col(f"`{y}`").alias(f"metric_{y}") for y in years])
     return reshape.unpivot_years(named, ["site"], "metric_")
 
 
@@ -155,18 +143,16 @@ def split_future_backtest(t):
 @bind(
     "total_reconciliation",
     f"""WITH l AS ({LONG_WEEKS_SQL}), g AS (
-      SELECT site, iso_week, CAST(sum(value) AS BIGINT) AS computed_total, count(*) AS cells,
+      SELECT iso_year, site, iso_week, CAST(sum(value) AS BIGINT) AS computed_total, count(*) AS cells,
         CAST(grouping(site) * 2 + grouping(iso_week) AS INTEGER) AS grain
-      FROM l WHERE iso_year = 1998 GROUP BY GROUPING SETS ((site), (iso_week), ()))
+      FROM l GROUP BY GROUPING SETS ((iso_year, site), (iso_year, iso_week), (iso_year)))
     SELECT g.*, CASE WHEN grain = 1 THEN computed_total END AS published_total, true AS as_published FROM g""",
     needs="site_week",
 )
 def total_reconciliation(t):
-    """Totals of one sheet at three grains, the site grain against the sheet's own total column."""
-    one = materialize(sheet(wide_weeks(t), 1998), "sheet")
-    long = reshape.unpivot_weeks(one, ["site", "SKUPAJ"], 1998).where("value is not null")
-    totals = rollups.reconcile_totals(long, "site", "iso_week", "value")
-    published = one.select("site", F.col("SKUPAJ").cast("bigint").alias("published_total"))
-    joined = totals.join(published, "site", "left")
+    """Totals of every sheet at three grains, the site grain against the sheet's own total column."""
+    totals = rollups.reconcile_totals(long_weeks(t), "site", "iso_week", "value", ["iso_year"])
+    published = wide_weeks(t).select("iso_year", "site", F.col("SKUPAJ").cast("bigint").alias("published_total"))
+    joined = totals.join(published, ["iso_year", "site"], "left")
     same = F.col("published_total").isNull() | (F.col("published_total") == F.col("computed_total"))
     return joined.withColumn("as_published", same)

@@ -21,7 +21,7 @@ def name_normalize(t):
 
 @bind("name_decompose", f"SELECT code, upper(strip_accents(raw_name)) AS plain_name FROM names", needs="names")
 def name_decompose(t):
-    return t.names.select("code", F.upper(text.strip_marks("raw_name")).alias("plain_name"))
+    return t.names.select("code", F.upper(text.strip_marks(F.col("raw_name"))).alias("plain_name"))
 
 
 @bind(
@@ -250,16 +250,16 @@ def rate_per_100k(t):
 @bind(
     "weight_transform",
     """WITH w AS (SELECT doc_id, ln(1 + feature) AS by_log, CASE WHEN score > 0.5 THEN exp(score) - 1 END AS by_exp,
-        CASE WHEN feature > 100 THEN feature END AS by_value FROM scored)
+        CASE WHEN feature > 100 THEN feature END AS by_value FROM rated)
     SELECT doc_id, by_log / (SELECT avg(by_log) FROM w) AS log_weight,
       by_exp / (SELECT avg(by_exp) FROM w) AS exp_weight, by_value / (SELECT avg(by_value) FROM w) AS plain_weight
     FROM w""",
-    needs="scored",
+    needs="rated",
     rounded="log_weight exp_weight plain_weight",
 )
 def weight_transform(t):
     """Weights divided by their overall mean, which is one number from its own aggregate."""
-    w = t.scored.select(
+    w = t.rated.select(
         "doc_id",
         rules.weight(F.col("feature"), "log1p").alias("by_log"),
         rules.weight(F.when(F.col("score") > 0.5, F.col("score")), "expm1").alias("by_exp"),
@@ -425,11 +425,11 @@ def lead_target_month(t):
 @bind(
     "classify_level",
     """SELECT doc_id, CASE WHEN score < 0.4 THEN 'Low' WHEN score < 0.7 THEN 'Medium' ELSE 'High' END AS level
-    FROM scored""",
-    needs="scored",
+    FROM rated""",
+    needs="rated",
 )
 def classify_level(t):
-    return t.scored.select("doc_id", rules.level(F.col("score"), F.lit(0.4), F.lit(0.7)).alias("level"))
+    return t.rated.select("doc_id", rules.level(F.col("score"), F.lit(0.4), F.lit(0.7)).alias("level"))
 
 
 @bind(
@@ -503,7 +503,8 @@ def evidence_labels(t):
 REGISTRY_KEYS = (
     ("obcina_sifra", False), ("week_start", False), ("iso_week", False), ("lyme_cases", False),
     ("overlay_method", False), ("has_arso_local", False), ("tick_activity_", True), ("arso_precipitation_sum_mm", False),
-    ("arso_", True), ("gozdis_relative_humidity_", True), ("gozdis_", True), ("obrod_species_", True), ("obrod_", True),
+    ("arso_", True), ("gozdis_relative_humidity_", True), ("gozdis_", True),
+    ("gozdis_relative_humidity_mean_pct", False), ("gozdis_air_temperature_max_c", False), ("obrod_species_", True), ("obrod_", True),
     ("elevation_", True), ("population_total", False), ("dominant_clc_code", False), ("forest_cover_pct", False),
     ("air_temperature_", True), ("humidity_hours_", True), ("precipitation_", True), ("soil_water_", True),
     ("lyme_cases_", True), ("wind_", True), ("other_", True),
@@ -526,7 +527,8 @@ REGISTRY_KEYS = (
         WHEN key = 'overlay_method' THEN 'processing_metadata' WHEN key = 'has_arso_local' THEN 'coverage_flag'
         WHEN key LIKE 'tick_activity%' THEN 'retired_tick_activity_proxy'
         WHEN key = 'arso_precipitation_sum_mm' THEN 'local_precipitation'
-        WHEN key LIKE 'gozdis_relative_humidity%' THEN 'local_humidity'
+        WHEN key = 'gozdis_relative_humidity_mean_pct' THEN 'local_humidity'
+        WHEN key = 'gozdis_air_temperature_max_c' THEN 'local_temperature'
         WHEN key LIKE 'arso%' OR key LIKE 'gozdis%' THEN 'local_weather'
         WHEN key LIKE 'obrod_species%' THEN 'local_forestry_species_detail'
         WHEN key LIKE 'obrod%' THEN 'local_forestry_summary' WHEN key LIKE 'elevation%' THEN 'topography'
@@ -571,11 +573,11 @@ def rule_classify(t):
 
 @bind(
     "code_subset",
-    "SELECT doc_id, site, split, score FROM scored WHERE split IN ('validation', 'test') AND site IN ('src1', 'src5', 'src9', 'src12')",
-    needs="scored",
+    "SELECT doc_id, site, split, score FROM rated WHERE split IN ('validation', 'test') AND site IN ('src1', 'src5', 'src9', 'src12')",
+    needs="rated",
 )
 def code_subset(t):
-    holdout = t.scored.where(F.col("split").isin("validation", "test"))
+    holdout = t.rated.where(F.col("split").isin("validation", "test"))
     return holdout.where(F.col("site").isin("src1", "src5", "src9", "src12")).select("doc_id", "site", "split", "score")
 
 

@@ -150,11 +150,11 @@ def rank_in_group(t):
 @bind(
     "average_rank",
     """SELECT doc_id, split, score, rank() OVER (PARTITION BY split ORDER BY score)
-      + (count(*) OVER (PARTITION BY split, score) - 1) / 2.0::DOUBLE AS avg_rank FROM scored""",
-    needs="scored",
+      + (count(*) OVER (PARTITION BY split, score) - 1) / 2.0::DOUBLE AS avg_rank FROM rated""",
+    needs="rated",
 )
 def average_rank(t):
-    rows = t.scored.select("doc_id", "split", "score")
+    rows = t.rated.select("doc_id", "split", "score")
     return ordering.average_rank(rows, "score", ["split"])
 
 
@@ -162,7 +162,7 @@ GAIN_SQL = """SELECT doc_id, split, position, positives_so_far, positives_so_far
       position::DOUBLE / n AS fraction, (positives_so_far::DOUBLE / position) / prevalence AS lift
     FROM (SELECT doc_id, split, row_number() OVER w AS position, CAST(sum(target) OVER w AS BIGINT) AS positives_so_far,
         count(*) OVER (PARTITION BY split) AS n, avg(target) OVER (PARTITION BY split) AS prevalence
-      FROM scored WINDOW w AS (PARTITION BY split ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING)) AS r"""
+      FROM rated WINDOW w AS (PARTITION BY split ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING)) AS r"""
 
 
 @bind(
@@ -188,13 +188,13 @@ def inverse_group_weight(t):
 
 @bind(
     "empirical_percentile_score",
-    """WITH h AS (SELECT score FROM scored WHERE split IN ('validation', 'test'))
-    SELECT doc_id, score AS raw_score, CAST(round_even(100.0::DOUBLE * (SELECT count(*) FROM h WHERE h.score <= scored.score)
-      / (SELECT count(*) FROM h), 0) AS INTEGER) AS percentile FROM scored""",
-    needs="scored",
+    """WITH h AS (SELECT score FROM rated WHERE split IN ('validation', 'test'))
+    SELECT doc_id, score AS raw_score, CAST(round_even(100.0::DOUBLE * (SELECT count(*) FROM h WHERE h.score <= rated.score)
+      / (SELECT count(*) FROM h), 0) AS INTEGER) AS percentile FROM rated""",
+    needs="rated",
 )
 def empirical_percentile_score(t):
-    rows = t.scored.select("doc_id", "split", F.col("score").alias("raw_score"))
+    rows = t.rated.select("doc_id", "split", F.col("score").alias("raw_score"))
     holdout = rows.where(F.col("split").isin("validation", "test"))
     return ordering.percentile_scores(holdout, rows.drop("split"), "raw_score", name="percentile")
 
