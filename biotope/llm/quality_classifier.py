@@ -22,7 +22,7 @@ U = np.uint64
 #: log2 of the number of weights.
 BITS = 18
 #: Most labelled rows that the model is fitted on.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 
 #: Kinds of bytes that make a word's shape, one bit each.
 _KINDS = [(65, 91), (97, 123), (48, 58), (0xC0, 0x100)]
@@ -123,14 +123,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     def run(batches):
         for batch in batches:
             for first, last, owner, index, value in features(batch.column(1)):
-                at = pa.array(np.searchsorted(owner, np.arange(last - first + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (index.astype(np.int32), value.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(first, last - first) for k in (0, 2)] + lists, ["doc_id", "label", "index", "value"])
+                at = np.searchsorted(owner, np.arange(last - first + 1))
+                packed = [pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()) for x in (index.astype("<i4"), value.astype("<f4"))]
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(first, last - first) for k in (0, 2)] + packed, ["doc_id", "label", "index", "value"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    made = sample.select("doc_id", "text", F.col("label").cast("double").alias("label")).mapInArrow(run, f"doc_id {kind}, label double, index array<int>, value array<float>")
+    made = sample.select("doc_id", "text", F.col("label").cast("double").alias("label")).mapInArrow(run, f"doc_id {kind}, label double, index binary, value binary")
     rows = sorted(made.collect(), key=lambda r: (r.doc_id * 2654435761 % 4294967291 if isinstance(r.doc_id, int) else r.doc_id))
-    weights, bias = Ftrl().fit([(np.array(r["index"], np.int64), np.array(r["value"]), r.label) for r in rows])
+    weights, bias = Ftrl().fit([(np.frombuffer(r["index"], "<i4"), np.frombuffer(r["value"], "<f4"), r.label) for r in rows])
     return Classifier(weights, bias)
 
 
