@@ -28,6 +28,8 @@ BITS = 18
 SAMPLE_ROWS, CLEAN_PER_TOXIC = 6000, 2
 #: Marginal from which on a word belongs to an offending span.
 SPAN_LIMIT = 0.5
+#: Words whose marginals are in memory at a time in the fit.
+FIT_WORDS = 150_000
 #: Positions that one step of the chain takes side by side.
 STRIDE = 32
 WIDTHS = (4, 5, 6)
@@ -51,7 +53,7 @@ def tokens(raw: np.ndarray, offsets: np.ndarray):
     for width in WIDTHS:
         views.append(texts.hash_spans(low, inner_s, np.minimum(inner_s + width, inner_e)))
     views.append(texts.hash_spans(low, np.maximum(inner_e - 3, inner_s), inner_e))
-    table = np.stack([texts.mix(v + U(k + 1)) >> U(64 - BITS) for k, v in enumerate(views)]).astype(np.int64) if len(starts) else np.zeros((len(WIDTHS) + 2, 0), np.int64)
+    table = np.stack([texts.mix(v + U(k + 1)) >> U(64 - BITS) for k, v in enumerate(views)]).astype(np.int32) if len(starts) else np.zeros((len(WIDTHS) + 2, 0), np.int32)
     return starts, ends, doc, table
 
 
@@ -156,12 +158,22 @@ def _tied_features(table: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.
     return found
 
 
+def _stretches(doc: np.ndarray) -> list[slice]:
+    """Slices of whole texts with about FIT_WORDS words each."""
+    cuts, heads = [0], np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
+    while len(heads) and cuts[-1] < len(doc):
+        k = np.searchsorted(heads, cuts[-1] + FIT_WORDS)
+        cuts.append(int(heads[k]) if k < len(heads) else len(doc))
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def fit_texts(bodies: list[str], labels: list[int], rounds: int = 40, rate: float = 0.5, l2: float = 2e-4) -> Crf:
     """Tag the tokens, fit the field by Adagrad on its log-likelihood, then the document score on all rows."""
     toxic = np.array(labels, float)
     parts = [(first, *tokens(raw, offsets)) for first, _, raw, offsets in texts.pieces(pa.array(bodies, pa.large_string()))]
     doc = np.concatenate([p[3] + p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-    table = np.concatenate([p[4] for p in parts], axis=1) if parts else np.zeros((len(WIDTHS) + 2, 0), np.int64)
+    table = np.concatenate([p[4] for p in parts], axis=1) if parts else np.zeros((len(WIDTHS) + 2, 0), np.int32)
+    del parts
     weights, bias, trans, start = np.zeros(1 << BITS), -4.0, np.array([[0.95, 0.05], [0.5, 0.5]]), np.array([0.95, 0.05])
     tied = _tied_features(table, doc, toxic) if len(bodies) else np.zeros(1 << BITS, bool)
     bad_docs = np.flatnonzero(toxic > 0)
@@ -177,25 +189,33 @@ def fit_texts(bodies: list[str], labels: list[int], rounds: int = 40, rate: floa
     inner = ~first[1:]
     np.add.at(seen_pairs, (y[:-1][inner].astype(int), y[1:][inner].astype(int)), 1)
     seen_start = np.array([(1 - y[first]).sum(), y[first].sum()])
+    stretches = _stretches(d)
     for _ in range(rounds if y.any() else 0):
-        tag, pair = forward_backward(_emission(t, weights, bias), d, np.exp(log_trans), np.exp(log_start))
-        error = tag[:, 1] - y
-        gradient = sum(np.bincount(row, weights=error, minlength=1 << BITS) for row in t) / len(d) * 100 + l2 * weights
+        gradient, wrong, pairs, starts = np.zeros(1 << BITS), 0.0, np.zeros((2, 2)), np.zeros(2)
+        for part in stretches:
+            tag, pair = forward_backward(_emission(t[:, part], weights, bias), d[part], np.exp(log_trans), np.exp(log_start))
+            error = tag[:, 1] - y[part]
+            for row in t[:, part]:
+                gradient += np.bincount(row, weights=error, minlength=1 << BITS)
+            wrong += error.sum()
+            pairs += pair.sum(axis=0)
+            starts += tag[first[part]].sum(axis=0)
+        gradient = gradient / len(d) * 100 + l2 * weights
         g_w += gradient**2
         weights = weights - rate * gradient / np.sqrt(g_w)
-        g = error.mean() * 100
+        g = wrong / len(d) * 100
         g_b += g * g
         bias -= rate * g / np.sqrt(g_b)
-        g = (pair.sum(axis=0) - seen_pairs) / len(d) * 100
+        g = (pairs - seen_pairs) / len(d) * 100
         g_t += g * g
         log_trans = log_trans - 0.1 * g / np.sqrt(g_t)
-        g = (tag[first].sum(axis=0) - seen_start) / max(1, first.sum())
+        g = (starts - seen_start) / max(1, first.sum())
         g_s += g * g
         log_start = log_start - 0.1 * g / np.sqrt(g_s)
     model = Crf(weights.astype(np.float32), float(bias), np.exp(log_trans), np.exp(log_start), np.zeros(3))
     if len(bodies):
-        tag, _ = forward_backward(_emission(table, weights, bias), doc, model.trans, model.start)
-        model.calibration = _logistic(_document_features(tag, doc, len(bodies)), toxic)
+        likely = np.concatenate([forward_backward(_emission(table[:, p], weights, bias), doc[p], model.trans, model.start)[0] for p in _stretches(doc)] or [np.zeros((0, 2))])
+        model.calibration = _logistic(_document_features(likely, doc, len(bodies)), toxic)
     return model
 
 
