@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from biotope.functions.rules import any_present
 from biotope.operators.windows import forward_fill, over_panel
-from biotope.session import measured
 
 
 def overlay_join(cells: DataFrame, overlay: DataFrame, key: str = "grid_key") -> DataFrame:
     """Every cell row with every site the cell overlaps."""
-    return cells.join(measured(overlay, "overlay"), key)
+    return cells.join(overlay, key)
 
 
 def static_join(panel: DataFrame, static: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -162,7 +161,10 @@ def anchored_rows(
 def constant_anchors(
     future: DataFrame, monthly: DataFrame, keys: Sequence[str], values: Sequence[str], last_year: int | Column
 ) -> DataFrame:
-    """Anchors of the last observed year attached to every future row."""
+    """Anchors of the last observed year attached to every future row.
+
+    Without keys there is one series, and its anchors are one struct.
+    """
     keys = list(keys)
     last = monthly.where(F.col("year") == last_year)
     annual = last.where("month between 10 and 12").groupBy(*keys).agg(
@@ -170,7 +172,10 @@ def constant_anchors(
         *[F.avg(v).alias(f"{v}_anchor_q4_mean") for v in values],
     )
     same = last.select(*keys, "month", *[F.col(v).alias(f"{v}_same_month_last_year") for v in values])
-    return future.join(annual, keys).join(same, [*keys, "month"])
+    if keys:
+        return future.join(annual, keys).join(same, [*keys, "month"])
+    attached = future.withColumn("_anchors", annual.select(F.struct("*")).scalar())
+    return attached.select(*future.columns, *[F.col("_anchors")[c].alias(c) for c in annual.columns]).join(same, "month")
 
 
 def prediction_truth(
@@ -197,7 +202,6 @@ def resolve_names(df: DataFrame, folded: str, aliases: DataFrame, reference: Dat
 
     ``aliases``: alias, canonical (both folded); ``reference``: folded_name, code, name.
     """
-    aliases, reference = measured(aliases, "aliases"), measured(reference, "reference")
     renamed = df.join(aliases, df[folded] == aliases["alias"], "left").withColumn(
         "resolved_name", F.coalesce("canonical", folded)
     )

@@ -17,7 +17,7 @@ from biotope.operators.ordering import (
     quantile_columns,
     value_prefix,
 )
-from biotope.session import materialize, measured
+from biotope.session import materialize
 
 THRESHOLD = 0.5
 
@@ -133,7 +133,7 @@ def average_precision(
 def group_sizes(rows: DataFrame, truth: str, groups: Sequence[str]) -> DataFrame:
     positive = (F.col(truth) == 1).cast("int")
     sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_rows"), F.avg(positive).alias("prevalence"))
-    return measured(sizes, "sizes")
+    return sizes
 
 
 def cumulative_gain(
@@ -196,7 +196,7 @@ def pr_curve(df: DataFrame, truth: str, score: str, groups: Sequence[str] = ())
     positive = (F.col(truth) == 1).cast("int")
     cells = value_prefix(df, score, groups, {"positives": positive}, descending=True)
     totals = cells.groupBy(*groups).agg(F.sum("positives").alias("all_positives"))
-    joined = cells.join(measured(totals, "totals"), groups) if groups else cells.withColumn(
+    joined = cells.join(totals, groups) if groups else cells.withColumn(
         "all_positives", totals.scalar()
     )
     found = F.col("positives_before") + F.col("positives")

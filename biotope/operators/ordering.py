@@ -21,7 +21,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotope.session import materialize, measured
+from biotope.session import materialize
 
 MIN_BUCKETS = 16
 
@@ -183,7 +183,7 @@ def quantiles(
     )
     # one short row per group meets the cells
     if groups:
-        located = cells.join(measured(places, "places"), groups)
+        located = cells.join(places, groups)
     else:
         located = cells.withColumn("places", places.scalar())
 
@@ -235,7 +235,7 @@ def quantile_bins(
     edges = quantiles(rows, value, probabilities, groups, staged=True)
     nested = edges.groupBy(*groups).agg(F.sort_array(F.collect_set("quantile")).alias("edges"))
     kept = rows.where(F.col(value).isNotNull())
-    placed = kept.join(measured(nested, "edges"), groups) if groups else kept.withColumn("edges", nested.scalar())
+    placed = kept.join(nested, groups) if groups else kept.withColumn("edges", nested.scalar())
     below = F.size(F.filter("edges", lambda e: e < F.col(value)))
     if lowest_joins_first:
         below = F.greatest(below - 1, F.lit(0))
@@ -255,7 +255,7 @@ def percentile_scores(
     sizes = cells.groupBy(*groups).agg(F.sum("held").alias("reference_n"))
     held = cells.withColumn("at_or_below", F.col("held_before") + F.col("held"))
     if groups:
-        held = held.join(measured(sizes, "sizes"), groups)
+        held = held.join(sizes, groups)
     else:
         held = held.withColumn("reference_n", sizes.scalar())
     scored = held.select(

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biotope.session import measured
 
 # executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -116,7 +115,7 @@ def locate(
 
     ``shapes`` comes from ``with_edges``; a multipolygon is several rows of one site.
     """
-    listed = measured(bucketed_shapes(shapes, site, size), "shapes")
+    listed = bucketed_shapes(shapes, site, size)
     placed = points.withColumn("bx", bucket(F.col(x), size)).withColumn("by", bucket(F.col(y), size))
     joined = placed.join(listed, ["bx", "by"], "left")
     hit = F.get(F.filter("shapes", lambda s: inside(F.col(x), F.col(y), s)), F.lit(0))["site"]

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotope.session import measured
 
 
 def bucket_sizes(periods: int, train: float, validation: float) -> tuple[int, int, int]:
@@ -39,7 +38,7 @@ def ratio_split(df: DataFrame, period: str, train: float = 0.7, validation: floa
         .when(F.col("period_no") <= sizes[0] + sizes[1], "validation")
         .otherwise("test")
     )
-    return df.join(measured(numbered.select(period, split.alias("split")), "periods"), period)
+    return df.join(numbered.select(period, split.alias("split")), period)
 
 
 def boundary_split(df: DataFrame, period: str, train_end: str, validation_end: str) -> DataFrame:

@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotope.session import measured
 
 
 def over_panel(site: str | Sequence[str], period: str):
@@ -90,13 +89,13 @@ def period_delta(df: DataFrame, value: str, site: str, period: str, name: str =
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """At most ``n`` rows, the same ones whatever the partitioning; kept by a top-n per task."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def inverse_group_weight(df: DataFrame, group: str, name: str = "row_weight") -> DataFrame:
     """1 / rows of the group, from a pre-aggregated count instead of a window over the group."""
     sizes = df.groupBy(group).agg((F.lit(1.0) / F.count(F.lit(1))).alias(name))
-    return df.join(measured(sizes, "sizes"), group)
+    return df.join(sizes, group)
 
 
 def deaccumulate(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from biotope.functions.rules import nonnegative
 from biotope.operators.splits import expanding_folds
-from biotope.session import materialize, measured
+from biotope.session import materialize
 
 SMALLEST_SCALE = 1e-12
 
@@ -35,9 +35,13 @@ class RidgeModel:
     intercept: float
     coefficients: tuple[float, ...]
 
-    def predict(self) -> Column:
-        """Prediction as a plain column expression, clipped at 0."""
-        return nonnegative(linear(self.intercept, dict(zip(self.features, self.coefficients))))
+    def predict(self, baseline: Column | None = None) -> Column:
+        """Prediction as a plain column expression, clipped at 0.
+
+        A model of residuals is added to its baseline before the cut, so a negative residual counts.
+        """
+        value = linear(self.intercept, dict(zip(self.features, self.coefficients)))
+        return nonnegative(value if baseline is None else baseline + value)
 
 
 def linear(intercept: float, coefficients: dict[str, float]) -> Column:
@@ -58,7 +62,7 @@ def gram_sums(
         F.array(*[F.sum(w * F.col(c)) / F.sum(w) for c in columns]).alias("means"),
     )
     if groups:
-        centred = df.join(measured(means, "means"), groups)
+        centred = df.join(means, groups)
     else:
         one = means.select(F.struct("*")).scalar()
         centred = df.withColumn("stats", one).select("*", "stats.weight_sum", "stats.means")
@@ -129,21 +133,27 @@ def alpha_scores(
     fold_years: Sequence[int],
     alphas: Sequence[float],
     weight: str | None = None,
+    baseline: str | None = None,
 ) -> DataFrame:
     """Mean fold RMSE per penalty and the selected one (ties: the smaller penalty).
 
+    With a ``baseline`` the target is the residual from it, and the error is that of baseline plus
+    predicted residual, clipped at 0.
+
     All folds and penalties run as one job: sums per fold, one small solve per
     (fold, penalty), and the validation rows scored against that coefficient table.
     """
-    rows = materialize(df.select(year, *features, target, *([weight] if weight else [])), "alpha_rows")
+    extra = [c for c in (weight, baseline) if c]
+    rows = materialize(df.select(year, *features, target, *extra), "alpha_rows")
     folds = expanding_folds(rows, year, fold_years)
     sums = gram_sums(folds.where("fold_role = 'train'"), features, target, weight, ["fold_year"])
     models = solve_folds(sums, alphas, "fold_year int")
-    held_out = folds.where("fold_role = 'validate'").join(measured(models, "models"), "fold_year")
+    held_out = folds.where("fold_role = 'validate'").join(models, "fold_year")
     total = F.col("intercept")
     for i, name in enumerate(features):
         total = total + F.col("coefficients")[i] * F.col(name)
-    error = F.col(target) - nonnegative(total)
+    base = F.col(baseline) if baseline else F.lit(0.0)
+    error = base + F.col(target) - nonnegative(base + total)
     scored = held_out.groupBy("alpha", "fold_year").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
     grid = scored.groupBy("alpha").agg(F.avg("rmse").alias("mean_rmse"), F.count(F.lit(1)).alias("folds"))
     best = grid.agg(F.min_by(F.col("alpha"), F.struct("mean_rmse", "alpha"))).scalar()
@@ -165,22 +175,27 @@ def project(
     """Year-by-year projection feeding predictions back as lag-1 and mean of the last three.
 
     Each scenario's years form one sorted array (a calendar's length); the state of
-    the fold is the last three values, so the recursion stays in the JVM. Fewer than
-    three observed years before the first projected one is an error.
+    the fold is the last three values, so the recursion stays in the JVM. The three
+    years before the first projected one must be observed, and the projected years
+    must follow each other; anything else is an error.
     """
     keys = list(keys)
     recent = (
         history.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(year, target))).alias("past"))
-        .select(*keys, F.transform(F.slice("past", -3, 3), lambda p: p[target].cast("double")).alias("seed"))
+        .select(*keys, F.slice("past", -3, 3).alias("past"))
     )
     ahead = scenarios.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(year, *[F.col(f).cast("double").alias(f) for f in features]))).alias("ahead")
     )
+    span = F.transform("ahead", lambda p: p[year].cast("int"))
+    seen = F.transform("past", lambda p: p[year].cast("int"))
+    first = F.array_min(span)
+    sound = (seen == F.array(first - 3, first - 2, first - 1)) & (span == F.sequence(first, F.array_max(span)))
     joined = ahead.join(recent, keys).withColumn(
         "seed",
-        F.when(F.size("seed") == 3, F.col("seed")).otherwise(
-            F.raise_error(F.lit("three observed years are needed before the projection"))
+        F.when(sound, F.transform("past", lambda p: p[target].cast("double"))).otherwise(
+            F.raise_error(F.lit("three observed years are needed right before the projection, whose years must follow each other"))
         ),
     )
     empty = F.array().cast(f"array<struct<{year}:int,lag_1:double,rolling_3:double,predicted:double>>")
@@ -209,9 +224,12 @@ def project(
 
 
 def baseline_momentum(target: str, window, strategy: str = "lag1") -> dict[str, Column]:
-    """Baseline (lag-1 or mean of the last three rows) and recent momentum."""
-    lag_1 = F.lag(target, 1).over(window)
-    frame = window.rowsBetween(-3, -1)
+    """Baseline (value of the year before, or mean of the three years before) and recent momentum.
+
+    ``window`` is ordered by a whole-numbered year; a missing year gives NULL, not the next older one.
+    """
+    lag_1 = F.max(target).over(window.rangeBetween(-1, -1))
+    frame = window.rangeBetween(-3, -1)
     mean3 = F.when(F.count(target).over(frame) == 3, F.avg(target).over(frame))
     baseline = F.when(mean3.isNotNull(), lag_1) if strategy == "lag1" else mean3
     return {"baseline": baseline, "momentum": lag_1 - mean3}

@@ -18,9 +18,9 @@ from biotope.functions.rules import REPORT_FAMILY_RULES, first_rule
 from biotope.functions.text import fill_category
 from biotope.operators.metrics import THRESHOLD
 from biotope.operators.splits import expanding_folds
-from biotope.session import measured
 
 SMALLEST_ITERATIONS = 25
+LEAST_BINS = 256
 PARALLEL_FITS = 4
 
 
@@ -34,38 +34,52 @@ class TreeSpec:
     binary: bool = True
     balanced: bool = False
     weight: str | None = None
-    iterations: int = 20
-    depth: int = 4
+    iterations: int = 250
+    depth: int = 6
     learning_rate: float = 0.1
     seed: int = 42
     ids: tuple[str, ...] = field(default=())
 
 
-def prepared(df: DataFrame, spec: TreeSpec) -> DataFrame:
-    """Typed features, a missing indicator per numeric column, and the row weight."""
-    rows = df.select(
+def featured(df: DataFrame, spec: TreeSpec) -> DataFrame:
+    """Typed features and a missing indicator per numeric column."""
+    return df.select(
         "*",
         *[F.col(c).cast("double").alias(f"{c}__value") for c in spec.numeric],
         *[F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in spec.numeric],
         *[fill_category(F.col(c).cast("string")).alias(f"{c}__category") for c in spec.categorical],
         F.col(spec.target).cast("double").alias("label"),
     )
+
+
+def weighted(rows: DataFrame, spec: TreeSpec) -> DataFrame:
+    """Featured rows with their weight in the fit."""
     w = F.col(spec.weight) if spec.weight else F.lit(1.0)
     if not (spec.binary and spec.balanced):
         return rows.withColumn("row_weight", w)
     # classes weighted inversely to their share of the training rows
-    train = rows.where("split = 'train'") if "split" in df.columns else rows
+    train = rows.where("split = 'train'") if "split" in rows.columns else rows
     shares = train.groupBy("label").agg(F.count(F.lit(1)).alias("class_n"))
     total = train.agg(F.count(F.lit(1))).scalar()
     classes = shares.select("label", (total / (2.0 * F.col("class_n"))).alias("class_weight"))
-    return rows.join(measured(classes, "classes"), "label", "left").withColumn(
+    return rows.join(classes, "label", "left").withColumn(
         "row_weight", w * F.coalesce("class_weight", F.lit(1.0))
     )
 
 
-def stages(spec: TreeSpec, with_validation: bool) -> list:
-    values = [f"{c}__value" for c in spec.numeric]
-    filled = [f"{c}__filled" for c in spec.numeric]
+def extents(rows: DataFrame, spec: TreeSpec) -> tuple[list[str], int]:
+    """Numeric columns that have a value at all, and the largest number of categories."""
+    counted = rows.agg(
+        *[F.count(f"{c}__value").alias(f"n_{c}") for c in spec.numeric],
+        *[F.count_distinct(f"{c}__category").alias(f"k_{c}") for c in spec.categorical],
+    ).head()
+    return [c for c in spec.numeric if counted[f"n_{c}"]], max([0, *[counted[f"k_{c}"] for c in spec.categorical]])
+
+
+def stages(spec: TreeSpec, with_validation: bool, known: Sequence[str], categories_most: int) -> list:
+    """A numeric column without any value in the fit takes part by its missing indicator alone."""
+    values = [f"{c}__value" for c in known]
+    filled = [f"{c}__filled" for c in known]
     categories = [f"{c}__category" for c in spec.categorical]
     indexed = [f"{c}__index" for c in spec.categorical]
     steps: list = []
@@ -83,7 +97,7 @@ def stages(spec: TreeSpec, with_validation: bool) -> list:
         maxIter=spec.iterations,
         maxDepth=spec.depth,
         stepSize=spec.learning_rate,
-        maxBins=256,
+        maxBins=max(LEAST_BINS, categories_most + 1),  # categories kept for unseen values included
         seed=spec.seed,
     )
     if with_validation:
@@ -96,17 +110,18 @@ def train(df: DataFrame, spec: TreeSpec) -> PipelineModel:
 
     ``df`` is read once per boosting round; hand in a materialized table.
     """
-    rows = prepared(df, spec).where(F.col("label").isNotNull())
+    rows = weighted(featured(df, spec), spec).where(F.col("label").isNotNull())
     with_validation = "split" in df.columns
     if with_validation:
         rows = rows.where("split in ('train', 'validation')").withColumn(
             "is_validation", F.col("split") == "validation"
         )
-    return Pipeline(stages=stages(spec, with_validation)).fit(rows)
+    fitted = rows.where("not is_validation") if with_validation else rows
+    return Pipeline(stages=stages(spec, with_validation, *extents(fitted, spec))).fit(rows)
 
 
 def score(model: PipelineModel, df: DataFrame, spec: TreeSpec) -> DataFrame:
-    scored = model.transform(prepared(df, spec))
+    scored = model.transform(featured(df, spec))
     if spec.binary:
         value = vector_to_array("probability")[1]
     else:
@@ -128,7 +143,7 @@ def holdout_predictions(model: PipelineModel, df: DataFrame, spec: TreeSpec) ->
 
 def importances(spark: SparkSession, model: PipelineModel, spec: TreeSpec) -> DataFrame:
     """Ranked importance per feature (value and missing indicator together) with its family."""
-    names = [*spec.numeric, *spec.numeric, *spec.categorical]
+    names = [c.rsplit("__", 1)[0] for c in model.stages[-2].getInputCols()]
     weights: dict[str, float] = {}
     for name, value in zip(names, model.stages[-1].featureImportances.toArray()):
         weights[name] = weights.get(name, 0.0) + float(value)
@@ -157,12 +172,20 @@ def ablation_variants(core: Mapping[str, Sequence[str]], local: Mapping[str, Seq
     return variants
 
 
-def fold_rmse(panel: DataFrame, spec: TreeSpec, year: str, fold: int) -> float:
-    part = expanding_folds(panel, year, [fold])
-    model = train(part.where("fold_role = 'train'").drop("split"), spec)
-    scored = score(model, part.where("fold_role = 'validate'"), spec)
+def fold_result(panel: DataFrame, spec: TreeSpec, year: str, fold: int) -> tuple:
+    """(train rows, validation rows, best iteration, RMSE, MAE) of one fit that stops early on its fold.
+
+    A fold without train or validation rows has NULL figures.
+    """
+    role = F.when(F.col("fold_role") == "train", "train").otherwise("validation")
+    part = expanding_folds(panel, year, [fold]).withColumn("split", role)
+    n = part.agg(F.count_if(role == "train").alias("train"), F.count_if(role == "validation").alias("held")).head()
+    if not n.train or not n.held:
+        return n.train, n.held, None, None, None
+    model = train(part, spec)
     error = F.col("score") - F.col(spec.target)
-    return scored.agg(F.sqrt(F.avg(error * error)).alias("rmse")).head().rmse
+    figures = score(model, part.where("split = 'validation'"), spec).agg(F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae")).head()
+    return n.train, n.held, best_iteration(model), figures.rmse, figures.mae
 
 
 def grouped_ablation(
@@ -174,7 +197,7 @@ def grouped_ablation(
     folds: Sequence[int],
     spec: TreeSpec,
 ) -> DataFrame:
-    """RMSE of every variant, target and fold; each fit is a distributed Spark ML job."""
+    """Rows, best iteration, RMSE and MAE of every variant, target and fold; each fit is a distributed Spark ML job."""
     from dataclasses import replace
 
     tasks = [(v, t, f) for v in ablation_variants(core, local) for t in targets for f in folds]
@@ -182,21 +205,22 @@ def grouped_ablation(
     def run(task) -> tuple:
         variant, target, fold = task
         chosen = replace(spec, target=target, numeric=tuple(variant["columns"]))
-        rmse = fold_rmse(panel.where(F.col(target).isNotNull()), chosen, year, fold)
-        return target, variant["variant"], variant["comparison"], variant["group"], fold, len(variant["columns"]), rmse
+        figures = fold_result(panel.where(F.col(target).isNotNull()), chosen, year, fold)
+        return target, variant["variant"], variant["comparison"], variant["group"], fold, len(variant["columns"]), *figures
 
     with ThreadPool(PARALLEL_FITS) as pool:
         rows = pool.map(run, tasks)
     return panel.sparkSession.createDataFrame(
         rows,
         "target string, variant string, comparison string, group_name string, fold_year int, "
-        "feature_count int, rmse double",
+        "feature_count int, train_rows long, validation_rows long, best_iteration int, rmse double, mae double",
     )
 
 
 def frozen_iterations(best_iterations: Sequence[int]) -> int:
     """Half-even rounded mean best iteration, at least 25."""
-    return max(SMALLEST_ITERATIONS, round(sum(best_iterations) / len(best_iterations)))
+    mean = round(sum(best_iterations) / len(best_iterations)) if best_iterations else 0
+    return max(SMALLEST_ITERATIONS, mean)
 
 
 def best_iteration(model: PipelineModel) -> int:

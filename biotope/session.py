@@ -77,14 +77,3 @@ def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
     path = shared_folder(spark, purpose)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def measured(df: DataFrame, purpose: str = "side") -> DataFrame:
-    """Join side whose size Catalyst knows from its files instead of guessing it.
-
-    Meant for per-group statistics and site-level tables joined to a row-level
-    table: below ``spark.sql.autoBroadcastJoinThreshold`` they are broadcast and the
-    rows stay where they are, above it the join shuffles and adaptive execution
-    splits hot keys. No hint is given anywhere.
-    """
-    return materialize(df, purpose)

@@ -279,13 +279,11 @@ def anchor_joins(t):
     rounded="rate_a_anchor_q4_mean",
 )
 def constant_anchor_attach(t):
-    """One series, so the key of the anchors is a constant."""
+    """One series: its anchors are one struct."""
     last = t.once("month_cases").agg(F.max("year") - 1).scalar()
-    months = t.once("month_cases").select(F.lit("all").alias("series"), "year", "month", "rate_a")
-    future = t.ensemble.select("target_month").distinct().select(
-        F.lit("all").alias("series"), "target_month", F.month("target_month").alias("month")
-    )
-    return joins.constant_anchors(future, months, ["series"], ["rate_a"], last).drop("series")
+    months = t.once("month_cases").select("year", "month", "rate_a")
+    future = t.ensemble.select("target_month").distinct().select("target_month", F.month("target_month").alias("month"))
+    return joins.constant_anchors(future, months, [], ["rate_a"], last)
 
 
 @bind(

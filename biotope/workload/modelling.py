@@ -359,6 +359,29 @@ def alpha_grid(t):
     return ridge.alpha_scores(rows, ["temp", "rain"], "rate_a", "year", FOLDS, [0.1, 1.0, 10.0, 100.0])
 
 
+RESIDUAL_SQL = "(SELECT year, temp, rain, 300 + rain * 10 AS baseline, rate_a - (300 + rain * 10) AS residual FROM month_cases)"
+
+
+@bind(
+    "alpha_grid_residual",
+    f"""WITH m AS {RESIDUAL_SQL}, tr AS (SELECT temp, rain, residual, fold_year FROM m JOIN {FOLDS_SQL} AS f ON year < fold_year),
+      fits AS (SELECT * FROM {ridge_sql('tr', 'fold_year', 'residual', '[0.1, 1, 10, 100]')} AS r),
+      s AS (SELECT alpha, fold_year, sqrt(avg((baseline + residual - greatest(baseline + intercept + coef_temp * temp + coef_rain * rain, 0))
+          * (baseline + residual - greatest(baseline + intercept + coef_temp * temp + coef_rain * rain, 0)))) AS rmse
+        FROM fits JOIN m ON year = fold_year GROUP BY 1, 2),
+      g AS (SELECT alpha, avg(rmse) AS mean_rmse, count(*) AS folds FROM s GROUP BY 1)
+    SELECT *, alpha = (SELECT alpha FROM g ORDER BY mean_rmse, alpha LIMIT 1) AS selected FROM g""",
+    needs="month_cases",
+    rounded="mean_rmse",
+    digits=5,
+)
+def alpha_grid_residual(t):
+    """Penalties for a model of residuals, which are negative where the baseline is too high."""
+    base = F.lit(300) + F.col("rain") * 10
+    rows = t.month_cases.select("year", "temp", "rain", base.alias("baseline"), (F.col("rate_a") - base).alias("residual"))
+    return ridge.alpha_scores(rows, ["temp", "rain"], "residual", "year", FOLDS, [0.1, 1.0, 10.0, 100.0], baseline="baseline")
+
+
 @bind(
     "recursive_projection",
     """WITH RECURSIVE r AS (
@@ -627,5 +650,7 @@ def frozen_holdout(t):
 
     panel = training_panel(t)
     spec = replace(REGRESSION, numeric=("temp_mean", "rain_sum", "month"))
-    scored = trees.frozen_holdout(panel, spec, "year", 2001, [spec.iterations])
+    rows = panel.where(F.col(spec.target).isNotNull())
+    best = [trees.fold_result(rows, spec, "year", fold)[2] for fold in (1999, 2000)]
+    scored = trees.frozen_holdout(panel, spec, "year", 2001, [b for b in best if b])
     return scored.select("site", "week_start", "cases_next_4", "score", "iterations")

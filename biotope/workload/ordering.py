@@ -88,7 +88,7 @@ def panel_order(t):
     return t.site_week.select("site", "week_start", "cases_a").orderBy("site", "week_start")
 
 
-@bind("seeded_sample")
+@bind("seeded_sample", "SELECT * FROM rated ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id LIMIT 200", needs="rated")
 def seeded_sample(t):
     return windows.seeded_sample(t.rated, "doc_id", 200, 42)
 
