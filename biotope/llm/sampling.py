@@ -25,6 +25,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return source.join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows
 
 
+def class_counts(labels: DataFrame, label: str) -> dict:
+    """Labelled rows of each value of the label; labels have a handful of values."""
+    return {r[0]: r[1] for r in labels.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+
+
 def collected(sample: DataFrame) -> tuple[list, list]:
     """Texts and labels of a sample in the order of the ids, on the driver."""
     rows = sorted(sample.select("doc_id", "text", "label").collect(), key=lambda r: (r[0], r[1]))

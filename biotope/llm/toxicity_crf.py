@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biotope.llm import texts
-from biotope.llm.sampling import collected, labelled_sample
+from biotope.llm.sampling import class_counts, collected, labelled_sample
 
 U = np.uint64
 BITS = 18
-#: Most labelled rows in the fit, and the most clean documents for each toxic one among the tagged ones.
-SAMPLE_ROWS, CLEAN_PER_TOXIC = 6000, 2
+#: Most labelled rows in the fit, a third of them toxic where there are as many; the document score weighs
+#: the classes by their true shares.
+SAMPLE_ROWS = 4500
 #: Marginal from which on a word belongs to an offending span.
 SPAN_LIMIT = 0.5
 #: Words whose marginals are in memory at a time in the fit.
@@ -133,13 +134,13 @@ def _document_features(tag: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarra
     return np.stack([np.ones(rows), np.log(np.bincount(doc, weights=p, minlength=rows) + 1e-3), np.log(most / (1 - most))], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Newton's method with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Newton's method on weighted rows, with a small ridge."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + 0.05 * w
-        curvature = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
+        gradient = x.T @ (weight * (p - y)) + 0.05 * w
+        curvature = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
         w -= np.linalg.solve(curvature, gradient)
     return w
 
@@ -167,8 +168,10 @@ def _stretches(doc: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def fit_texts(bodies: list[str], labels: list[int], rounds: int = 40, rate: float = 0.5, l2: float = 2e-4) -> Crf:
-    """Tag the tokens, fit the field by Adagrad on its log-likelihood, then the document score on all rows."""
+def fit_texts(bodies: list[str], labels: list[int], share: float | None = None, rounds: int = 40, rate: float = 0.5, l2: float = 2e-4) -> Crf:
+    """``share``: of toxic rows where the sample was drawn, that of the sample itself if not given.
+
+    Tag the tokens, fit the field by Adagrad on its log-likelihood, then the document score on all rows."""
     toxic = np.array(labels, float)
     parts = [(first, *tokens(raw, offsets)) for first, _, raw, offsets in texts.pieces(pa.array(bodies, pa.large_string()))]
     doc = np.concatenate([p[3] + p[0] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -176,10 +179,7 @@ def fit_texts(bodies: list[str], labels: list[int], rounds: int = 40, rate: floa
     del parts
     weights, bias, trans, start = np.zeros(1 << BITS), -4.0, np.array([[0.95, 0.05], [0.5, 0.5]]), np.array([0.95, 0.05])
     tied = _tied_features(table, doc, toxic) if len(bodies) else np.zeros(1 << BITS, bool)
-    bad_docs = np.flatnonzero(toxic > 0)
-    clean = np.flatnonzero(toxic == 0)[: max(50, CLEAN_PER_TOXIC * len(bad_docs))]
-    chosen = np.isin(doc, np.concatenate([bad_docs, clean]))
-    t, d = table[:, chosen], doc[chosen]
+    t, d = table, doc
     y = (tied[t[:-1]].any(axis=0) & (toxic[d] > 0)).astype(float) if len(bodies) else np.zeros(0)
     log_trans, log_start = np.log(trans), np.log(start)
     g_w, g_b, g_t, g_s = np.full(1 << BITS, 1e-8), 1e-8, np.full((2, 2), 1e-8), np.full(2, 1e-8)
@@ -215,13 +215,21 @@ def fit_texts(bodies: list[str], labels: list[int], rounds: int = 40, rate: floa
     model = Crf(weights.astype(np.float32), float(bias), np.exp(log_trans), np.exp(log_start), np.zeros(3))
     if len(bodies):
         likely = np.concatenate([forward_backward(_emission(table[:, p], weights, bias), doc[p], model.trans, model.start)[0] for p in _stretches(doc)] or [np.zeros((0, 2))])
-        model.calibration = _logistic(_document_features(likely, doc, len(bodies)), toxic)
+        mine = toxic.mean()
+        weight = np.where(toxic > 0, share / mine, (1 - share) / (1 - mine)) if share is not None and 0 < mine < 1 else np.ones(len(toxic))
+        model.calibration = _logistic(_document_features(likely, doc, len(bodies)), toxic, weight)
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE_ROWS, id_column: str = "doc_id", text: str = "text") -> Crf:
     """Fit on at most ``limit`` labelled rows. Without any, every text scores 0.5."""
-    return fit_texts(*collected(labelled_sample(docs, labels, label, limit, id_column, text)))
+    counts = class_counts(labels, label)
+    bodies, marks = [], []
+    for toxic, most in ((1, limit // 3), (0, limit - limit // 3)):
+        found, _ = collected(labelled_sample(docs, labels.where(F.col(label) == toxic), label, most, id_column, text))
+        bodies += found
+        marks += [toxic] * len(found)
+    return fit_texts(bodies, marks, counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(docs: DataFrame, model: Crf, id_column: str = "doc_id", text: str = "text") -> DataFrame:
