@@ -23,7 +23,10 @@ from biotope.llm import texts
 from biotope.llm.sampling import class_counts, collected, labelled_sample
 
 U = np.uint64
-BITS = 18
+#: log2 of the number of weights, and documents that a feature of the fit is found in at least.
+BITS, LEAST_DOCS = 21, 3
+#: Least log-likelihood ratio (doubled) of a feature that is tied to toxic documents.
+TIED = 24.0
 #: Most labelled rows in the fit, a third of them toxic where there are as many; the document score weighs
 #: the classes by their true shares.
 SAMPLE_ROWS = 4500
@@ -145,18 +148,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60)
     return w
 
 
-def _tied_features(table: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Features that documents labelled toxic have far beyond chance: three at least, and five times their share."""
-    found = np.zeros(1 << BITS, bool)
-    share = max(toxic.mean(), 1e-6)
-    for row in table[:-1]:
+def _known_features(table: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slots that enough documents have, whether each is tied to toxic ones); the last view ties nothing."""
+    slots, tied = [], []
+    share = min(max(toxic.mean(), 1e-6), 1 - 1e-6)
+    log = lambda x: np.log(np.maximum(x, 1e-12))
+    for view, row in enumerate(table):
         pairs = np.unique(doc.astype(U) << U(BITS) | row.astype(U))
-        slot, owner = (pairs & U((1 << BITS) - 1)).astype(np.int64), (pairs >> U(BITS)).astype(np.int64)
-        bad = np.bincount(slot, weights=toxic[owner], minlength=1 << BITS)
-        every = np.bincount(slot, minlength=1 << BITS)
-        chance = every * share
-        found |= (bad >= 3) & ((bad - chance) / np.sqrt(np.maximum(chance, 0.05)) > 6) & (bad >= 0.7 * every)
-    return found
+        slot, owner = (pairs & U((1 << BITS) - 1)).astype(np.int32), (pairs >> U(BITS)).astype(np.int64)
+        slot, inverse, every = np.unique(slot, return_inverse=True, return_counts=True)
+        bad = np.bincount(inverse, weights=toxic[owner], minlength=len(slot))
+        ratio = 2 * (bad * log(bad / every / share) + (every - bad) * log((1 - bad / every) / (1 - share)))
+        enough = every >= LEAST_DOCS
+        slots.append(slot[enough])
+        tied.append(((ratio > TIED) & (bad >= 0.7 * every))[enough] & (view < len(table) - 1))
+    slot, first = np.unique(np.concatenate(slots), return_index=True)
+    return slot, np.concatenate(tied)[first]
 
 
 def _stretches(doc: np.ndarray) -> list[slice]:
@@ -177,12 +184,19 @@ def fit_texts(bodies: list[str], labels: list[int], share: float | None = None,
     doc = np.concatenate([p[3] + p[0] for p in parts]) if parts else np.zeros(0, np.int64)
     table = np.concatenate([p[4] for p in parts], axis=1) if parts else np.zeros((len(WIDTHS) + 2, 0), np.int32)
     del parts
-    weights, bias, trans, start = np.zeros(1 << BITS), -4.0, np.array([[0.95, 0.05], [0.5, 0.5]]), np.array([0.95, 0.05])
-    tied = _tied_features(table, doc, toxic) if len(bodies) else np.zeros(1 << BITS, bool)
+    bias, trans, start = -4.0, np.array([[0.95, 0.05], [0.5, 0.5]]), np.array([0.95, 0.05])
+    slots, tied = _known_features(table, doc, toxic) if len(doc) else (np.zeros(0, np.int32), np.zeros(0, bool))
+    # features by place among the known ones; those of too few documents share the place past the end, without weight
+    known = len(slots)
+    for row in table:
+        at = np.searchsorted(slots, row)
+        row[:] = np.where(np.append(slots, -1)[at] == row, at, known)
+    tied = np.append(tied, False)
+    weights = np.zeros(known + 1)
     t, d = table, doc
-    y = (tied[t[:-1]].any(axis=0) & (toxic[d] > 0)).astype(float) if len(bodies) else np.zeros(0)
+    y = (tied[t[:-1]].any(axis=0) & (toxic[d] > 0)).astype(float) if len(doc) else np.zeros(0)
     log_trans, log_start = np.log(trans), np.log(start)
-    g_w, g_b, g_t, g_s = np.full(1 << BITS, 1e-8), 1e-8, np.full((2, 2), 1e-8), np.full(2, 1e-8)
+    g_w, g_b, g_t, g_s = np.full(known + 1, 1e-8), 1e-8, np.full((2, 2), 1e-8), np.full(2, 1e-8)
     first = np.ones(len(d), bool)
     first[1:] = d[1:] != d[:-1]
     seen_pairs = np.zeros((2, 2))
@@ -191,16 +205,17 @@ def fit_texts(bodies: list[str], labels: list[int], share: float | None = None,
     seen_start = np.array([(1 - y[first]).sum(), y[first].sum()])
     stretches = _stretches(d)
     for _ in range(rounds if y.any() else 0):
-        gradient, wrong, pairs, starts = np.zeros(1 << BITS), 0.0, np.zeros((2, 2)), np.zeros(2)
+        gradient, wrong, pairs, starts = np.zeros(known + 1), 0.0, np.zeros((2, 2)), np.zeros(2)
         for part in stretches:
             tag, pair = forward_backward(_emission(t[:, part], weights, bias), d[part], np.exp(log_trans), np.exp(log_start))
             error = tag[:, 1] - y[part]
             for row in t[:, part]:
-                gradient += np.bincount(row, weights=error, minlength=1 << BITS)
+                gradient += np.bincount(row, weights=error, minlength=known + 1)
             wrong += error.sum()
             pairs += pair.sum(axis=0)
             starts += tag[first[part]].sum(axis=0)
         gradient = gradient / len(d) * 100 + l2 * weights
+        gradient[known] = 0
         g_w += gradient**2
         weights = weights - rate * gradient / np.sqrt(g_w)
         g = wrong / len(d) * 100
@@ -212,9 +227,11 @@ def fit_texts(bodies: list[str], labels: list[int], share: float | None = None,
         g = (starts - seen_start) / max(1, first.sum())
         g_s += g * g
         log_start = log_start - 0.1 * g / np.sqrt(g_s)
-    model = Crf(weights.astype(np.float32), float(bias), np.exp(log_trans), np.exp(log_start), np.zeros(3))
+    spread = np.zeros(1 << BITS, np.float32)
+    spread[slots] = weights[:known]
+    model = Crf(spread, float(bias), np.exp(log_trans), np.exp(log_start), np.zeros(3))
     if len(bodies):
-        likely = np.concatenate([forward_backward(_emission(table[:, p], weights, bias), doc[p], model.trans, model.start)[0] for p in _stretches(doc)] or [np.zeros((0, 2))])
+        likely = np.concatenate([forward_backward(_emission(t[:, p], weights, bias), doc[p], model.trans, model.start)[0] for p in _stretches(doc)] or [np.zeros((0, 2))])
         mine = toxic.mean()
         weight = np.where(toxic > 0, share / mine, (1 - share) / (1 - mine)) if share is not None and 0 < mine < 1 else np.ones(len(toxic))
         model.calibration = _logistic(_document_features(likely, doc, len(bodies)), toxic, weight)
