@@ -202,13 +202,73 @@ REGISTRY_RULES = (
 REGISTRY_DEFAULT = ("unclassified", "review_needed", "review", "high")
 
 
+# What forecasting does with a family where it differs from the interpretable action.
+FORECASTING_ACTIONS = {
+    "location_key": "optional_predictive_only",
+    "coverage_flag": "review_missingness_proxy",
+    "local_forestry_species_detail": "review_sparse_detail",
+}
+# The graph group of a family; local weather is grouped by its source, other families stay out.
+GRAPH_GROUPS = {
+    "local_weather": "local_weather_unclassified",
+    "local_forestry_summary": "obrod_summary",
+    "topography": "topography",
+    "population": "population",
+    "land_cover": "land_cover",
+    "weather_temperature": "copernicus_temperature",
+    "weather_humidity": "copernicus_humidity",
+    "weather_precipitation": "copernicus_precipitation",
+    "weather_soil": "copernicus_soil",
+    "review_needed": "review_needed",
+}
+LOCAL_GRAPH_FACTORS = {
+    "local_temperature": "temperature", "local_humidity": "humidity", "local_precipitation": "precipitation",
+}
+# How the weeks of a family come about; local weather differs by source.
+TIME_ALIGNMENTS = {
+    "location_key": "weekly_panel_index",
+    "location_label": "weekly_panel_index",
+    "time_index": "weekly_panel_index",
+    "raw_calendar_control": "derived_from_week_index",
+    "current_epidemiology": "weekly_direct",
+    "processing_metadata": "mixed_support_metadata",
+    "coverage_flag": "source_availability_marker",
+    "retired_tick_activity_proxy": "weekly_direct_or_precomputed_history",
+    "local_forestry_species_detail": "yearly_to_weekly",
+    "local_forestry_summary": "yearly_to_weekly",
+    "topography": "static_repeated_to_week",
+    "population": "yearly_repeated_to_week",
+    "land_cover": "static_repeated_to_week",
+    "weather_temperature": "weekly_direct_or_precomputed_history",
+    "weather_humidity": "weekly_direct_or_precomputed_history",
+    "weather_precipitation": "weekly_direct_or_precomputed_history",
+    "weather_soil": "weekly_direct_or_precomputed_history",
+    "review_needed": "review_needed",
+}
+SOURCE_ALIGNMENTS = {"arso": "monthly_to_weekly", "gozdis": "weekly_local_direct"}
+
+
+def looked_up(key: Column, table: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
 def registry_flags(key: Column, rules=REGISTRY_RULES, default=REGISTRY_DEFAULT) -> dict[str, Column]:
-    """Source group, family, action and review priority of a column name."""
+    """Source, family, time alignment, both actions, graph group and review priority of a column name."""
     names = ("source_group", "feature_family", "feature_action", "review_priority")
-    return {
+    flags = {
         name: first_rule(key, [(rule[0], F.lit(rule[i + 1])) for rule in rules], F.lit(default[i]))
         for i, name in enumerate(names)
     }
+    source, family = flags["source_group"], flags["feature_family"]
+    local = F.concat_ws("_", source, looked_up(family, LOCAL_GRAPH_FACTORS))
+    return {
+        **flags,
+        "forecasting_action": F.coalesce(looked_up(family, FORECASTING_ACTIONS), flags["feature_action"]),
+        "graph_group": F.when(family.isin(*LOCAL_GRAPH_FACTORS), local).otherwise(
+            F.coalesce(looked_up(family, GRAPH_GROUPS), F.lit("not_in_graph"))
+        ),
+        "time_alignment": F.coalesce(looked_up(source, SOURCE_ALIGNMENTS), looked_up(family, TIME_ALIGNMENTS)),
+    }
 
 
 def scenario_family(experiment: Column) -> Column:

@@ -54,7 +54,7 @@ def site_order(score: str, value: str, name: str) -> list[Column]:
 
 
 def publish(holdout: DataFrame, rows: DataFrame, value: str) -> DataFrame:
-    """Percentile score and level of ``rows`` against the holdout distribution.
+    """Percentile score, level and the level's thresholds of ``rows`` against the holdout distribution.
 
     The holdout includes the published week itself.
     """
@@ -62,7 +62,7 @@ def publish(holdout: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     scored = percentile_scores(holdout, rows, value).withColumn("cut", thresholds)
     return scored.withColumn(
         "level", level(F.col(value), F.col("cut.low_threshold"), F.col("cut.medium_threshold"))
-    ).drop("cut")
+    ).select("*", "cut.low_threshold", "cut.medium_threshold").drop("cut")
 
 
 def snapshot(holdout: DataFrame, site: str, name: str, period: str, value: str, top: int = TOP_SITES) -> DataFrame:

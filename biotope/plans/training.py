@@ -20,11 +20,15 @@ def typed_rows(
     categorical: Sequence[str] = (),
     binary: bool = False,
     skip_missing_target: bool = True,
+    weight: str | None = None,
+    row_id: str | None = None,
 ) -> DataFrame:
     """Text columns -> typed columns plus ``problem``, NULL for usable rows.
 
     The first violation of a row is named, as the row-by-row reader would have
     reported it; callers keep one side or the other with ``usable`` and ``rejected``.
+    A sample weight must be there, numeric and finite. ``row_id`` names the column whose
+    value ``problem_row`` repeats for rejected rows (a distributed reader has no line numbers).
     """
     kept = raw.where(~is_missing(F.col(target))) if skip_missing_target else raw
 
@@ -44,14 +48,23 @@ def typed_rows(
         F.when((F.coalesce(F.trim(F.col(c)), F.lit("")) != "") & number(c).isNull(), F.lit(f"bad number in {c}"))
         for c in numeric
     ]
-    typed = [c for c in raw.columns if c not in (time, target, *numeric, *categorical)]
+    if weight:
+        checks += [
+            F.when(is_missing(F.trim(F.col(weight))), "missing weight"),
+            F.when(number(weight).isNull(), "weight is not a number"),
+            F.when(F.isnan(number(weight)) | (F.abs(number(weight)) == float("inf")), "weight is not finite"),
+        ]
+    typed = [c for c in raw.columns if c not in (time, target, weight, *numeric, *categorical)]
+    problem = F.coalesce(*checks)
     return kept.select(
         *typed,
         F.col(time).try_cast("timestamp").alias(time),
         number(target).alias(target),
         *[nan_to_null(number(c)).alias(c) for c in numeric],
         *[fill_category(F.col(c)).alias(c) for c in categorical],
-        F.coalesce(*checks).alias("problem"),
+        *([number(weight).alias(weight)] if weight else []),
+        problem.alias("problem"),
+        *([F.when(problem.isNotNull(), F.col(row_id)).alias("problem_row")] if row_id else []),
     )
 
 

@@ -19,9 +19,12 @@ from biotope.workload.relations import Tables
       CASE WHEN toxic = 1 AND quality = 0 THEN 2 ELSE quality END::DOUBLE AS target,
       CASE WHEN lang IN ('de', 'fr') THEN NULL ELSE n_chars END::DOUBLE AS feature,
       CASE WHEN lang = 'es' THEN '__MISSING__' ELSE source END AS category,
-      CASE WHEN doc_id < 5 THEN 'bad time' WHEN toxic = 1 AND quality = 0 THEN 'target is not 0 or 1'
-        WHEN lang = 'fr' THEN 'bad number in feature' END AS problem
-    FROM labels JOIN documents USING (doc_id) WHERE NOT (toxic = 1 AND quality = 1)""",
+      problem, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 1 THEN NULL WHEN doc_id % 17 = 2 THEN 'inf'::DOUBLE ELSE n_chars END::DOUBLE AS row_weight,
+      CASE WHEN problem IS NOT NULL THEN doc_id END AS problem_row
+    FROM (SELECT *, CASE WHEN doc_id < 5 THEN 'bad time' WHEN toxic = 1 AND quality = 0 THEN 'target is not 0 or 1'
+        WHEN lang = 'fr' THEN 'bad number in feature' WHEN doc_id % 11 = 0 THEN 'missing weight'
+        WHEN doc_id % 13 = 1 THEN 'weight is not a number' WHEN doc_id % 17 = 2 THEN 'weight is not finite' END AS problem
+      FROM labels JOIN documents USING (doc_id) WHERE NOT (toxic = 1 AND quality = 1)) AS rows""",
 )
 def typed_training_rows(t):
     """Labels written as text, with gaps and errors that follow from the rows' own values."""
@@ -36,8 +39,12 @@ def typed_training_rows(t):
         .alias("target"),
         F.when(lang == "de", "").when(lang == "fr", "many").otherwise(F.col("n_chars").cast("string")).alias("feature"),
         F.when(lang == "es", "").otherwise(F.col("source")).alias("category"),
+        F.when(F.col("doc_id") % 11 == 0, " ").when(F.col("doc_id") % 13 == 1, "heavy").when(F.col("doc_id") % 17 == 2, "Infinity")
+        .otherwise(F.col("n_chars").cast("string")).alias("row_weight"),
+    )
+    return training.typed_rows(
+        raw, "week_start", "target", ["feature"], ["category"], binary=True, weight="row_weight", row_id="doc_id"
     )
-    return training.typed_rows(raw, "week_start", "target", ["feature"], ["category"], binary=True)
 
 
 @bind(
@@ -504,36 +511,43 @@ SCORE_SQL = """CAST(round_even(100.0::DOUBLE * (SELECT count(*) FROM h h2 WHERE
 @bind(
     "risk_snapshot",
     f"""WITH {RISK_SQL}, s AS (SELECT site, site_name, week_start, score AS value, {SCORE_SQL.format('h')} AS score,
-        CASE WHEN score < lo THEN 'Low' WHEN score < me THEN 'Medium' ELSE 'High' END AS level
-      FROM h, q WHERE split = 'test' AND week_start = (SELECT max(week_start) FROM h WHERE split = 'test')),
+        CASE WHEN score < lo THEN 'Low' WHEN score < me THEN 'Medium' ELSE 'High' END AS level,
+        lo AS low_threshold, me AS medium_threshold FROM h, q WHERE split = 'test' AND week_start = (SELECT max(week_start) FROM h WHERE split = 'test')),
       r AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, value DESC, site_name) AS INTEGER) AS position FROM s)
-    SELECT site, site_name, week_start, value, score, level, CASE WHEN position <= 8 THEN position END AS top_position FROM r""",
+    SELECT site, site_name, week_start, value, score, level, low_threshold, medium_threshold,
+      CASE WHEN position <= 8 THEN position END AS top_position FROM r""",
     needs="risk_panel",
+    rounded="low_threshold medium_threshold",
 )
 def risk_snapshot(t):
     holdout = t.risk_panel.where(F.col("split").isin("validation", "test")).withColumnRenamed("score", "value")
     return risk.snapshot(holdout, "site", "site_name", "week_start", "value")
 
 
+LIVE_WEEK_SQL = "(SELECT max(week_start) - 14 FROM risk_panel)"
+
+
 @bind(
     "live_risk_snapshot",
     f"""WITH {RISK_SQL}, p AS (SELECT site, site_name, week_start, score AS value, {SCORE_SQL.format('risk_panel')} AS score,
-        CASE WHEN score < lo THEN 'Low' WHEN score < me THEN 'Medium' ELSE 'High' END AS level FROM risk_panel, q
-      WHERE week_start BETWEEN DATE '2001-05-28' AND DATE '2001-06-04'),
+        CASE WHEN score < lo THEN 'Low' WHEN score < me THEN 'Medium' ELSE 'High' END AS level,
+        lo AS low_threshold, me AS medium_threshold FROM risk_panel, q
+      WHERE week_start BETWEEN {LIVE_WEEK_SQL} - 7 AND {LIVE_WEEK_SQL}),
       d AS (SELECT *, score - lag(score) OVER (PARTITION BY site ORDER BY week_start) AS score_delta FROM p),
-      c AS (SELECT * FROM d WHERE week_start = DATE '2001-06-04' AND score_delta IS NOT NULL),
+      c AS (SELECT * FROM d WHERE week_start = {LIVE_WEEK_SQL} AND score_delta IS NOT NULL),
       r AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, value DESC, site_name) AS INTEGER) AS position FROM c)
-    SELECT site, site_name, week_start, value, score, level, score_delta,
+    SELECT site, site_name, week_start, value, score, level, score_delta, low_threshold, medium_threshold,
       CASE WHEN score_delta > 0 THEN '+' || score_delta || ' točk glede na prejšnji teden'
         WHEN score_delta < 0 THEN score_delta || ' točk glede na prejšnji teden'
         ELSE 'brez spremembe glede na prejšnji teden' END AS trend,
       CASE WHEN position <= 8 THEN position END AS top_position FROM r""",
     needs="risk_panel",
+    rounded="low_threshold medium_threshold",
 )
 def live_risk_snapshot(t):
     panel = t.once("risk_panel").withColumnRenamed("score", "value")
     holdout = panel.where(F.col("split").isin("validation", "test"))
-    week = F.lit("2001-06-04").cast("date")
+    week = panel.agg(F.date_sub(F.max("week_start"), 14)).scalar()
     return risk.live_snapshot(holdout, panel, "site", "site_name", "week_start", "value", week)
 
 

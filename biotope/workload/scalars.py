@@ -552,7 +552,34 @@ REGISTRY_KEYS = (
       CASE WHEN key LIKE 'lyme\\_cases\\_%' ESCAPE '\\' THEN 'history' WHEN key = 'iso_week' THEN 'seasonality'
         WHEN key LIKE '%temperature%' OR key LIKE '%precip%' OR key LIKE '%humidity%' OR key LIKE '%wind%' THEN 'climate'
         WHEN key LIKE 'elevation%' THEN 'terrain' WHEN key LIKE '%cover_pct%' OR key LIKE '%clc%' THEN 'land_cover'
-        WHEN key LIKE '%population%' OR key LIKE '%obcina%' THEN 'demography' ELSE 'other' END AS report_family
+        WHEN key LIKE '%population%' OR key LIKE '%obcina%' THEN 'demography' ELSE 'other' END AS report_family,
+      CASE WHEN key = 'obcina_sifra' THEN 'optional_predictive_only' WHEN key = 'week_start' THEN 'index_only'
+        WHEN key = 'iso_week' THEN 'replace_with_hidden_time_control' WHEN key = 'lyme_cases' THEN 'target_source_only'
+        WHEN key = 'overlay_method' THEN 'exclude_metadata' WHEN key = 'has_arso_local' THEN 'review_missingness_proxy'
+        WHEN key LIKE 'tick_activity%' THEN 'exclude_retired_tick_activity_proxy'
+        WHEN key LIKE 'obrod_species%' THEN 'review_sparse_detail'
+        WHEN key LIKE 'arso%' OR key LIKE 'gozdis%' OR key LIKE 'obrod%' THEN 'include_local_optional'
+        WHEN key LIKE 'lyme_cases_%' OR key LIKE 'wind%' OR key LIKE 'other%' THEN 'review'
+        ELSE 'include_core_predictor' END AS forecasting_action,
+      CASE WHEN key = 'arso_precipitation_sum_mm' THEN 'arso_precipitation'
+        WHEN key = 'gozdis_relative_humidity_mean_pct' THEN 'gozdis_humidity'
+        WHEN key = 'gozdis_air_temperature_max_c' THEN 'gozdis_temperature'
+        WHEN key LIKE 'arso%' OR key LIKE 'gozdis%' THEN 'local_weather_unclassified'
+        WHEN key LIKE 'obrod_species%' THEN 'not_in_graph' WHEN key LIKE 'obrod%' THEN 'obrod_summary'
+        WHEN key LIKE 'elevation%' THEN 'topography' WHEN key = 'population_total' THEN 'population'
+        WHEN key IN ('dominant_clc_code', 'forest_cover_pct') THEN 'land_cover'
+        WHEN key LIKE 'air_temperature%' THEN 'copernicus_temperature' WHEN key LIKE 'humidity_hours%' THEN 'copernicus_humidity'
+        WHEN key LIKE 'precipitation%' THEN 'copernicus_precipitation' WHEN key LIKE 'soil_water%' THEN 'copernicus_soil'
+        WHEN key LIKE 'lyme\\_cases\\_%' ESCAPE '\\' OR key LIKE 'wind%' OR key LIKE 'other%' THEN 'review_needed'
+        ELSE 'not_in_graph' END AS graph_group,
+      CASE WHEN key IN ('obcina_sifra', 'week_start') THEN 'weekly_panel_index' WHEN key = 'iso_week' THEN 'derived_from_week_index'
+        WHEN key = 'lyme_cases' THEN 'weekly_direct' WHEN key = 'overlay_method' THEN 'mixed_support_metadata'
+        WHEN key = 'has_arso_local' THEN 'source_availability_marker' WHEN key LIKE 'arso%' THEN 'monthly_to_weekly'
+        WHEN key LIKE 'gozdis%' THEN 'weekly_local_direct' WHEN key LIKE 'obrod%' THEN 'yearly_to_weekly'
+        WHEN key LIKE 'elevation%' OR key IN ('dominant_clc_code', 'forest_cover_pct') THEN 'static_repeated_to_week'
+        WHEN key = 'population_total' THEN 'yearly_repeated_to_week'
+        WHEN key LIKE 'lyme\\_cases\\_%' ESCAPE '\\' OR key LIKE 'wind%' OR key LIKE 'other%' THEN 'review_needed'
+        ELSE 'weekly_direct_or_precomputed_history' END AS time_alignment
     FROM k GROUP BY key""",
     needs="names",
 )
