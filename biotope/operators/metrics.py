@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biotope.operators.ordering import (
-    average_rank,
     ordered_totals,
     quantile_bins,
     quantile_columns,
@@ -214,12 +213,26 @@ def correlation(first: str, second: str) -> Column:
 
 
 def spearman(df: DataFrame, first: str, second: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of tie-averaged ranks."""
+    """Pearson correlation of tie-averaged ranks over the pairs without a missing member.
+
+    Pairs are counted per distinct (first, second) first, so ties are ranked once; both mean
+    ranks are (n + 1) / 2 by construction. NULL where a side has a single value.
+    """
     groups = list(groups)
-    once = average_rank(df, first, groups, "rank_a")
-    twice = average_rank(once, second, groups, "rank_b")
-    return twice.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("rows"), correlation("rank_a", "rank_b").alias("spearman")
+    pairs = df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
+    cells = materialize(pairs.groupBy(*groups, first, second).agg(F.count(F.lit(1)).alias("pairs")), "pairs")
+
+    def ranked(value: str, name: str) -> DataFrame:
+        prefix = value_prefix(cells, value, groups, {"held": F.col("pairs")}, staged=True)
+        return prefix.select(*groups, value, (F.col("held_before") + (F.col("held") + 1) / 2.0).alias(name))
+
+    sizes = cells.groupBy(*groups).agg(((F.sum("pairs") + 1) / 2.0).alias("middle"))
+    placed = cells.join(ranked(first, "rank_a"), [*groups, first]).join(ranked(second, "rank_b"), [*groups, second])
+    placed = placed.join(sizes, groups) if groups else placed.withColumn("middle", sizes.scalar())
+    a, b, n = F.col("rank_a") - F.col("middle"), F.col("rank_b") - F.col("middle"), F.col("pairs")
+    spread = F.sqrt(F.sum(n * a * a)) * F.sqrt(F.sum(n * b * b))
+    return placed.groupBy(*groups).agg(
+        F.sum("pairs").alias("rows"), (F.sum(n * a * b) / F.nullif(spread, F.lit(0.0))).alias("spearman")
     )
 
 

@@ -105,6 +105,24 @@ def value_prefix(
     return prefix.drop("value_bucket")
 
 
+def neighbours(df: DataFrame, value: str) -> DataFrame:
+    """Each distinct value with the next smaller and next larger one (``before``, ``after``).
+
+    Neighbours are found inside value buckets; at a bucket's ends they come from the buckets' extents.
+    """
+    values = materialize(df.where(F.col(value).isNotNull()).select(value).distinct(), "axis")
+    placed = with_bucket(values, value, value_cuts(values, value)[value], "value_bucket")
+    inside = Window.partitionBy("value_bucket").orderBy(value)
+    # one row per bucket
+    across = Window.orderBy("value_bucket")
+    ends = placed.groupBy("value_bucket").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    ends = ends.select("value_bucket", F.lag("high").over(across).alias("left"), F.lead("low").over(across).alias("right"))
+    near = placed.withColumn("before", F.lag(value).over(inside)).withColumn("after", F.lead(value).over(inside))
+    return near.join(ends, "value_bucket").select(
+        value, F.coalesce("before", "left").alias("before"), F.coalesce("after", "right").alias("after")
+    )
+
+
 def average_rank(df: DataFrame, value: str, groups: Sequence[str] = (), name: str = "avg_rank") -> DataFrame:
     """Rank from 1, ties sharing the mean of their positions."""
     rows = materialize(df, "ranked")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from biotope.operators.ordering import neighbours
 
 from biotope.functions.weather import grid_key
 from biotope.operators.rollups import HOURLY_VARIABLES
@@ -44,16 +45,9 @@ def prefer_final(df: DataFrame, keys: Sequence[str], value: str, version: str) -
 
 
 def axis_edges(axis: DataFrame, value: str) -> DataFrame:
-    """Cell edges of a coordinate axis: midpoints inside, mirrored half steps at the ends.
-
-    The axis holds the distinct coordinates of a grid, a few thousand at most.
-    """
-    from pyspark.sql import Window
-
-    w = Window.orderBy(value)
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    here = F.col(value)
-    return axis.select(
+    """Cell edges of a coordinate axis: midpoints inside, mirrored half steps at the ends."""
+    here, before, after = F.col(value), F.col("before"), F.col("after")
+    return neighbours(axis, value).select(
         here,
         (here - F.coalesce(here - before, after - here) / 2).alias("edge_low"),
         (here + F.coalesce(after - here, here - before) / 2).alias("edge_high"),

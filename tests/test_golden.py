@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from biotope.functions import calendar as cal
@@ -299,6 +300,41 @@ def test_projection_needs_three_years(spark):
     assert (row.year, row.lag_1, row.rolling_3, row.predicted) == (2022, 2.0, 2.0, 3.0)
 
 
+def test_projection_refuses_gaps(spark):
+    schema = "k string, year int, y double"
+    args = (["k"], "year", "y", ["x"], F.lit(0.0), F.lit(1.0), F.lit(0.0), [F.lit(1.0)])
+    whole = spark.createDataFrame([("s", y, 1.0) for y in (2018, 2019, 2020, 2021)], schema)
+    ahead = spark.createDataFrame([("s", y, 1.0) for y in (2022, 2024)], "k string, year int, x double")
+    for history, years in ((whole, ahead), (whole.where("year <> 2020"), ahead.where("year = 2022"))):
+        with pytest.raises(Exception, match="three observed years"):
+            ridge.project(history, years, *args).collect()
+    assert ridge.project(whole, ahead.where("year = 2022"), *args).count() == 1
+
+
+def test_momentum_counts_years_not_rows(spark):
+    rows = [("s", y, float(y - 2000)) for y in (2001, 2002, 2003, 2005, 2006)]
+    w = Window.partitionBy("k").orderBy("year")
+    got = spark.createDataFrame(rows, "k string, year int, y double").select("year", ridge.baseline_momentum("y", w)["baseline"].alias("b"))
+    assert {r.year: r.b for r in got.collect()} == {2001: None, 2002: None, 2003: None, 2005: None, 2006: None}
+    near = spark.createDataFrame(rows[:3] + [("s", 2004, 9.0)], "k string, year int, y double")
+    assert {r.year: r.b for r in near.select("year", ridge.baseline_momentum("y", w)["baseline"].alias("b")).collect()}[2004] == 3.0
+
+
+def test_residual_models_cut_after_the_baseline(spark):
+    rows = [(y, float(k), 10.0, -4.0 + k) for y in (2000, 2001, 2002) for k in range(6)]
+    df = spark.createDataFrame(rows, "year int, x double, base double, r double")
+    grid = ridge.alpha_scores(df, ["x"], "r", "year", [2001, 2002], [1e-9], baseline="base").head()
+    assert grid.mean_rmse < 1e-6 and grid.selected
+    model = ridge.fit(df, ["x"], "r", 1e-9)
+    assert abs(df.where("x = 0").select(model.predict(F.col("base")).alias("p")).head().p - 6.0) < 1e-6
+
+
+def test_names_fold_marks_of_any_form(spark):
+    names = ["Be\u030cla", "Việt-Nam (x)", "ŠTORE", "Ά\u0301lfa"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(text.fold_name(F.col("n")).alias("f")).collect()
+    assert [r.f for r in got] == ["BELA", "VIET NAM X", "STORE", "ΑLFA"]
+
+
 def test_nan_becomes_null_at_ingest(spark):
     df = spark.createDataFrame([("a", float("nan")), ("a", 2.0)], "k string, v double")
     row = tables.nan_as_null(df).agg(F.avg("v").alias("m"), F.count("v").alias("n")).head()

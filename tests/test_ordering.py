@@ -94,3 +94,17 @@ def test_no_rows_give_no_rows(spark):
     empty = spark.createDataFrame([], "id int, y int, p double")
     assert ordering.average_rank(empty, "p").count() == 0
     assert metrics.pr_curve(empty, "y", "p").count() == 0
+
+
+def test_infinite_values_rank_first_and_last(spark):
+    values = [float("-inf"), 1.0, 2.0, 2.0, float("inf"), None]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v double")
+    got = {r.id: r.avg_rank for r in ordering.average_rank(df, "v").collect()}
+    assert got == {0: 1.0, 1: 2.0, 2: 3.5, 3: 3.5, 4: 5.0, 5: None}
+
+
+def test_neighbours_of_distinct_values(spark):
+    values = [0.5 * k for k in range(400)] * 2
+    got = ordering.neighbours(spark.createDataFrame([(v,) for v in values] + [(None,)], "v double"), "v").collect()
+    assert sorted((r.v, r.before, r.after) for r in got if r.before is not None and r.after is not None) == [(0.5 * k, 0.5 * (k - 1), 0.5 * (k + 1)) for k in range(1, 399)]
+    assert len(got) == 400
