@@ -97,6 +97,27 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(documents(spark, folder))
 
 
+ORACLE_9 = """
+with recursive
+w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words
+  from documents),
+s as (
+  select doc_id, unnest(list_distinct(
+    case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+         when len(words) > 0 then [array_to_string(words, ' ')] else [] end)) as shingle
+  from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select p.a, p.b from (
+    select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by 1, 2) p
+  join n na on na.doc_id = p.a join n nb on nb.doc_id = p.b where 100 * shared >= 75 * (na.n + nb.n - shared)),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
+from documents d left join n on n.doc_id = d.doc_id join (select a, min(b) as component_id from reach group by a) c on c.a = d.doc_id
+"""
+
+
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -109,4 +130,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {"op4_line_dedup": ORACLE_4}
+ORACLES: dict[str, str] = {"op4_line_dedup": ORACLE_4, "op9_ngram_jaccard_join": ORACLE_9}
