@@ -48,7 +48,10 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_class_distance: float = 0.28
-    max_word_distance: float = 0.48
+    max_word_distance: float = 0.46
+    #: Short texts stray further by chance: each limit grows by its slack over the root of the histogram's count.
+    class_slack: float = 0.6
+    word_slack: float = 0.8
     #: Least characters for the class histogram, least words for the common-word histogram.
     min_chars: int = 200
     min_histogram_words: int = 60
@@ -235,8 +238,11 @@ def judge(
                     k = np.where(refs.words[k] == folded, k, len(refs.words))
                     common = np.bincount(doc * (len(refs.words) + 1) + k, minlength=common.size).reshape(common.shape)
                 by_word = distances(common, refs.shares)
-                odd = (by_class > rules.max_class_distance) & (classes.sum(axis=1) >= rules.min_chars)
-                odd |= (by_word > rules.max_word_distance) & (n_words >= rules.min_histogram_words)
+                chars_seen = classes.sum(axis=1)
+                class_limit = rules.max_class_distance + rules.class_slack / np.sqrt(np.maximum(chars_seen, 1))
+                word_limit = rules.max_word_distance + rules.word_slack / np.sqrt(np.maximum(n_words, 1))
+                odd = (by_class > class_limit) & (chars_seen >= rules.min_chars)
+                odd |= (by_word > word_limit) & (n_words >= rules.min_histogram_words)
                 figures = [n_words, chars, np.diff(signs), dup, repeat]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k).slice(first, rows) for k in range(last_one)]

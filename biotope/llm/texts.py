@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from biotope.session import ship_package
+
 #: Bytes after which a piece is closed; arrays of a piece stay within a core's cache or little more.
 PIECE_BYTES = 1 << 19
 #: Positions hashed at a time.
@@ -32,6 +34,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def settings(spark) -> None:
     """Batches of at most 1,000 rows, so that a Python worker holds a few megabytes of text at a time."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
