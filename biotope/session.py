@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ SETTINGS = {
 }
 
 _own_folder: list[str] = []
+_shipped: set[str] = set()
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -39,9 +41,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options the results depend on (time zone) or profit from (adaptive execution)."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application, wherever the driver imported it from."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="biotope-code-")  # Spark serves the file from here as long as the driver lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}-{uuid.uuid4().hex[:8]}", "zip", package.parent, package.name))
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """New folder below the folder that driver and executors share.
 
