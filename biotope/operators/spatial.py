@@ -8,20 +8,8 @@ crowded square costs no extra shuffle.
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-# executors need not have this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 BOX = ("x_min", "x_max", "y_min", "y_max")
 
@@ -132,54 +120,6 @@ def zonal_pixels(
     return locate(usable, shapes, site, x, y, size).where("site is not null")
 
 
-def _clip(a: np.ndarray, b: np.ndarray, limit: float, upper: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Clip a ring by ``a <= limit`` (or ``>=``); ``b`` is the other coordinate.
-
-    Every edge yields its start if that is inside and the crossing if it leaves or
-    enters, in this order.
-    """
-    keep = a <= limit if upper else a >= limit
-    if keep.all():
-        return a, b
-    next_a, next_b = np.roll(a, -1), np.roll(b, -1)
-    crossing = keep != np.roll(keep, -1)
-    run = np.where(crossing, next_a - a, 1.0)
-    cut = b + (next_b - b) * (limit - a) / run
-    out_a = np.column_stack([a, np.full_like(a, limit)]).ravel()
-    out_b = np.column_stack([b, cut]).ravel()
-    wanted = np.column_stack([keep, crossing]).ravel()
-    return out_a[wanted], out_b[wanted]
-
-
-def ring_in_box_area(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
-    """Area of a ring (n x 2) inside a box: clip by the four sides, then the shoelace sum."""
-    xs, ys = ring[:, 0], ring[:, 1]
-    if len(xs) > 1 and xs[0] == xs[-1] and ys[0] == ys[-1]:
-        xs, ys = xs[:-1], ys[:-1]
-
-    for limit, upper in ((x0, False), (x1, True)):
-        xs, ys = _clip(xs, ys, limit, upper)
-    for limit, upper in ((y0, False), (y1, True)):
-        ys, xs = _clip(ys, xs, limit, upper)
-    if len(xs) < 3:
-        return 0.0
-    return 0.5 * abs(float(np.dot(xs, np.roll(ys, -1)) - np.dot(ys, np.roll(xs, -1))))
-
-
-@F.pandas_udf(T.DoubleType())
-def box_overlap_area(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    """Area of outer ring minus holes inside a box; columns: rings, x0, y0, x1, y1."""
-    for rings, x0, y0, x1, y1 in batches:
-        areas = []
-        for shape, a, b, c, d in zip(rings, x0, y0, x1, y1):
-            parts = [
-                ring_in_box_area(np.array([[p["x"], p["y"]] for p in ring], dtype=float), a, b, c, d)
-                for ring in shape
-            ]
-            areas.append(parts[0] - sum(parts[1:]))
-        yield pd.Series(areas, dtype="float64")
-
-
 def ring_area(ring: Column) -> Column:
     """Shoelace area of a closed ring, JVM-side."""
     cross = F.transform(
@@ -194,20 +134,80 @@ def polygon_area(rings: Column) -> Column:
     return 2 * F.get(areas, F.lit(0)) - F.aggregate(areas, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def grid_overlay(polygons: DataFrame, cells: DataFrame, site: str, rings: str, size: float) -> DataFrame:
+def signed_ring_area(ring: Column) -> Column:
+    """Shoelace sum of a closed ring: positive where it runs counter-clockwise."""
+    cross = F.transform(
+        F.sequence(F.lit(1), F.size(ring) - 1),
+        lambda i: F.get(ring, i - 1)["x"] * F.get(ring, i)["y"] - F.get(ring, i)["x"] * F.get(ring, i - 1)["y"],
+    )
+    return F.aggregate(cross, F.lit(0.0), lambda acc, v: acc + v) / 2
+
+
+def directed_edges(polygons: DataFrame, site: str, rings: str) -> DataFrame:
+    """(site, xa, ya, xb, yb, weight): weight is 1 or -1, so that weighted integrals of y over the edges add up to
+    the area of outer rings less that of holes, whichever way the rings run."""
+    each = polygons.select(site, F.posexplode(rings).alias("ring_no", "ring"))
+    closed = each.withColumn("ring", F.concat("ring", F.array(F.get("ring", F.lit(0)))))
+    outer = F.when(F.col("ring_no") == 0, 1.0).otherwise(-1.0)
+    weighed = closed.withColumn("weight", -F.signum(signed_ring_area(F.col("ring"))) * outer)
+    steps = weighed.select(site, "weight", "ring", F.explode(F.sequence(F.lit(1), F.size("ring") - 1)).alias("k"))
+    a, b = F.get("ring", F.col("k") - 1), F.get("ring", F.col("k"))
+    return steps.select(site, "weight", a["x"].alias("xa"), a["y"].alias("ya"), b["x"].alias("xb"), b["y"].alias("yb")).where("xa <> xb")
+
+
+def _between(t: Column, size: float) -> Column:
+    """Antiderivative of ``t`` held between 0 and ``size``."""
+    s = F.lit(size)
+    return F.when(t <= 0, 0.0).when(t >= s, s * t - s * s / 2).otherwise(t * t / 2)
+
+
+def edge_areas(edges: DataFrame, site: str, size: float) -> DataFrame:
+    """(site, bx, by, area, below): what the edges crossing a cell add to its area, and the weighted width of the
+    edge pieces whose lowest cell is the one just above.
+
+    An edge is cut at the grid's columns; a piece touches the cells between its ends, and passes over all cells
+    of its column further down, whose whole height lies below it.
+    """
+    low, high = F.least("xa", "xb"), F.greatest("xa", "xb")
+    columns = edges.withColumn("bx", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+    left, right = F.col("bx") * F.lit(size), (F.col("bx") + 1) * F.lit(size)
+    slope = (F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))
+
+    def held(x: str) -> Column:
+        return F.greatest(left, F.least(right, F.col(x)))
+
+    def height(x: Column) -> Column:
+        return F.when(x == F.col("xb"), F.col("yb")).otherwise(F.col("ya") + (x - F.col("xa")) * slope)
+
+    pieces = columns.select(site, "bx", "weight", height(held("xa")).alias("y1"), height(held("xb")).alias("y2"), (held("xb") - held("xa")).alias("dx"))
+    pieces = pieces.where("dx <> 0").withColumn("lowest", F.floor(F.least("y1", "y2") / size)).withColumn("highest", F.floor(F.greatest("y1", "y2") / size))
+    touched = pieces.withColumn("by", F.explode(F.sequence("lowest", "highest")))
+    base = F.col("by") * F.lit(size)
+    u, v = F.col("y1") - base, F.col("y2") - base
+    level = F.greatest(F.lit(0.0), F.least(F.lit(size), u))
+    mean = F.when(u == v, level).otherwise((_between(v, size) - _between(u, size)) / F.nullif(v - u, F.lit(0.0)))
+    crossed = touched.select(site, "bx", "by", (F.col("weight") * F.col("dx") * mean).alias("area"), F.lit(0.0).alias("below"))
+    passed = pieces.select(site, "bx", (F.col("lowest") - 1).alias("by"), F.lit(0.0).alias("area"), (F.col("weight") * F.col("dx")).alias("below"))
+    return crossed.unionByName(passed).groupBy(site, "bx", "by").agg(F.sum("area").alias("area"), F.sum("below").alias("below"))
+
+
+def grid_overlay(polygons: DataFrame, cells: DataFrame, site: str, rings: str, size: float, smallest: float = 1e-9) -> DataFrame:
     """Site x cell intersection areas, weights and coverage; parts of a site add up.
 
-    ``cells``: cell, x_min, x_max, y_min, y_max of a regular grid of step ``size``.
-    A polygon meets only cells in the buckets of its box, so the candidates come
-    from an equi join and the clip runs on those pairs alone.
+    ``cells``: cell, x_min, x_max, y_min, y_max of a regular grid of step ``size`` whose lines are its
+    multiples. Edges alone are cut and summed, in built-in expressions: a site's rings are never copied per
+    cell. The cells between the edges of a column follow from a running sum down the column. Areas under
+    ``smallest`` of a cell are rounding and left out.
     """
-    parts = with_box(polygons.select(site, rings), rings)
-    places = over_buckets(parts, size).drop(*BOX)
-    middle_x, middle_y = (F.col("x_min") + F.col("x_max")) / 2, (F.col("y_min") + F.col("y_max")) / 2
-    placed = cells.withColumn("bx", bucket(middle_x, size)).withColumn("by", bucket(middle_y, size))
-    pairs = places.join(placed, ["bx", "by"])
-    cut = pairs.select(site, "cell", box_overlap_area(rings, "x_min", "y_min", "x_max", "y_max").alias("area"))
-    kept = cut.groupBy(site, "cell").agg(F.sum("area").alias("intersection_area")).where("intersection_area > 0")
+    sums = edge_areas(directed_edges(polygons, site, rings), site, size)
+    boxes = over_buckets(with_box(polygons.select(site, rings), rings).drop(rings), size).select(site, "bx", "by").distinct()
+    spread = boxes.join(sums, [site, "bx", "by"], "full").fillna(0.0, ["area", "below"])
+    # a site's column: as many rows as the site is cells high
+    down = Window.partitionBy(site, "bx").orderBy(F.col("by").desc())
+    area = F.col("area") + F.lit(size) * F.sum("below").over(down)
+    placed = cells.select("cell", bucket((F.col("x_min") + F.col("x_max")) / 2, size).alias("bx"), bucket((F.col("y_min") + F.col("y_max")) / 2, size).alias("by"))
+    cut = spread.select(site, "bx", "by", area.alias("intersection_area")).where(F.col("intersection_area") > smallest * size * size)
+    kept = cut.join(placed, ["bx", "by"]).select(site, "cell", "intersection_area")
     areas = polygons.groupBy(site).agg(F.sum(polygon_area(F.col(rings))).alias("site_area"))
     covered = kept.groupBy(site).agg(F.sum("intersection_area").alias("covered_area"))
     return (
@@ -217,5 +217,12 @@ def grid_overlay(polygons: DataFrame, cells: DataFrame, site: str, rings: str, s
     )
 
 
+def all_sites_covered(polygons: DataFrame, overlay: DataFrame, site: str) -> DataFrame:
+    """The overlay; reading it fails if a site has no cell at all."""
+    missing = sites_without_cells(polygons, overlay, site).agg(F.count(F.lit(1))).scalar()
+    known = F.when(missing == 0, F.col(site)).otherwise(F.raise_error(F.lit("sites without a grid cell")).cast("string"))
+    return overlay.withColumn(site, known)
+
+
 def sites_without_cells(polygons: DataFrame, overlay: DataFrame, site: str) -> DataFrame:
     return polygons.select(site).join(overlay.select(site).distinct(), site, "left_anti")

@@ -352,9 +352,36 @@ def square_cells(t, step=2.0):
     )
 
 
-@bind("polygon_grid_overlay")
+@bind(
+    "polygon_grid_overlay",
+    """WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS site, (s_suppkey * 37) % 1000 / 10.0::DOUBLE AS x, (s_suppkey * 91) % 1000 / 10.0::DOUBLE AS y,
+        2 + abs(s_acctbal) / 4000 AS size FROM supplier),
+      e AS (SELECT site, x + size * p[1] AS xa, y + size * p[2] AS ya, x + size * q[1] AS xb, y + size * q[2] AS yb FROM (
+        SELECT site, x, y, size, unnest([[0.0, 0.0], [1.0, 0.2], [1.3, 1.1], [0.5, 1.6], [-0.2, 0.9]]::DOUBLE[][]) AS p,
+          unnest([[1.0, 0.2], [1.3, 1.1], [0.5, 1.6], [-0.2, 0.9], [0.0, 0.0]]::DOUBLE[][]) AS q FROM s) AS r),
+      c AS (SELECT site, i, unnest(range(CAST(floor(y0 / 2) AS BIGINT), CAST(floor(y1 / 2) AS BIGINT) + 1)) AS j FROM (
+        SELECT site, y0, y1, unnest(range(CAST(floor(x0 / 2) AS BIGINT), CAST(floor(x1 / 2) AS BIGINT) + 1)) AS i FROM (
+          SELECT site, min(xa) AS x0, max(xa) AS x1, min(ya) AS y0, max(ya) AS y1 FROM e GROUP BY 1) AS b) AS b),
+      h AS (SELECT e.site, i, j, xb - xa AS run, greatest(2 * i, least(2 * i + 2, xa)) AS x1, greatest(2 * i, least(2 * i + 2, xb)) AS x2, xa, ya, yb
+        FROM e JOIN c ON e.site = c.site),
+      g AS (SELECT site, i, j, x2 - x1 AS dx, ya + (x1 - xa) * (yb - ya) / run - 2 * j AS u, ya + (x2 - xa) * (yb - ya) / run - 2 * j AS v
+        FROM h WHERE x1 <> x2),
+      f AS (SELECT site, i, j, dx, u, v, CASE WHEN u <= 0 THEN 0 WHEN u >= 2 THEN 2 * u - 2 ELSE u * u / 2 END AS gu,
+          CASE WHEN v <= 0 THEN 0 WHEN v >= 2 THEN 2 * v - 2 ELSE v * v / 2 END AS gv FROM g),
+      a AS (SELECT site, i || '|' || j AS cell, abs(sum(dx * CASE WHEN abs(u - v) < 1e-12 THEN greatest(0, least(2, u)) ELSE (gv - gu) / (v - u) END)) AS intersection_area
+        FROM f GROUP BY 1, 2),
+      k AS (SELECT * FROM a WHERE intersection_area > 4e-9),
+      t AS (SELECT site, sum(intersection_area) AS covered_area FROM k GROUP BY 1),
+      w AS (SELECT site, size * size * (1.0 * 1.1 - 1.3 * 0.2 + 1.3 * 1.6 - 0.5 * 1.1 + 0.5 * 0.9 + 0.2 * 1.6)::DOUBLE / 2 AS site_area FROM s)
+    SELECT k.site, cell, intersection_area, covered_area, site_area, intersection_area / covered_area AS cell_weight, covered_area / site_area AS coverage
+    FROM k JOIN t ON k.site = t.site JOIN w ON k.site = w.site""",
+    rounded="intersection_area covered_area site_area cell_weight coverage",
+    digits=5,
+)
 def polygon_grid_overlay(t):
-    return spatial.grid_overlay(supplier_polygons(t), square_cells(t), "site", "rings", 2.0)
+    polygons = supplier_polygons(t)
+    overlay = spatial.grid_overlay(polygons, square_cells(t), "site", "rings", 2.0)
+    return spatial.all_sites_covered(polygons, overlay, "site")
 
 
 @bind(

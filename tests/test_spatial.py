@@ -46,16 +46,26 @@ def test_locate(spark, size):
         assert row.site == (min(hits) if hits else None)
 
 
-def test_clip_area_against_fine_grid():
-    shape = star(0, 0, 3, 17, 2)
-    xs = np.linspace(-1, 2, 601)[:-1] + 0.0025
-    ys = np.linspace(-0.5, 1.5, 401)[:-1] + 0.0025
-    share = np.mean([inside(shape, x, y) for x in xs[::6] for y in ys[::6]])
-    assert spatial.ring_in_box_area(shape, -1, -0.5, 2, 1.5) == pytest.approx(share * 6, rel=0.02)
-    assert spatial.ring_in_box_area(shape, 50, 50, 60, 60) == 0
-    square = np.array([[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]], dtype=float)
-    assert spatial.ring_in_box_area(square, 1, 1, 5, 5) == pytest.approx(1)
-    assert spatial.ring_in_box_area(square, -1, -1, 5, 5) == pytest.approx(4)
+def test_overlay_of_stars_against_fine_grid(spark):
+    shape, hole = star(0.3, -0.2, 3, 17, 2), [(-0.4, -0.6), (0.9, -0.5), (0.2, 0.8), (-0.4, -0.6)]
+    for outer in (shape, shape[::-1]):
+        polygons = spark.createDataFrame([("s", [ring(outer)[:], ring(hole)])], RINGS)
+        cells = spark.createDataFrame(
+            [(f"{i},{j}", float(i), i + 1.0, float(j), j + 1.0) for i in range(-5, 5) for j in range(-5, 5)],
+            "cell string, x_min double, x_max double, y_min double, y_max double",
+        )
+        got = {r.cell: r.intersection_area for r in spatial.grid_overlay(polygons, cells, "site", "rings", 1.0).collect()}
+        fine = (np.arange(40) + 0.5) / 40
+        for i in range(-5, 5):
+            for j in range(-5, 5):
+                share = np.mean([inside(outer, i + x, j + y) and not inside(hole, i + x, j + y) for x in fine for y in fine])
+                assert got.get(f"{i},{j}", 0.0) == pytest.approx(share, abs=0.03)
+        assert sum(got.values()) == pytest.approx(spatial_area(outer) - spatial_area(hole))
+
+
+def spatial_area(points):
+    xy = np.array(points, dtype=float)
+    return 0.5 * abs(float(np.dot(xy[:, 0], np.roll(xy[:, 1], -1)) - np.dot(xy[:, 1], np.roll(xy[:, 0], -1))))
 
 
 def test_overlay_parts_and_missing_sites(spark):
@@ -74,5 +84,7 @@ def test_overlay_parts_and_missing_sites(spark):
     assert rows["2,0"].intersection_area == pytest.approx(1) and rows["2,0"].site_area == pytest.approx(2)
     assert rows["0,0"].cell_weight == pytest.approx(0.125) and rows["0,0"].coverage == pytest.approx(1)
     assert [r.site for r in spatial.sites_without_cells(polygons, overlay, "site").collect()] == ["b"]
+    with pytest.raises(Exception, match="sites without a grid cell"):
+        spatial.all_sites_covered(polygons, overlay, "site").collect()
     total = overlay.groupBy("site").agg(F.sum("cell_weight").alias("w")).head().w
     assert total == pytest.approx(1)
