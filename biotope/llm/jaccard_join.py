@@ -10,9 +10,10 @@ none). Two texts link when ``100 * |x & y| >= percent * |x | y|``.
    that these come last, so no task ever holds the occurrences of a hot n-gram.)
 3. The others order their n-grams rarest first and emit the prefix, with positions. A pair must share
    an n-gram of both prefixes and pass the length filter, the positional filter and the suffix filter.
-4. Within an n-gram's group each member is paired with the group's most typical one first; what then
-   lies in one component needs no more pairs. Members of other components are paired with every member
-   that the filters let through. Each pair is verified once, by intersecting its shared n-grams.
+4. Within an n-gram's group each member is paired with the group's most typical one first, then with a
+   few others; what by then lies in one component needs no more pairs. Members outside the group's largest
+   component are paired with every member of another one that the filters let through. Each pair is verified
+   once, by intersecting its shared n-grams.
 
 Hashes: an n-gram is a 64-bit hash of which 48 bits plus the bucket travel; a class is 64 bits and a size.
 """
@@ -36,7 +37,15 @@ HOT_LIST = 1 << 20
 #: An n-gram is hot from this share of all texts on, and from this many texts on.
 HOT_SHARE, HOT_LEAST = 1000, 1000
 
+#: Words of 64 bits in the signature of a class's shared n-grams.
+SIGNATURE = 8
+#: Further rounds of star pairs, each around another member of a group, before all pairs that are left.
+STAR_ROUNDS = 4
+#: Least number of buckets that n-grams are counted in.
+LEAST_BUCKETS = 128
+
 U = np.uint64
+BITS = [f"b{k}" for k in range(SIGNATURE)]
 
 
 def text_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -184,7 +193,8 @@ def _shared(hot):
 def shared_grams(docs: DataFrame, text: str, n: int, hot_grams: np.ndarray) -> DataFrame:
     """(set_key, n, items): for each class its n-grams held by other classes too, as ``struct(times, gram)``."""
     spark = docs.sparkSession
-    buckets = min(1 << 15, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a class has a row per bucket that holds a shared n-gram of it: with many buckets, as many rows as n-grams
+    buckets = min(1 << 15, max(LEAST_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     hot = spark.sparkContext.broadcast(hot_grams)
     blobs = docs.select(F.col(text).alias("text")).mapInArrow(
         _blobs(n, buckets, hot), BLOB
@@ -202,10 +212,27 @@ def _overlap_needed(percent: int, a: str, b: str):
     return F.expr(f"({percent} * ({a} + {b}) + {100 + percent - 1}) div {100 + percent}")
 
 
+def _signature(grams: str) -> list:
+    """Bitmap of the n-grams as ``SIGNATURE`` longs."""
+
+    def word(k: int):
+        mine = f"filter({grams}, g -> pmod(shiftrightunsigned(g, 40), {SIGNATURE}) = {k})"
+        return F.expr(f"aggregate({mine}, 0L, (acc, g) -> acc | shiftleft(1L, cast(pmod(shiftrightunsigned(g, 48), 64) as int)))")
+
+    return [word(k).alias(name) for k, name in enumerate(BITS)]
+
+
 def _filters(percent: int):
-    """Length and positional filter of two prefix rows x and y."""
-    return F.expr(f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}") & (
-        F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= _overlap_needed(percent, "x.n", "y.n")
+    """Length, positional and suffix filter of two prefix rows x and y.
+
+    A bit that one signature has and the other lacks stands for an n-gram, at least, that they do not share.
+    """
+    missing = lambda x, y: " + ".join(f"bit_count({x}.{b} & ~{y}.{b})" for b in BITS)
+    need = _overlap_needed(percent, "x.n", "y.n")
+    return (
+        F.expr(f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}")
+        & (F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= need)
+        & (F.least(F.expr(f"x.shared - ({missing('x', 'y')})"), F.expr(f"y.shared - ({missing('y', 'x')})")) >= need)
     )
 
 
@@ -251,20 +278,21 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     rarest = shared.select("set_key", "n", F.array_sort("items").alias("items"))
     buckets = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter("grams", lambda g: F.shiftrightunsigned(g, 60) == k)).cast("long"))
     sets = materialize(
-        rarest.select("set_key", "n", F.transform("items", lambda i: i["grams"]).alias("grams")).withColumn("profile", buckets),
+        rarest.select("set_key", "n", F.transform("items", lambda i: i["grams"]).alias("grams"))
+        .select("set_key", "n", "grams", buckets.alias("profile"), *_signature("grams")),
         "candidates",
     )
     prefix = materialize(
-        sets.select("set_key", "n", F.posexplode("grams").alias("k", "gram"), (F.col("n") - F.size("grams")).alias("lone"))
-        .select("gram", "set_key", "n", (F.col("lone") + F.col("k")).alias("pos"))
+        sets.select("set_key", "n", F.size("grams").alias("shared"), *BITS, F.posexplode("grams").alias("k", "gram"))
+        .select("gram", "set_key", "n", (F.col("n") - F.col("shared") + F.col("k")).alias("pos"), "shared", *BITS)
         .where(F.expr(f"pos <= n - ({percent} * n + 99) div 100")),
         "prefix",
     )
     centre = (
         prefix.groupBy("gram")
-        .agg(F.count("*").alias("size"), F.min(F.struct((F.col("pos") / F.col("n")).alias("at"), "n", "set_key", "pos")).alias("c"))
+        .agg(F.count("*").alias("size"), F.min(F.struct((F.col("pos") / F.col("n")).alias("at"), "n", "set_key", "pos", "shared", *BITS)).alias("c"))
         .where("size > 1")
-        .select("gram", F.col("c.set_key").alias("set_key"), F.col("c.n").alias("n"), F.col("c.pos").alias("pos"))
+        .select("gram", *[F.col(f"c.{x}").alias(x) for x in ("set_key", "n", "pos", "shared", *BITS)])
     )
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = (
@@ -273,11 +301,28 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     )
     links = materialize(_verified(star, sets, percent), "links")
     known = components(links)
-    placed = materialize(
-        prefix.join(known, prefix.set_key == known.node, "left").select("gram", "set_key", "n", "pos", F.coalesce("root", "set_key").alias("part")),
-        "placed",
-    )
-    main = centre.select("gram", "set_key").join(known, F.col("set_key") == known.node, "left").select("gram", F.coalesce("root", "set_key").alias("main"))
+
+    def parts() -> DataFrame:
+        columns = ["gram", "set_key", "n", "pos", "shared", *BITS, F.coalesce("root", "set_key").alias("part")]
+        return materialize(prefix.join(known, prefix.set_key == known.node, "left").select(*columns), "placed")
+
+    placed = parts()
+    for k in range(STAR_ROUNDS):
+        other = F.min(F.struct(F.xxhash64("set_key", F.lit(k)).alias("at"), "n", "set_key", "pos", "shared", *BITS, "part"))
+        around = placed.groupBy("gram").agg(other.alias("c"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
+        around = around.select("gram", *[F.col(f"c.{x}").alias(x) for x in ("set_key", "n", "pos", "shared", *BITS, "part")])
+        more = (
+            placed.alias("x").join(around.alias("y"), "gram").where("x.part <> y.part").where(_filters(percent))
+            .select(*pair(F.col("x.set_key"), F.col("y.set_key"))).distinct()
+        )
+        more = materialize(_verified(more, sets, percent), "links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        known = components(links)
+        placed = parts()
+    largest = F.max_by("part", F.struct("members", "part"))
+    main = placed.groupBy("gram", "part").agg(F.count("*").alias("members")).groupBy("gram").agg(largest.alias("main"))
     marked = placed.join(main, "gram").withColumn("outside", F.col("part") != F.col("main"))
     rest = (
         marked.where("outside").alias("x").join(marked.alias("y"), F.expr("x.gram = y.gram and x.part <> y.part and (not y.outside or x.set_key < y.set_key)"))
