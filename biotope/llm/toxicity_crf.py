@@ -61,60 +61,70 @@ def tokens(raw: np.ndarray, offsets: np.ndarray):
     return starts, ends, doc, table
 
 
-def running_states(m: np.ndarray) -> np.ndarray:
-    """Row vectors v_t = v_(t-1) @ m_t for m of shape (T, 2, 2), each scaled to sum 1; v_0 is (1, 1) @ m_0."""
-    total = len(m)
+def running_states(m: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Both parts of the row vectors v_t = v_(t-1) @ m_t, each scaled to sum 1; v_0 is (1, 1) @ m_0.
+
+    ``m`` has the matrices as four arrays (00, 01, 10, 11). They are multiplied side by side in blocks, the
+    blocks' products run through the same function, and the blocks start again from what it gives.
+    """
+    total = len(m[0])
     if total <= STRIDE:
-        out, v = np.empty((total, 2)), np.ones(2)
-        for t in range(total):
-            v = v @ m[t]
-            v = v / v.sum()
-            out[t] = v
-        return out
+        out, v0, v1 = np.empty((2, total)), 1.0, 1.0
+        for t, (a, b, c, d) in enumerate(zip(*(x.tolist() for x in m), strict=True)):
+            v0, v1 = v0 * a + v1 * c, v0 * b + v1 * d
+            scale = 1 / (v0 + v1)
+            v0, v1 = v0 * scale, v1 * scale
+            out[:, t] = v0, v1
+        return out[0], out[1]
     blocks = -(-total // STRIDE)
-    padded = np.broadcast_to(np.eye(2), (blocks * STRIDE, 2, 2)).copy()
-    padded[:total] = m
-    grid = padded.reshape(blocks, STRIDE, 2, 2)
-    product = grid[:, 0].copy()
-    for j in range(1, STRIDE):
-        product = product @ grid[:, j]
-        product /= product.sum(axis=(1, 2), keepdims=True)
-    carried = running_states(product)
-    v = np.concatenate([np.full((1, 2), 0.5), carried[:-1]])
-    out = np.empty((blocks, STRIDE, 2))
-    for j in range(STRIDE):
-        v = np.einsum("bi,bij->bj", v, grid[:, j])
-        v /= v.sum(axis=1, keepdims=True)
-        out[:, j] = v
-    return out.reshape(-1, 2)[:total]
-
-
-def forward_backward(emission: np.ndarray, doc: np.ndarray, trans: np.ndarray, start: np.ndarray):
+    grid = []
+    for x, same in zip(m, (1.0, 0.0, 0.0, 1.0), strict=True):
+        padded = np.full(blocks * STRIDE, same)
+        padded[:total] = x
+        grid.append(np.ascontiguousarray(padded.reshape(blocks, STRIDE).T))
+    p, q, r, s = (x[0] for x in grid)
+    for a, b, c, d in zip(*(x[1:] for x in grid), strict=True):
+        p, q, r, s = p * a + q * c, p * b + q * d, r * a + s * c, r * b + s * d
+        scale = 1 / (p + q + r + s)
+        p, q, r, s = p * scale, q * scale, r * scale, s * scale
+    v0, v1 = (np.append(0.5, x[:-1]) for x in running_states([p, q, r, s]))
+    out0, out1 = np.empty((STRIDE, blocks)), np.empty((STRIDE, blocks))
+    for j, (a, b, c, d) in enumerate(zip(*grid, strict=True)):
+        v0, v1 = v0 * a + v1 * c, v0 * b + v1 * d
+        scale = 1 / (v0 + v1)
+        out0[j] = v0 = v0 * scale
+        out1[j] = v1 = v1 * scale
+    return out0.T.ravel()[:total], out1.T.ravel()[:total]
+
+
+def forward_backward(emission: np.ndarray, doc: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = True):
     """Tag marginals (T, 2) and pair marginals (T, 2, 2) of (tag before, tag); pairs of a text's first word are 0.
 
     ``emission`` is the toxic tag's log weight against the clean one; ``trans`` and ``start`` are weights.
     """
     total = len(emission)
     if not total:
-        return np.zeros((0, 2)), np.zeros((0, 2, 2))
-    e = np.stack([np.ones(total), np.exp(np.clip(emission, -30, 30))], axis=1)
+        return np.zeros((0, 2)), np.zeros((0, 2, 2)) if pairs else None
+    e = np.exp(np.clip(emission, -30, 30))
     first = np.ones(total, bool)
     first[1:] = doc[1:] != doc[:-1]
     last = np.append(first[1:], True)
-    step = trans[None] * e[:, None, :]
-    onward = step.copy()
-    onward[first] = (start[None] * e[first])[:, None, :] / 2
+    step = [np.full(total, trans[0, 0]), trans[0, 1] * e, np.full(total, trans[1, 0]), trans[1, 1] * e]
+    begin = [start[0] / 2, start[1] * e / 2]
+    onward = [np.where(first, begin[k % 2], x) for k, x in enumerate(step)]
     alpha = running_states(onward)
-    follow = np.concatenate([step[1:], np.ones((1, 2, 2))])
-    follow[last] = 0.5
-    beta = running_states(np.swapaxes(follow[::-1], 1, 2))[::-1]
-    tag = alpha * beta
+    # backwards the matrices of the next word act transposed; a text's last word starts anew
+    follow = [np.where(last, 0.5, np.append(x[1:], 0.5))[::-1] for x in (step[0], step[2], step[1], step[3])]
+    beta = [x[::-1] for x in running_states(follow)]
+    tag = np.stack([alpha[0] * beta[0], alpha[1] * beta[1]], axis=1)
     tag /= tag.sum(axis=1, keepdims=True)
-    before = np.concatenate([np.full((1, 2), 0.5), alpha[:-1]])
-    pair = before[:, :, None] * step * beta[:, None, :]
+    if not pairs:
+        return tag, None
+    before = [np.append(0.5, x[:-1]) for x in alpha]
+    pair = np.stack([before[0] * step[0] * beta[0], before[0] * step[1] * beta[1], before[1] * step[2] * beta[0], before[1] * step[3] * beta[1]], axis=1)
     pair[first] = 0
-    pair /= np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-300)
-    return tag, pair
+    pair /= np.maximum(pair.sum(axis=1, keepdims=True), 1e-300)
+    return tag, pair.reshape(-1, 2, 2)
 
 
 @dataclass
@@ -175,7 +185,7 @@ def _stretches(doc: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def fit_texts(bodies: list[str], labels: list[int], share: float | None = None, rounds: int = 40, rate: float = 0.5, l2: float = 2e-4) -> Crf:
+def fit_texts(bodies: list[str], labels: list[int], share: float | None = None, rounds: int = 30, rate: float = 0.5, l2: float = 2e-4) -> Crf:
     """``share``: of toxic rows where the sample was drawn, that of the sample itself if not given.
 
     Tag the tokens, fit the field by Adagrad on its log-likelihood, then the document score on all rows."""
@@ -231,7 +241,7 @@ def fit_texts(bodies: list[str], labels: list[int], share: float | None = None,
     spread[slots] = weights[:known]
     model = Crf(spread, float(bias), np.exp(log_trans), np.exp(log_start), np.zeros(3))
     if len(bodies):
-        likely = np.concatenate([forward_backward(_emission(t[:, p], weights, bias), doc[p], model.trans, model.start)[0] for p in _stretches(doc)] or [np.zeros((0, 2))])
+        likely = np.concatenate([forward_backward(_emission(t[:, p], weights, bias), doc[p], model.trans, model.start, False)[0] for p in _stretches(doc)] or [np.zeros((0, 2))])
         mine = toxic.mean()
         weight = np.where(toxic > 0, share / mine, (1 - share) / (1 - mine)) if share is not None and 0 < mine < 1 else np.ones(len(toxic))
         model.calibration = _logistic(_document_features(likely, doc, len(bodies)), toxic, weight)
@@ -266,7 +276,7 @@ def score(docs: DataFrame, model: Crf, id_column: str = "doc_id", text: str = "t
             for first, last, raw, offsets in texts.pieces(batch.column(1)):
                 rows = last - first
                 starts, ends, doc, table = tokens(raw, offsets)
-                tag, _ = forward_backward(_emission(table, m.weights, m.bias), doc, m.trans, m.start)
+                tag, _ = forward_backward(_emission(table, m.weights, m.bias), doc, m.trans, m.start, False)
                 margin = _document_features(tag, doc, rows) @ m.calibration
                 hit = np.flatnonzero(tag[:, 1] >= SPAN_LIMIT)
                 opens = np.ones(len(hit), bool)
