@@ -194,18 +194,25 @@ def edge_areas(edges: DataFrame, site: str, size: float) -> DataFrame:
 def grid_overlay(polygons: DataFrame, cells: DataFrame, site: str, rings: str, size: float, smallest: float = 1e-9) -> DataFrame:
     """Site x cell intersection areas, weights and coverage; parts of a site add up.
 
-    ``cells``: cell, x_min, x_max, y_min, y_max of a regular grid of step ``size`` whose lines are its
-    multiples. Edges alone are cut and summed, in built-in expressions: a site's rings are never copied per
+    ``cells``: cell, x_min, x_max, y_min, y_max of a regular grid of step ``size``; its lines run through the
+    smallest corner. Edges alone are cut and summed, in built-in expressions: a site's rings are never copied per
     cell. The cells between the edges of a column follow from a running sum down the column. Areas under
     ``smallest`` of a cell are rounding and left out.
     """
-    sums = edge_areas(directed_edges(polygons, site, rings), site, size)
-    boxes = over_buckets(with_box(polygons.select(site, rings), rings).drop(rings), size).select(site, "bx", "by").distinct()
+    left, bottom = (cells.agg(F.min(c)).scalar() for c in ("x_min", "y_min"))
+    edges = directed_edges(polygons, site, rings).withColumns(
+        {"xa": F.col("xa") - left, "xb": F.col("xb") - left, "ya": F.col("ya") - bottom, "yb": F.col("yb") - bottom}
+    )
+    sums = edge_areas(edges, site, size)
+    boxed = with_box(polygons.select(site, rings), rings).drop(rings).withColumns(
+        {c: F.col(c) - (left if c.startswith("x") else bottom) for c in BOX}
+    )
+    boxes = over_buckets(boxed, size).select(site, "bx", "by").distinct()
     spread = boxes.join(sums, [site, "bx", "by"], "full").fillna(0.0, ["area", "below"])
     # a site's column: as many rows as the site is cells high
     down = Window.partitionBy(site, "bx").orderBy(F.col("by").desc())
     area = F.col("area") + F.lit(size) * F.sum("below").over(down)
-    placed = cells.select("cell", bucket((F.col("x_min") + F.col("x_max")) / 2, size).alias("bx"), bucket((F.col("y_min") + F.col("y_max")) / 2, size).alias("by"))
+    placed = cells.select("cell", bucket((F.col("x_min") + F.col("x_max")) / 2 - left, size).alias("bx"), bucket((F.col("y_min") + F.col("y_max")) / 2 - bottom, size).alias("by"))
     cut = spread.select(site, "bx", "by", area.alias("intersection_area")).where(F.col("intersection_area") > smallest * size * size)
     kept = cut.join(placed, ["bx", "by"]).select(site, "cell", "intersection_area")
     areas = polygons.groupBy(site).agg(F.sum(polygon_area(F.col(rings))).alias("site_area"))
