@@ -131,7 +131,9 @@ def fit_references(docs: DataFrame, rules: Rules = Rules(), text: str = "text",
     """References counted over all rows with a language; only each language's common words come to the driver."""
     spark = docs.sparkSession
     texts.settings(spark)
-    source = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    named = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count()
+    frequent = [r.lang for r in named.orderBy(F.desc("count"), "lang").limit(rules.max_languages).collect()]
+    source = docs.where(F.col(lang).isin(frequent)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def counted(words) -> DataFrame:
         return source.mapInArrow(_language_counts(words), COUNTED).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
