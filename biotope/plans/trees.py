@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +35,8 @@ class TreeSpec:
     balanced: bool = False
     weight: str | None = None
     iterations: int = 250
+    #: Rounds without a smaller validation error after which a fit stops.
+    patience: int = 40
     depth: int = 6
     learning_rate: float = 0.1
     seed: int = 42
@@ -76,7 +78,7 @@ def extents(rows: DataFrame, spec: TreeSpec) -> tuple[list[str], int]:
     return [c for c in spec.numeric if counted[f"n_{c}"]], max([0, *[counted[f"k_{c}"] for c in spec.categorical]])
 
 
-def stages(spec: TreeSpec, with_validation: bool, known: Sequence[str], categories_most: int) -> list:
+def stages(spec: TreeSpec, known: Sequence[str], categories_most: int) -> list:
     """A numeric column without any value in the fit takes part by its missing indicator alone."""
     values = [f"{c}__value" for c in known]
     filled = [f"{c}__filled" for c in known]
@@ -100,11 +102,47 @@ def stages(spec: TreeSpec, with_validation: bool, known: Sequence[str], categori
         maxBins=max(LEAST_BINS, categories_most + 1),  # categories kept for unseen values included
         seed=spec.seed,
     )
-    if with_validation:
-        trees = trees.setValidationIndicatorCol("is_validation")
     return [*steps, trees]
 
 
+def stop_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """(rounds up to the least error, whether ``patience`` further rounds without a smaller one have followed)."""
+    best = 0
+    for k, error in enumerate(errors):
+        if error < errors[best]:
+            best = k
+        if k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_trees(model, n: int):
+    """The boosted model cut after its first ``n`` trees."""
+    java, jvm = model._java_obj, SparkSession.active().sparkContext._jvm
+    parts = [java.uid(), java.trees()[:n], java.treeWeights()[:n], java.numFeatures()]
+    if isinstance(model, GBTClassificationModel):
+        cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(*parts, java.numClasses())
+    else:
+        cut = jvm.org.apache.spark.ml.regression.GBTRegressionModel(*parts)
+    return model._copyValues(type(model)(cut))
+
+
+def boosted(learner, rows: DataFrame, held: DataFrame, spec: TreeSpec):
+    """Model up to the round of the least error on ``held``, looked for until ``patience`` rounds bring none smaller.
+
+    Spark's own early stop ends at the first round that gains less than a hundredth. A longer fit with the
+    same seed begins with the trees of a shorter one, so the rounds are raised until the stop lies within.
+    """
+    rounds = min(spec.iterations, spec.patience + SMALLEST_ITERATIONS)
+    while True:
+        model = learner.setMaxIter(rounds).fit(rows)
+        errors = model.evaluateEachIteration(held) if spec.binary else model.evaluateEachIteration(held, "squared")
+        best, stopped = stop_round(errors, spec.patience)
+        if stopped or rounds == spec.iterations:
+            return first_trees(model, best)
+        rounds = min(spec.iterations, 2 * rounds)
+
+
 def train(df: DataFrame, spec: TreeSpec) -> PipelineModel:
     """Fit on the train rows, stopping early on the validation rows where there are any.
 
@@ -117,7 +155,14 @@ def train(df: DataFrame, spec: TreeSpec) -> PipelineModel:
             "is_validation", F.col("split") == "validation"
         )
     fitted = rows.where("not is_validation") if with_validation else rows
-    return Pipeline(stages=stages(spec, with_validation, *extents(fitted, spec))).fit(rows)
+    *steps, learner = stages(spec, *extents(fitted, spec))
+    prepared = Pipeline(stages=steps).fit(rows)
+    ready = prepared.transform(rows)
+    if with_validation and not rows.where("is_validation").isEmpty():
+        model = boosted(learner, ready.where("not is_validation"), ready.where("is_validation"), spec)
+    else:
+        model = learner.fit(ready.where("not is_validation") if with_validation else ready)
+    return PipelineModel([*prepared.stages, model])
 
 
 def score(model: PipelineModel, df: DataFrame, spec: TreeSpec) -> DataFrame:
@@ -155,10 +200,10 @@ def importances(spark: SparkSession, model: PipelineModel, spec: TreeSpec) -> Da
     return table.withColumn("family", first_rule(F.col("feature"), REPORT_FAMILY_RULES, "other"))
 
 
-def ablation_variants(core: Mapping[str, Sequence[str]], local: Mapping[str, Sequence[str]]) -> list[dict]:
-    """Reference with all core groups, plus each local group, minus each core group."""
+def ablation_variants(core: Mapping[str, Sequence[str]], local: Mapping[str, Sequence[str]], control: Sequence[str] = ()) -> list[dict]:
+    """Reference with all core groups, plus each local group, minus each core group; all have the control columns."""
     def columns(groups: Mapping[str, Sequence[str]], leave_out: str | None = None) -> list[str]:
-        return [c for name, members in groups.items() if name != leave_out for c in members]
+        return [*control, *[c for name, members in groups.items() if name != leave_out for c in members]]
 
     variants = [{"variant": "reference", "comparison": "reference", "group": None, "columns": columns(core)}]
     for name, members in local.items():
@@ -196,11 +241,12 @@ def grouped_ablation(
     year: str,
     folds: Sequence[int],
     spec: TreeSpec,
+    control: Sequence[str] = (),
 ) -> DataFrame:
     """Rows, best iteration, RMSE and MAE of every variant, target and fold; each fit is a distributed Spark ML job."""
     from dataclasses import replace
 
-    tasks = [(v, t, f) for v in ablation_variants(core, local) for t in targets for f in folds]
+    tasks = [(v, t, f) for v in ablation_variants(core, local, control) for t in targets for f in folds]
 
     def run(task) -> tuple:
         variant, target, fold = task
@@ -224,7 +270,7 @@ def frozen_iterations(best_iterations: Sequence[int]) -> int:
 
 
 def best_iteration(model: PipelineModel) -> int:
-    """Trees kept by the validation-based early stop."""
+    """Trees up to the least error on the validation rows."""
     return model.stages[-1].getNumTrees
 
 

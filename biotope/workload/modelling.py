@@ -584,12 +584,32 @@ SPEC = trees.TreeSpec(
     numeric=MODEL_FEATURES,
     categorical=("region_name",),
     balanced=True,
-    iterations=4,
-    depth=3,
     ids=("site", "week_start"),
 )
-CORE_GROUPS = {"weather": ["temp_mean", "rain_sum", "humid_mean"], "season": ["month"]}
-LOCAL_GROUPS = {"census": ["population"]}
+#: Seven core and seven local groups; the month takes part in every variant.
+CORE_GROUPS = {
+    "temperature": ["temp_mean", "temp_min", "temp_max"],
+    "humidity": ["humid_mean"],
+    "precipitation": ["rain_sum"],
+    "soil": ["rain_prev_4"],
+    "topography": ["elevation_mean", "elevation_range"],
+    "land_cover": ["stations"],
+    "population": ["population", "density"],
+}
+LOCAL_GROUPS = {
+    "temperature_last_week": ["temp_lag_1"],
+    "humidity_last_week": ["humid_lag_1"],
+    "precipitation_last_week": ["rain_lag_1"],
+    "temperature_before": ["temp_lag_2"],
+    "humidity_before": ["humid_lag_2"],
+    "precipitation_before": ["rain_lag_2"],
+    "cases_before": ["cases_a_lag_2", "cases_b_lag_2"],
+}
+CONTROL = ["month"]
+ABLATION_TARGETS = ["cases_next_4", "cases_b_next_4", "cases_next_8"]
+ABLATION_FOLDS = [1998, 1999, 2000, 2001]
+#: Folds that measure the iterations of the fit scored on 2001, which none of them sees.
+FROZEN_FOLDS = [1997, 1998, 1999, 2000]
 
 
 def training_panel(t: Tables):
@@ -603,11 +623,17 @@ def training_panel(t: Tables):
         "humid_mean",
         F.month("week_start").alias("month"),
         F.year("week_start").alias("year"),
-        F.lag("cases_a", 2).over(w).alias("cases_a_lag_2"),
+        "temp_min",
+        "temp_max",
+        *[F.lag(f"{c}_{kind}", k).over(w).alias(f"{c}_lag_{k}") for c, kind in (("temp", "mean"), ("humid", "mean"), ("rain", "sum")) for k in (1, 2)],
+        *[F.lag(f"cases_{c}", 2).over(w).alias(f"cases_{c}_lag_2") for c in "ab"],
+        windows.prev_full("rain_sum", 4, w).alias("rain_prev_4"),
         windows.next_full("cases_a", 4, w).alias("cases_next_4"),
+        windows.next_full("cases_b", 4, w).alias("cases_b_next_4"),
+        windows.next_full("cases_a", 8, w).alias("cases_next_8"),
     )
-    panel = panel.join(t.static_site.select("site", "elevation_mean", "region_name"), "site", "left")
-    panel = asof_year(panel, t.yearly_site, "site", "year", ["population"], "population_year")
+    panel = panel.join(t.static_site.select("site", "elevation_mean", "elevation_range", "stations", "region_name"), "site", "left")
+    panel = asof_year(panel, t.yearly_site, "site", "year", ["population", "density"], "population_year")
     panel = materialize(panel, "feature_panel")
     typical = panel.groupBy("year").agg(F.avg("cases_next_4").alias("typical"))
     labelled = panel.join(typical, "year").withColumn(
@@ -642,17 +668,17 @@ def feature_importance(t):
     return trees.importances(t.spark, trees.train(panel, SPEC), SPEC)
 
 
-REGRESSION = trees.TreeSpec(target="cases_next_4", numeric=("temp_mean",), binary=False, iterations=3, depth=2)
+REGRESSION = trees.TreeSpec(target="cases_next_4", numeric=("temp_mean",), binary=False)
 
 
 @bind("grouped_ablation")
 def grouped_ablation(t):
-    """All variants on two folds, with the effect of each group against the reference."""
+    """All targets and variants on four folds, with the effect of each group against the reference."""
     from biotope.operators.joins import reference_effect
 
     panel = training_panel(t)
     results = trees.grouped_ablation(
-        panel, ["cases_next_4"], CORE_GROUPS, LOCAL_GROUPS, "year", [2000, 2001], REGRESSION
+        panel, ABLATION_TARGETS, CORE_GROUPS, LOCAL_GROUPS, "year", ABLATION_FOLDS, REGRESSION, CONTROL
     )
     return reference_effect(results, ["target", "fold_year"], "variant", "reference", "rmse", "comparison")
 
@@ -665,6 +691,6 @@ def frozen_holdout(t):
     panel = training_panel(t)
     spec = replace(REGRESSION, numeric=("temp_mean", "rain_sum", "month"))
     rows = panel.where(F.col(spec.target).isNotNull())
-    best = [trees.fold_result(rows, spec, "year", fold)[2] for fold in (1999, 2000)]
+    best = [trees.fold_result(rows, spec, "year", fold)[2] for fold in FROZEN_FOLDS]
     scored = trees.frozen_holdout(panel, spec, "year", 2001, [b for b in best if b])
     return scored.select("site", "week_start", "cases_next_4", "score", "iterations")
