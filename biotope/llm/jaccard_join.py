@@ -20,7 +20,7 @@ Hashes: an n-gram is a 64-bit hash of which 48 bits plus the bucket travel; a cl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -81,20 +81,21 @@ def _classes(n: int, floor: int):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for first, last, flat, bounds, keys in text_sets(batch.column(1), n):
+            *own, body = batch.columns
+            names = [*batch.schema.names[:-1], "set_key", "n_shingles", "gram", "times"]
+            for first, last, flat, bounds, keys in text_sets(body, n):
                 rows = last - first
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, rows), pa.array(keys.view(np.int64)), pa.array(np.diff(bounds).astype(np.int64)), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
-                    ["doc_id", "set_key", "n_shingles", "gram", "times"],
+                    [*[c.slice(first, rows) for c in own], pa.array(keys.view(np.int64)), pa.array(np.diff(bounds).astype(np.int64)), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
+                    names,
                 )
                 gram, times = np.unique(flat, return_counts=True)
                 gram, times = gram[times >= floor], times[times >= floor]
                 if len(gram):
                     none = pa.nulls(len(gram), pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [none.cast(ids.type), none, none, pa.array(gram.view(np.int64)), pa.array(times.astype(np.int64))],
-                        ["doc_id", "set_key", "n_shingles", "gram", "times"],
+                        [*[pa.nulls(len(gram), c.type) for c in own], none, none, pa.array(gram.view(np.int64)), pa.array(times.astype(np.int64))],
+                        names,
                     )
 
     return run
@@ -250,22 +251,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(most >= need).where(F.size(F.array_intersect("ga", "gb")) >= need).select("a", "b")
 
 
-def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+def jaccard_classes(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, carry: Sequence[str] = ()
+) -> DataFrame:
     """Per row of ``docs``: id, set_key and n_shingles of its class, and ``root``, the class that names its component.
 
     Null and blank texts: n_shingles 0, root null, linked with nothing. Repeated rows and ids: each row has
-    its own result. Extra columns are ignored. An empty table gives an empty table.
+    its own result. Extra columns are ignored but for those named in ``carry``. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     texts.settings(spark)
-    kind = docs.schema[id_column].dataType.simpleString()
+    own = docs.select(F.col(id_column).alias("doc_id"), *carry)
+    kinds = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in own.schema)
     rows = materialize(
-        docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-            _classes(n, 8), f"doc_id {kind}, set_key long, n_shingles long, gram long, times long"
+        docs.select(F.col(id_column).alias("doc_id"), *carry, F.col(text).alias("text")).mapInArrow(
+            _classes(n, 8), f"{kinds}, set_key long, n_shingles long, gram long, times long"
         ),
         "sets",
     )
-    members = rows.where("gram is null").select("doc_id", "set_key", "n_shingles")
+    members = rows.where("gram is null").select("doc_id", *carry, "set_key", "n_shingles")
     floor = max(HOT_LEAST, members.count() // HOT_SHARE)
     hot = [
         r[0]
@@ -332,7 +336,7 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     more = materialize(_verified(rest, sets, percent), "links")
     whole = components(links.union(more))
     return members.join(whole, members.set_key == whole.node, "left").select(
-        "doc_id", "n_shingles", "set_key", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_key")).alias("root")
+        "doc_id", *carry, "n_shingles", "set_key", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_key")).alias("root")
     )
 
 

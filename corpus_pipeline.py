@@ -32,12 +32,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.75, the one with the smallest id."""
-    rows = materialize(jaccard_classes(docs), "classes")
-    grouped = rows.where("root is not null")
-    first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "set_key")).alias("first"))
-    keep = first.select(F.col("first.doc_id").alias("doc_id")).union(rows.where("root is null").select("doc_id")).distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of each group of documents linked by five-word shingles at 0.75, the one with the smallest id.
+
+    A document without an id comes last and stays where its group has no other; of several texts under the
+    smallest id one stays. Texts without words are linked with nothing and stay. Rows of equal id and text,
+    null ids included, are one document.
+    """
+    keyed = docs.select("doc_id", "text", F.md5("text").alias("text_key"))
+    rows = materialize(jaccard_classes(keyed, carry=["text_key"]), "classes")
+    kept = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set_key", "text_key")).alias("kept")
+    named = [F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_key").alias("kept_key")]
+    first = rows.where("root is not null").groupBy("root").agg(kept).select(*named)
+    keep = first.union(rows.where("root is null").select("doc_id", "text_key"))
+    same = docs["doc_id"].eqNullSafe(keep["kept_id"]) & F.md5(docs["text"]).eqNullSafe(keep["kept_key"])
+    return docs.join(keep, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
