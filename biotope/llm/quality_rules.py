@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from biotope.llm import texts
+from biotope.session import materialize
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -75,46 +76,33 @@ COUNTED = "lang string, kind int, item long, n long"
 CHARACTERS, WORD, WORDS = 0, 1, 2
 
 
-def _language_counts(words):
-    """Rows (lang, kind, item, n) of each piece, by language.
-
-    Without ``words``: the words that a piece has three times or more, from which the common words are
-    chosen. With them: counts of character classes, of just these words, and of all words.
-    """
+def _language_counts(batches):
+    """Rows (lang, kind, item, n) of each piece, by language: character classes, each word, all words."""
     kinds = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("item", pa.int64()), ("n", pa.int64())])
-
-    def run(batches):
-        chosen = words.value if words else None
-        for batch in batches:
-            langs = np.array([x if x is not None else "" for x in batch.column(0).to_pylist()], str)
-            out: dict[str, list] = {"lang": [], "kind": [], "item": [], "n": []}
-
-            def add(lang, kind, items, counts, out=out):
-                out["lang"] += [lang] * len(items)
-                out["kind"] += [kind] * len(items)
-                out["item"] += items.tolist()
-                out["n"] += counts.tolist()
-
-            for first, last, raw, _, classes, starts, ends, doc in _counts(batch.column(1)):
-                own = langs[first:last]
-                hashes = texts.hash_spans(texts.lowered(raw), starts, ends)
-                for lang in np.unique(own):
-                    if not lang:
-                        continue
-                    mine = own == lang
-                    held = hashes[mine[doc]]
-                    if chosen is None:
-                        word, n = np.unique(held, return_counts=True)
-                        add(lang, WORD, word[n > 2].view(np.int64), n[n > 2])
-                    else:
-                        add(lang, CHARACTERS, np.arange(8), classes[mine].sum(axis=0))
-                        add(lang, WORDS, np.zeros(1, int), np.array([len(held)]))
-                        word, n = np.unique(held[np.isin(held, chosen)], return_counts=True)
-                        add(lang, WORD, word.view(np.int64), n)
-            if out["lang"]:
-                yield pa.RecordBatch.from_pydict(out, schema=kinds)
-
-    return run
+    for batch in batches:
+        tags = batch.column(0).dictionary_encode()
+        own, names = tags.indices.to_numpy(zero_copy_only=False).astype(np.int64), tags.dictionary
+        for first, last, raw, _, classes, starts, ends, doc in _counts(batch.column(1)):
+            hashes = texts.hash_spans(texts.lowered(raw), starts, ends)
+            here = own[first:last]
+            spoken = here[doc]
+            order = np.lexsort((hashes, spoken))
+            word, by = hashes[order], spoken[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (by[1:] != by[:-1])
+            at = np.flatnonzero(new)
+            present = np.unique(here)
+            place = np.searchsorted(present, here)
+            sums = np.zeros((len(present), 8), np.int64)
+            np.add.at(sums, place, classes)
+            lang = [by[at], np.repeat(present, 8), present]
+            kind = [np.full(len(at), WORD), np.full(sums.size, CHARACTERS), np.full(len(present), WORDS)]
+            item = [word[at].view(np.int64), np.tile(np.arange(8), len(present)), np.zeros(len(present), np.int64)]
+            n = [np.diff(np.append(at, len(word))), sums.ravel(), np.bincount(place[doc], minlength=len(present))]
+            columns = [np.concatenate(x) for x in (lang, kind, item, n)]
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(columns[0]))] + [pa.array(x.astype(t)) for x, t in zip(columns[1:], (np.int32, np.int64, np.int64), strict=True)], schema=kinds
+            )
 
 
 @dataclass
@@ -133,15 +121,14 @@ def fit_references(docs: DataFrame, rules: Rules = Rules(), text: str = "text",
     texts.settings(spark)
     named = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count()
     frequent = [r.lang for r in named.orderBy(F.desc("count"), "lang").limit(rules.max_languages).collect()]
-    source = docs.where(F.col(lang).isin(frequent)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-
-    def counted(words) -> DataFrame:
-        return source.mapInArrow(_language_counts(words), COUNTED).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-
+    source = docs.where(F.col(lang).isin(frequent) & (F.col(lang) != "")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counted = materialize(source.mapInArrow(_language_counts, COUNTED).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "words")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "item"))
-    top = counted(None).withColumn("rank", rank).where(F.col("rank") <= rules.common_words)
-    words = np.unique(np.array([r.item for r in top.select("item").distinct().orderBy("item").limit(rules.common_words * rules.max_languages).collect()], np.int64).view(U))
-    rows = counted(spark.sparkContext.broadcast(words)).collect()  # languages x (common words + 9)
+    top = counted.where(F.col("kind") == WORD).withColumn("rank", rank).where(F.col("rank") <= rules.common_words).select("item").distinct()
+    top = materialize(top, "common")
+    words = np.unique(np.array([r.item for r in top.collect()], np.int64).view(U))
+    common = counted.where(F.col("kind") == WORD).join(top, "item").select(*counted.columns)
+    rows = counted.where(F.col("kind") != WORD).union(common).collect()  # languages x (common words + 9)
     totals = {r.lang: r.n for r in rows if r.kind == WORDS}
     languages = sorted(totals, key=lambda x: (-totals[x], x))[: rules.max_languages]
     classes, shares = np.zeros((len(languages), 8)), np.zeros((len(languages), len(words) + 1))
