@@ -25,7 +25,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def op1_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    return judge(docs, fit_references(docs))
+    return judge(docs, fit_references(docs), lang="lang")
 
 
 def _held_out(folds: int, held: int):

@@ -22,7 +22,7 @@ MIN_SITES = 10
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near a reference language; null and short texts go."""
-    return keep_good(docs, fit_references(docs))
+    return keep_good(docs, fit_references(docs), lang="lang")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
