@@ -10,6 +10,7 @@ from biotope.llm import bpe, language_kernel, quality_classifier, toxicity_crf
 from biotope.llm.decontaminate import benchmark_matches
 from biotope.llm.jaccard_join import jaccard_components
 from biotope.llm.line_dedup import remove_spread_lines
+from biotope.llm.pivot_index import near_copies
 from biotope.llm.quality_rules import fit_references, judge
 from biotope.llm.sampling import fold
 from biotope.llm.sharding import shard_documents
@@ -122,11 +123,15 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_pivot_permutation(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_distribution_divergence, op2_string_kernel_language, op3_toxicity_crf, op4_line_dedup, op5_jump_sharding,
-        op6_depth_limited_suffixes, op7_pigeonhole_decontamination, op8_hashed_ftrl_quality, op9_ngram_jaccard_join, op10_byte_bpe,
+        op6_depth_limited_suffixes, op7_pigeonhole_decontamination, op8_hashed_ftrl_quality, op9_ngram_jaccard_join, op10_byte_bpe, op11_pivot_permutation,
     )
 }
 
