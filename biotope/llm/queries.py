@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biotope.llm import bpe, language_kernel, quality_classifier, toxicity_crf
+from biotope.llm.conversation_repair import damage, repair_summary
 from biotope.llm.decontaminate import benchmark_matches
 from biotope.llm.jaccard_join import jaccard_components
 from biotope.llm.line_dedup import remove_spread_lines
@@ -127,11 +128,16 @@ def op11_pivot_permutation(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
 
+def op12_lightest_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet")
+    return repair_summary(conversations, damage(conversations))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_distribution_divergence, op2_string_kernel_language, op3_toxicity_crf, op4_line_dedup, op5_jump_sharding,
-        op6_depth_limited_suffixes, op7_pigeonhole_decontamination, op8_hashed_ftrl_quality, op9_ngram_jaccard_join, op10_byte_bpe, op11_pivot_permutation,
+        op6_depth_limited_suffixes, op7_pigeonhole_decontamination, op8_hashed_ftrl_quality, op9_ngram_jaccard_join, op10_byte_bpe, op11_pivot_permutation, op12_lightest_repair,
     )
 }
 
