@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biotope.llm import bpe, language_kernel, quality_classifier, toxicity_crf
+from biotope.llm.blocked_search import ranked_search
 from biotope.llm.conversation_repair import damage, repair_summary
 from biotope.llm.decontaminate import benchmark_matches
 from biotope.llm.jaccard_join import jaccard_components
@@ -133,12 +134,39 @@ def op12_lightest_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair_summary(conversations, damage(conversations))
 
 
+def op13_blocked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+ORACLE_13 = """
+with
+q as (
+  select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark)
+  group by item_id, term),
+d as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+  from documents),
+lengths as (select doc_id, len(terms) as n from d where len(terms) > 0),
+corpus as (select count(*) as docs, cast(sum(n) as bigint) as length from lengths),
+held as (select doc_id, term, count(*) as tf from (select doc_id, unnest(terms) as term from d) where term in (select term from q) group by doc_id, term),
+weights as (
+  select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from held, corpus group by term),
+scored as (
+  select q.item_id, h.doc_id, cast(sum(q.times * w.w * ((1000000000 * h.tf) // (1000 * h.tf + 12 * (75 + (25 * l.n * c.docs) // c.length)))) as bigint) as score
+  from q join held h on h.term = q.term join weights w on w.term = q.term join lengths l on l.doc_id = h.doc_id, corpus c
+  group by q.item_id, h.doc_id),
+ranked as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 20
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_distribution_divergence, op2_string_kernel_language, op3_toxicity_crf, op4_line_dedup, op5_jump_sharding,
         op6_depth_limited_suffixes, op7_pigeonhole_decontamination, op8_hashed_ftrl_quality, op9_ngram_jaccard_join, op10_byte_bpe, op11_pivot_permutation, op12_lightest_repair,
+        op13_blocked_search,
     )
 }
 
-ORACLES: dict[str, str] = {"op4_line_dedup": ORACLE_4, "op9_ngram_jaccard_join": ORACLE_9}
+ORACLES: dict[str, str] = {"op4_line_dedup": ORACLE_4, "op9_ngram_jaccard_join": ORACLE_9, "op13_blocked_search": ORACLE_13}
