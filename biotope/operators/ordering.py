@@ -282,3 +282,32 @@ def percentile_scores(
         F.bround(100.0 * F.col("at_or_below") / F.col("reference_n"), 0).cast("int").alias(name),
     )
     return rows.join(scored, [*groups, value], "left")
+
+
+def target_history(rows: DataFrame, category: str, target: str, time: str) -> DataFrame:
+    """(category, history): per category the running number and sum of targets up to each time it has, in time order.
+
+    Rows meet by (category, time) in a partial aggregate, so a category with most rows is no task of its own; a
+    history is as long as the calendar. The row of category NULL runs over all rows; rows without a time or target are left out.
+    """
+    known = rows.where(F.col(time).isNotNull() & F.col(target).isNotNull())
+    cells = known.groupBy(category, time).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("double")).alias("total"))
+    both = cells.where(F.col(category).isNotNull()).unionByName(cells.groupBy(time).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumn(category, F.lit(None).cast(cells.schema[category].dataType)))
+    w = Window.partitionBy(category).orderBy(time)
+    running = both.select(category, F.struct(F.col(time).alias("at"), F.sum("n").over(w).alias("n"), F.sum("total").over(w).alias("total")).alias("step"))
+    return running.groupBy(category).agg(F.array_sort(F.collect_list("step")).alias("history"))
+
+
+def earlier_mean(rows: DataFrame, history: DataFrame, category: str, time: str, name: str, prior_rows: float = 10.0) -> DataFrame:
+    """Mean target of the category's rows at earlier times, drawn towards that of all earlier rows as by ``prior_rows`` rows.
+
+    A row never sees its own time or a later one. NULL where no row is earlier or the time is unknown.
+    """
+    everyone = history.where(F.col(category).isNull()).select(F.first("history")).scalar()
+    own = history.where(F.col(category).isNotNull()).select(F.col(category).alias("__key"), F.col("history").alias("__own"))
+    found = rows.join(own, rows[category] == own["__key"], "left").withColumn("__all", everyone)
+    before = lambda c: F.try_element_at(F.filter(c, lambda s: s["at"] < F.col(time)), F.lit(-1))
+    last = found.withColumn("__own", before("__own")).withColumn("__all", before("__all"))
+    prior = F.col("__all.total") / F.col("__all.n")
+    mean = (F.coalesce("__own.total", F.lit(0.0)) + prior_rows * prior) / (F.coalesce("__own.n", F.lit(0)) + prior_rows)
+    return last.withColumn(name, mean).drop("__key", "__own", "__all")

@@ -1,27 +1,23 @@
-"""Boosted-tree training, scoring, importance, ablation and frozen holdout with Spark ML."""
+"""Boosted-tree training, scoring, importance, ablation and frozen holdout."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass, field, replace
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from biotope.functions.rules import REPORT_FAMILY_RULES, first_rule
 from biotope.functions.text import fill_category
-from biotope.operators.metrics import THRESHOLD
-from biotope.operators.splits import expanding_folds
+from biotope.operators.metrics import THRESHOLD, regression_metrics, spearman
+from biotope.operators.ordering import earlier_mean, target_history
+from biotope.plans.boosting import Fit, Learner, facts_of, fit_family, gains, in_blocks, row_scores, validation_scores
+from biotope.session import materialize
 
 SMALLEST_ITERATIONS = 25
-LEAST_BINS = 256
-PARALLEL_FITS = 4
+#: Split roles as periods of a fit.
+ROLES = {"train": 0, "validation": 1, "test": 2}
 
 
 @dataclass(frozen=True)
@@ -31,6 +27,8 @@ class TreeSpec:
     target: str
     numeric: tuple[str, ...]
     categorical: tuple[str, ...] = ()
+    #: Orders the rows where there are categories, which take part by the mean target of their earlier rows.
+    time: str | None = None
     binary: bool = True
     balanced: bool = False
     weight: str | None = None
@@ -39,142 +37,85 @@ class TreeSpec:
     patience: int = 40
     depth: int = 6
     learning_rate: float = 0.1
-    seed: int = 42
     ids: tuple[str, ...] = field(default=())
 
+    @property
+    def learner(self) -> Learner:
+        return Learner(self.binary, self.depth, self.learning_rate, rounds=self.iterations, patience=self.patience)
 
-def featured(df: DataFrame, spec: TreeSpec) -> DataFrame:
-    """Typed features and a missing indicator per numeric column."""
-    return df.select(
-        "*",
-        *[F.col(c).cast("double").alias(f"{c}__value") for c in spec.numeric],
-        *[F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in spec.numeric],
-        *[fill_category(F.col(c).cast("string")).alias(f"{c}__category") for c in spec.categorical],
-        F.col(spec.target).cast("double").alias("label"),
-    )
+    @property
+    def features(self) -> tuple[str, ...]:
+        return (*self.numeric, *[f"{c}__earlier" for c in self.categorical])
+
+
+@dataclass(frozen=True)
+class Model:
+    """One fit, with what its features are made from."""
+
+    spec: TreeSpec
+    fit: Fit
+    row: Row
+    cuts: list
+    histories: dict[str, DataFrame]
+
+    @property
+    def iterations(self) -> int:
+        return self.row["iterations"]
 
 
 def weighted(rows: DataFrame, spec: TreeSpec) -> DataFrame:
-    """Featured rows with their weight in the fit."""
-    w = F.col(spec.weight) if spec.weight else F.lit(1.0)
+    """Rows with their weight in the fit."""
+    w = F.col(spec.weight).cast("double") if spec.weight else F.lit(1.0)
     if not (spec.binary and spec.balanced):
         return rows.withColumn("row_weight", w)
     # classes weighted inversely to their share of the training rows
     train = rows.where("split = 'train'") if "split" in rows.columns else rows
-    shares = train.groupBy("label").agg(F.count(F.lit(1)).alias("class_n"))
-    total = train.agg(F.count(F.lit(1))).scalar()
-    classes = shares.select("label", (total / (2.0 * F.col("class_n"))).alias("class_weight"))
-    return rows.join(classes, "label", "left").withColumn(
-        "row_weight", w * F.coalesce("class_weight", F.lit(1.0))
-    )
-
-
-def extents(rows: DataFrame, spec: TreeSpec) -> tuple[list[str], int]:
-    """Numeric columns that have a value at all, and the largest number of categories."""
-    counted = rows.agg(
-        *[F.count(f"{c}__value").alias(f"n_{c}") for c in spec.numeric],
-        *[F.count_distinct(f"{c}__category").alias(f"k_{c}") for c in spec.categorical],
-    ).head()
-    return [c for c in spec.numeric if counted[f"n_{c}"]], max([0, *[counted[f"k_{c}"] for c in spec.categorical]])
-
-
-def stages(spec: TreeSpec, known: Sequence[str], categories_most: int) -> list:
-    """A numeric column without any value in the fit takes part by its missing indicator alone."""
-    values = [f"{c}__value" for c in known]
-    filled = [f"{c}__filled" for c in known]
-    categories = [f"{c}__category" for c in spec.categorical]
-    indexed = [f"{c}__index" for c in spec.categorical]
-    steps: list = []
-    if values:
-        steps.append(Imputer(inputCols=values, outputCols=filled, strategy="median"))
-    if categories:
-        steps.append(StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid="keep"))
-    inputs = [*filled, *[f"{c}__missing" for c in spec.numeric], *indexed]
-    steps.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
-    learner = GBTClassifier if spec.binary else GBTRegressor
-    trees = learner(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="row_weight",
-        maxIter=spec.iterations,
-        maxDepth=spec.depth,
-        stepSize=spec.learning_rate,
-        maxBins=max(LEAST_BINS, categories_most + 1),  # categories kept for unseen values included
-        seed=spec.seed,
-    )
-    return [*steps, trees]
-
-
-def stop_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
-    """(rounds up to the least error, whether ``patience`` further rounds without a smaller one have followed)."""
-    best = 0
-    for k, error in enumerate(errors):
-        if error < errors[best]:
-            best = k
-        if k - best >= patience:
-            return best + 1, True
-    return best + 1, False
+    shares = train.where(F.col(spec.target).isNotNull()).groupBy(spec.target).agg(F.count(F.lit(1)).alias("class_n"))
+    total = train.agg(F.count(spec.target)).scalar()
+    classes = shares.select(spec.target, (total / (2.0 * F.col("class_n"))).alias("class_weight"))
+    return rows.join(classes, spec.target, "left").withColumn("row_weight", w * F.coalesce("class_weight", F.lit(1.0)))
 
 
-def first_trees(model, n: int):
-    """The boosted model cut after its first ``n`` trees."""
-    java, jvm = model._java_obj, SparkSession.active().sparkContext._jvm
-    parts = [java.uid(), java.trees()[:n], java.treeWeights()[:n], java.numFeatures()]
-    if isinstance(model, GBTClassificationModel):
-        cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(*parts, java.numClasses())
-    else:
-        cut = jvm.org.apache.spark.ml.regression.GBTRegressionModel(*parts)
-    return model._copyValues(type(model)(cut))
+def with_features(df: DataFrame, spec: TreeSpec, histories: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows with the mean target of each category's earlier training rows."""
+    for c in spec.categorical:
+        named = df.withColumn("__category", fill_category(F.col(c).cast("string")))
+        df = earlier_mean(named, histories[c], "__category", spec.time, f"{c}__earlier").drop("__category")
+    return df
 
 
-def boosted(learner, rows: DataFrame, held: DataFrame, spec: TreeSpec):
-    """Model up to the round of the least error on ``held``, looked for until ``patience`` rounds bring none smaller.
-
-    Spark's own early stop ends at the first round that gains less than a hundredth. A longer fit with the
-    same seed begins with the trees of a shorter one, so the rounds are raised until the stop lies within.
-    """
-    rounds = min(spec.iterations, spec.patience + SMALLEST_ITERATIONS)
-    while True:
-        model = learner.setMaxIter(rounds).fit(rows)
-        errors = model.evaluateEachIteration(held) if spec.binary else model.evaluateEachIteration(held, "squared")
-        best, stopped = stop_round(errors, spec.patience)
-        if stopped or rounds == spec.iterations:
-            return first_trees(model, best)
-        rounds = min(spec.iterations, 2 * rounds)
-
-
-def train(df: DataFrame, spec: TreeSpec) -> PipelineModel:
+def train(df: DataFrame, spec: TreeSpec) -> Model:
     """Fit on the train rows, stopping early on the validation rows where there are any.
 
-    ``df`` is read once per boosting round; hand in a materialized table.
+    ``df`` is read several times; hand in a materialized table. Rows without a target are left out.
     """
-    rows = weighted(featured(df, spec), spec).where(F.col("label").isNotNull())
-    with_validation = "split" in df.columns
-    if with_validation:
-        rows = rows.where("split in ('train', 'validation')").withColumn(
-            "is_validation", F.col("split") == "validation"
-        )
-    fitted = rows.where("not is_validation") if with_validation else rows
-    *steps, learner = stages(spec, *extents(fitted, spec))
-    prepared = Pipeline(stages=steps).fit(rows)
-    ready = prepared.transform(rows)
-    if with_validation and not rows.where("is_validation").isEmpty():
-        model = boosted(learner, ready.where("not is_validation"), ready.where("is_validation"), spec)
-    else:
-        model = learner.fit(ready.where("not is_validation") if with_validation else ready)
-    return PipelineModel([*prepared.stages, model])
-
-
-def score(model: PipelineModel, df: DataFrame, spec: TreeSpec) -> DataFrame:
-    scored = model.transform(featured(df, spec))
-    if spec.binary:
-        value = vector_to_array("probability")[1]
-    else:
-        value = F.col("prediction")
-    return scored.select(*df.columns, value.alias("score"))
-
-
-def holdout_predictions(model: PipelineModel, df: DataFrame, spec: TreeSpec) -> DataFrame:
+    if spec.categorical and not spec.time:
+        raise ValueError("categories need a time column, as a row may only see targets of earlier rows")
+    roles = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    role = F.try_element_at(roles, F.col("split")) if "split" in df.columns else F.lit(0)
+    learning = df.where(F.col(spec.target).isNotNull() & (role == 0))
+    histories = {
+        c: materialize(target_history(learning.withColumn("__category", fill_category(F.col(c).cast("string"))), "__category", spec.target, spec.time), "history")
+        for c in spec.categorical
+    }
+    rows = weighted(with_features(df, spec, histories), spec).where(F.col(spec.target).isNotNull())
+    rows = materialize(rows.select(*spec.features, spec.target, "row_weight", role.alias("role"), F.monotonically_increasing_id().alias("row")), "fit_rows")
+    panel = in_blocks(rows, spec.features, [spec.target], "role", F.col("role") == 0, "row_weight")
+    fit = Fit("model", 0, tuple(range(len(spec.features))), train_before=1, valid=1)
+    if not facts_of(panel, [fit], "role", "row_weight", spec.binary)["model"].held:
+        fit = replace(fit, valid=None)
+    model = fit_family(panel, [fit], spec.learner, "role", "row_weight").first()
+    if model["iterations"] is None:
+        raise ValueError("no rows to train on")
+    return Model(spec, fit, model, panel.cuts, histories)
+
+
+def score(model: Model, df: DataFrame, spec: TreeSpec) -> DataFrame:
+    ready = with_features(df, spec, model.histories)
+    return row_scores(ready, spec.features, model.cuts, model.fit, model.row, spec.learner).select(*df.columns, "score")
+
+
+def holdout_predictions(model: Model, df: DataFrame, spec: TreeSpec) -> DataFrame:
     """Validation and test rows with ids, target, score and label at the threshold."""
     rows = score(model, df.where("split in ('validation', 'test')"), spec)
     return rows.select(
@@ -186,12 +127,9 @@ def holdout_predictions(model: PipelineModel, df: DataFrame, spec: TreeSpec) ->
     )
 
 
-def importances(spark: SparkSession, model: PipelineModel, spec: TreeSpec) -> DataFrame:
-    """Ranked importance per feature (value and missing indicator together) with its family."""
-    names = [c.rsplit("__", 1)[0] for c in model.stages[-2].getInputCols()]
-    weights: dict[str, float] = {}
-    for name, value in zip(names, model.stages[-1].featureImportances.toArray()):
-        weights[name] = weights.get(name, 0.0) + float(value)
+def importances(spark: SparkSession, model: Model, spec: TreeSpec) -> DataFrame:
+    """Ranked share of each feature in the gain of all splits, with its family."""
+    weights = gains(model.row, [f.removesuffix("__earlier") for f in spec.features], model.fit, spec.depth)
     ranked = sorted(weights.items(), key=lambda item: (-item[1], item[0]))
     table = spark.createDataFrame(
         [(i + 1, name, value) for i, (name, value) in enumerate(ranked)],
@@ -205,32 +143,26 @@ def ablation_variants(core: Mapping[str, Sequence[str]], local: Mapping[str, Seq
     def columns(groups: Mapping[str, Sequence[str]], leave_out: str | None = None) -> list[str]:
         return [*control, *[c for name, members in groups.items() if name != leave_out for c in members]]
 
-    variants = [{"variant": "reference", "comparison": "reference", "group": None, "columns": columns(core)}]
+    every = [c for members in core.values() for c in members]
+    variants = [{"variant": "reference", "comparison": "reference", "group": None, "columns": columns(core), "covers": every}]
     for name, members in local.items():
         variants.append(
-            {"variant": f"add_{name}", "comparison": "add", "group": name, "columns": [*columns(core), *members]}
+            {"variant": f"add_{name}", "comparison": "add", "group": name, "columns": [*columns(core), *members], "covers": members}
         )
-    for name in core:
+    for name, members in core.items():
         variants.append(
-            {"variant": f"remove_{name}", "comparison": "remove", "group": name, "columns": columns(core, name)}
+            {"variant": f"remove_{name}", "comparison": "remove", "group": name, "columns": columns(core, name), "covers": members}
         )
     return variants
 
 
-def fold_result(panel: DataFrame, spec: TreeSpec, year: str, fold: int) -> tuple:
-    """(train rows, validation rows, best iteration, RMSE, MAE) of one fit that stops early on its fold.
-
-    A fold without train or validation rows has NULL figures.
-    """
-    role = F.when(F.col("fold_role") == "train", "train").otherwise("validation")
-    part = expanding_folds(panel, year, [fold]).withColumn("split", role)
-    n = part.agg(F.count_if(role == "train").alias("train"), F.count_if(role == "validation").alias("held")).head()
-    if not n.train or not n.held:
-        return n.train, n.held, None, None, None
-    model = train(part, spec)
-    error = F.col("score") - F.col(spec.target)
-    figures = score(model, part.where("split = 'validation'"), spec).agg(F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae")).head()
-    return n.train, n.held, best_iteration(model), figures.rmse, figures.mae
+def fold_coverage(panel: DataFrame, targets: Sequence[str], year: str, folds: Sequence[int], groups: Sequence[Sequence[str]]) -> DataFrame:
+    """(target, fold_year, covered): per fold year the percentage of rows with the target that have any column of each group."""
+    any_of = lambda group: F.greatest(F.lit(0), *[F.col(c).isNotNull().cast("int") for c in group]) if group else F.lit(0)
+    share = lambda t, g: F.round(F.coalesce(F.avg(F.when(F.col(t).isNotNull(), any_of(g) * 100.0)), F.lit(0.0)), 4)
+    rows = panel.where(F.col(year).isin(list(folds))).groupBy(F.col(year).cast("int").alias("fold_year"))
+    wide = rows.agg(*[F.array(*[share(t, g) for g in groups]).alias(t) for t in targets])
+    return wide.unpivot(["fold_year"], list(targets), "target", "covered")
 
 
 def grouped_ablation(
@@ -243,24 +175,43 @@ def grouped_ablation(
     spec: TreeSpec,
     control: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows, best iteration, RMSE and MAE of every variant, target and fold; each fit is a distributed Spark ML job."""
-    from dataclasses import replace
-
-    tasks = [(v, t, f) for v in ablation_variants(core, local, control) for t in targets for f in folds]
-
-    def run(task) -> tuple:
-        variant, target, fold = task
-        chosen = replace(spec, target=target, numeric=tuple(variant["columns"]))
-        figures = fold_result(panel.where(F.col(target).isNotNull()), chosen, year, fold)
-        return target, variant["variant"], variant["comparison"], variant["group"], fold, len(variant["columns"]), *figures
-
-    with ThreadPool(PARALLEL_FITS) as pool:
-        rows = pool.map(run, tasks)
-    return panel.sparkSession.createDataFrame(
-        rows,
-        "target string, variant string, comparison string, group_name string, fold_year int, "
-        "feature_count int, train_rows long, validation_rows long, best_iteration int, rmse double, mae double",
+    """Rows, best iteration, RMSE, MAE, Spearman and coverage of every variant, target and fold.
+
+    All fits grow as one family over one written panel. A fold without train or validation rows has NULL figures.
+    """
+    variants = ablation_variants(core, local, control)
+    columns = list(dict.fromkeys(c for v in variants for c in v["columns"]))
+    rows = materialize(panel.select(*columns, *targets, year, F.monotonically_increasing_id().alias("row")), "ablation_rows")
+    blocks = in_blocks(rows, columns, targets, year, F.col(year) < min(folds))
+    fits, named = [], []
+    for k, v in enumerate(variants):
+        for t, target in enumerate(targets):
+            for fold in folds:
+                fits.append(Fit(f"{v['variant']}/{target}/{fold}", t, tuple(columns.index(c) for c in v["columns"]), fold, fold))
+                named.append((fits[-1].name, target, v["variant"], v["comparison"], v["group"], fold, len(v["columns"]), k))
+    models = fit_family(blocks, fits, spec.learner, year)
+    scores = validation_scores(blocks, models, fits, spec.learner)
+    table = panel.sparkSession.createDataFrame(
+        named, "fit string, target string, variant string, comparison string, group_name string, fold_year int, feature_count int, place int"
     )
+    figures = regression_metrics(scores, "truth", "score", ["fit"]).select("fit", "rmse", "mae")
+    ranks = spearman(scores, "truth", "score", ["fit"]).select("fit", "spearman")
+    coverage = fold_coverage(panel, targets, year, folds, [v["covers"] for v in variants])
+    counts = models.select("fit", "train_rows", "validation_rows", F.col("iterations").alias("best_iteration"))
+    joined = table.join(counts, "fit").join(figures, "fit", "left").join(ranks, "fit", "left").join(coverage, ["target", "fold_year"], "left")
+    return joined.select(
+        "target", "variant", "comparison", "group_name", "fold_year", "feature_count", "train_rows", "validation_rows", "best_iteration", "rmse", "mae",
+        "spearman", F.coalesce(F.get("covered", F.col("place")), F.lit(0.0)).alias("group_validation_coverage_pct"),
+    )
+
+
+def best_iterations(panel: DataFrame, spec: TreeSpec, year: str, folds: Sequence[int]) -> list[int]:
+    """Rounds of the fits that stop on each fold year, as one family; folds without rows give none."""
+    rows = materialize(panel.select(*spec.numeric, spec.target, year, F.monotonically_increasing_id().alias("row")), "fold_rows")
+    blocks = in_blocks(rows, spec.numeric, [spec.target], year, F.col(year) < min(folds))
+    fits = [Fit(f"fold/{fold}", 0, tuple(range(len(spec.numeric))), fold, fold) for fold in folds]
+    found = {r[0]: r[1] for r in fit_family(blocks, fits, spec.learner, year).select("fit", "iterations").collect()}  # a row for each fold
+    return [found[f.name] for f in fits if found[f.name]]
 
 
 def frozen_iterations(best_iterations: Sequence[int]) -> int:
@@ -269,17 +220,10 @@ def frozen_iterations(best_iterations: Sequence[int]) -> int:
     return max(SMALLEST_ITERATIONS, mean)
 
 
-def best_iteration(model: PipelineModel) -> int:
-    """Trees up to the least error on the validation rows."""
-    return model.stages[-1].getNumTrees
-
-
 def frozen_holdout(
     panel: DataFrame, spec: TreeSpec, year: str, holdout_year: int, best_iterations: Sequence[int]
 ) -> DataFrame:
     """Train once before the holdout year with the frozen iteration count, score the holdout once."""
-    from dataclasses import replace
-
     frozen = replace(spec, iterations=frozen_iterations(best_iterations))
     model = train(panel.where(F.col(year) < holdout_year).drop("split"), frozen)
     return score(model, panel.where(F.col(year) == holdout_year).drop("split"), frozen).withColumn(

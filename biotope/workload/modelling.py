@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from biotope.operators import metrics, splits, windows
 from biotope.operators.joins import asof_year
+from biotope.operators.ordering import earlier_mean, target_history
 from biotope.plans import ridge, risk, training, trees
 from biotope.session import materialize
 from biotope.workload.aggregating import ANOMALIES, ANOMALY_SQL, anomalies, climate_indices
@@ -583,6 +584,7 @@ SPEC = trees.TreeSpec(
     target="target",
     numeric=MODEL_FEATURES,
     categorical=("region_name",),
+    time="week_start",
     balanced=True,
     ids=("site", "week_start"),
 )
@@ -645,6 +647,28 @@ def training_panel(t: Tables):
     return materialize(labelled.withColumn("split", split).where("target is not null"), "training_panel")
 
 
+@bind(
+    "ordered_target_statistics",
+    """WITH panel AS (SELECT w.site, w.week_start, s.region_name, w.cases_a FROM site_week w LEFT JOIN static_site s ON w.site = s.site),
+    cells AS (SELECT region_name, week_start, count(cases_a) AS n, sum(cases_a) AS total FROM panel WHERE cases_a IS NOT NULL GROUP BY 1, 2),
+    every AS (SELECT week_start, sum(n) AS n, sum(total) AS total FROM cells GROUP BY 1),
+    own AS (SELECT p.site, p.week_start, coalesce(sum(c.n), 0) AS n, coalesce(sum(c.total), 0) AS total
+      FROM panel p LEFT JOIN cells c ON c.region_name = p.region_name AND c.week_start < p.week_start GROUP BY 1, 2),
+    prior AS (SELECT w.week_start, sum(e.total) / sum(e.n) AS mean FROM (SELECT DISTINCT week_start FROM panel) w
+      LEFT JOIN every e ON e.week_start < w.week_start GROUP BY 1)
+    SELECT p.site, p.week_start, p.region_name, (o.total + 10.0 * r.mean) / (o.n + 10.0) AS earlier_cases
+    FROM panel p JOIN own o ON o.site = p.site AND o.week_start = p.week_start JOIN prior r ON r.week_start = p.week_start""",
+    needs="site_week static_site",
+    rounded="earlier_cases",
+)
+def ordered_target_statistics(t):
+    """Mean cases of the region's earlier weeks for each site-week, drawn towards that of all earlier weeks."""
+    panel = t.once("site_week").select("site", "week_start", "cases_a").join(t.static_site.select("site", "region_name"), "site", "left")
+    history = target_history(panel, "region_name", "cases_a", "week_start")
+    found = earlier_mean(panel, history, "region_name", "week_start", "earlier_cases")
+    return found.select("site", "week_start", "region_name", "earlier_cases")
+
+
 @bind("gbt_train_score")
 def gbt_train_score(t):
     """Metrics per split of a balanced classifier with early stop on the validation year."""
@@ -691,6 +715,6 @@ def frozen_holdout(t):
     panel = training_panel(t)
     spec = replace(REGRESSION, numeric=("temp_mean", "rain_sum", "month"))
     rows = panel.where(F.col(spec.target).isNotNull())
-    best = [trees.fold_result(rows, spec, "year", fold)[2] for fold in FROZEN_FOLDS]
-    scored = trees.frozen_holdout(panel, spec, "year", 2001, [b for b in best if b])
+    best = trees.best_iterations(rows, spec, "year", FROZEN_FOLDS)
+    scored = trees.frozen_holdout(panel, spec, "year", 2001, best)
     return scored.select("site", "week_start", "cases_next_4", "score", "iterations")
