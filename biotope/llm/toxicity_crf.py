@@ -25,8 +25,10 @@ from biotope.llm.sampling import class_counts, collected, labelled_sample
 U = np.uint64
 #: log2 of the number of weights, and documents that a feature of the fit is found in at least.
 BITS, LEAST_DOCS = 21, 3
-#: Least log-likelihood ratio (doubled) of a feature that is tied to toxic documents.
-TIED = 24.0
+#: Least log-likelihood ratios (doubled) of a feature that is tied to toxic documents: of the documents that hold it,
+#: and of its occurrences, of which so many must be in toxic documents. A word that clean documents hold once by chance
+#: and toxic ones time and again is tied even where few documents of its language are labelled.
+TIED_DOCS, TIED_WORDS, TIED_SHARE = 10.8, 24.0, 0.7
 #: Most labelled rows in the fit, a third of them toxic where there are as many; the document score weighs
 #: the classes by their true shares.
 SAMPLE_ROWS = 4500
@@ -161,17 +163,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60)
 def _known_features(table: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(slots that enough documents have, whether each is tied to toxic ones); the last view ties nothing."""
     slots, tied = [], []
-    share = min(max(toxic.mean(), 1e-6), 1 - 1e-6)
     log = lambda x: np.log(np.maximum(x, 1e-12))
+    bounded = lambda x: min(max(float(x), 1e-6), 1 - 1e-6)
+    shares = bounded(toxic.mean()), bounded(toxic[doc].mean())
+
+    def ratio(bad: np.ndarray, every: np.ndarray, share: float) -> np.ndarray:
+        return 2 * (bad * log(bad / every / share) + (every - bad) * log((1 - bad / every) / (1 - share)))
+
     for view, row in enumerate(table):
-        pairs = np.unique(doc.astype(U) << U(BITS) | row.astype(U))
+        pairs, times = np.unique(doc.astype(U) << U(BITS) | row.astype(U), return_counts=True)
         slot, owner = (pairs & U((1 << BITS) - 1)).astype(np.int32), (pairs >> U(BITS)).astype(np.int64)
         slot, inverse, every = np.unique(slot, return_inverse=True, return_counts=True)
         bad = np.bincount(inverse, weights=toxic[owner], minlength=len(slot))
-        ratio = 2 * (bad * log(bad / every / share) + (every - bad) * log((1 - bad / every) / (1 - share)))
+        words, bad_words = (np.bincount(inverse, weights=w, minlength=len(slot)) for w in (times, times * toxic[owner]))
         enough = every >= LEAST_DOCS
         slots.append(slot[enough])
-        tied.append(((ratio > TIED) & (bad >= 0.7 * every))[enough] & (view < len(table) - 1))
+        sure = (ratio(bad, every, shares[0]) > TIED_DOCS) & (ratio(bad_words, words, shares[1]) > TIED_WORDS)
+        more = (bad_words >= TIED_SHARE * words) & (bad >= LEAST_DOCS) & (bad > every * shares[0])
+        tied.append((sure & more)[enough] & (view < len(table) - 1))
     slot, first = np.unique(np.concatenate(slots), return_index=True)
     return slot, np.concatenate(tied)[first]
 
