@@ -5,24 +5,29 @@ at least one piece unchanged. All pieces are searched at once with an Aho-Corasi
 of an item that lie on neighbouring diagonals make one window of the text, which is verified with
 Myers' bit-parallel edit distance (the item's positions are the bits of one integer, so an item of any
 length takes one step a character). Text and items are compared in lower case with runs of white space
-as one space.
+as one space. Items too short to bear edits are found by the same automaton, exactly and between word bounds.
+
+Items are dealt into blocks of bounded size by a hash; each block is read, searched for in all texts, and its matches
+written, before the next one is read.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biotope.llm import texts
+from biotope.session import materialize
 
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.05
-#: Shorter items (after normalising) say nothing about where a text is from and are left out.
+#: Shorter items (after normalising) must stand in the text as they are, as whole words.
 MIN_CHARS = 32
-#: Characters of items that one automaton holds; a larger benchmark is searched in so many blocks.
+#: Characters of items that one automaton holds, about; a larger benchmark is searched in so many blocks.
 BLOCK_CHARS = 2_000_000
 
 
@@ -70,11 +75,11 @@ def myers(item: str, window: str, budget: int) -> tuple[int, int] | None:
 class Matcher:
     """Items (id, normalised text) ready to be searched for in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
+    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.items = items
-        self.budgets = [int(len(text) * rate) for _, text in items]
+        self.items, self.min_chars = items, min_chars
+        self.budgets = [int(len(text) * rate) if len(text) >= min_chars else 0 for _, text in items]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text) in enumerate(items):
             for offset, piece in error_pieces(text, self.budgets[k]):
@@ -93,6 +98,10 @@ class Matcher:
                 diagonals[k].add(end + 1 - size - offset)
         for k, found in diagonals.items():
             slack, size = self.budgets[k], len(self.items[k][1])
+            if size < self.min_chars:
+                whole = (d for d in found if text[d - 1 : d] in ("", " ") and text[d + size : d + size + 1] in ("", " "))
+                yield from ((k, d, d + size) for d in sorted(whole)[:1])
+                continue
             low = high = None
             for d in sorted(found):
                 if low is None or d > high + 2 * slack + 1:
@@ -103,8 +112,8 @@ class Matcher:
             yield k, max(0, low - slack), high + size + slack
 
     def matches(self, text: str) -> dict[int, tuple[int, int]]:
-        """item id -> (least distance, end in the normalised text) of the items found."""
-        out: dict[int, tuple[int, int]] = {}
+        """item id -> (least distance, end in the normalised text, item characters) of the items found."""
+        out: dict[int, tuple[int, int, int]] = {}
         for k, start, end in self.windows(text) if len(self.automaton) else ():
             name, item = self.items[k]
             if name in out and out[name][0] == 0:
@@ -113,24 +122,17 @@ class Matcher:
             at = window.find(item)
             found = (0, at + len(item)) if at >= 0 else myers(item, window, self.budgets[k])
             if found and (name not in out or found[0] < out[name][0]):
-                out[name] = (found[0], start + found[1])
+                out[name] = (found[0], start + found[1], len(item))
         return out
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, min_chars: int):
-    """The benchmark's items in blocks of bounded size, read one partition at a time."""
-    block, size = [], 0
-    for row in benchmark.select(item_id, text).where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).toLocalIterator():
-        item = normalized(row[1])
-        if len(item) < min_chars:
-            continue
-        block.append((row[0], item))
-        size += len(item)
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def item_blocks(benchmark: DataFrame, item_id: str, text: str):
+    """The benchmark's items as (id, normalised text), one block of about ``BLOCK_CHARS`` after another; items that share an id share a block."""
+    items = benchmark.select(F.col(item_id).alias("name"), F.col(text).alias("body")).where(F.col("name").isNotNull() & F.col("body").isNotNull())
+    blocks = -(-(items.agg(F.sum(F.char_length("body"))).first()[0] or 0) // BLOCK_CHARS)
+    for block in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).distinct().collect()  # a block of the benchmark
+        yield [(name, item) for name, body in mine if (item := normalized(body))]
 
 
 def benchmark_matches(
@@ -140,9 +142,9 @@ def benchmark_matches(
     """(doc_id, item_id, distance, item_chars, end) for each row of ``docs`` and item that it holds.
 
     distance is the least number of edits, end the place after the passage in the normalised text.
-    Whole texts are searched; null and empty texts hold nothing, null items and items under
-    ``min_chars`` are not searched for. Repeated rows give repeated matches; items that share an id
-    count as one. Extra columns are ignored. Without rows or items the result is empty.
+    Whole texts are searched; null and empty texts hold nothing, null and blank items are nowhere. Items under
+    ``min_chars`` must stand there without an edit, between white space or the text's ends. Repeated rows give repeated
+    matches; of items that share an id the nearest counts. Extra columns are ignored. Without rows or items the result is empty.
     """
     spark = docs.sparkSession
     texts.settings(spark)
@@ -155,15 +157,14 @@ def benchmark_matches(
         items = spark.sparkContext.broadcast(block)
 
         def run(batches):
-            matcher = Matcher(items.value, rate)
-            sizes = {name: len(item) for name, item in items.value}
+            matcher = Matcher(items.value, rate, min_chars)
             for batch in batches:
                 rows, cells = [], []
                 for r, t in enumerate(batch.column(1).to_pylist()):
                     if t:
-                        for name, (distance, end) in matcher.matches(normalized(t)).items():
+                        for name, (distance, end, size) in matcher.matches(normalized(t)).items():
                             rows.append(r)
-                            cells.append((name, distance, sizes[name], end))
+                            cells.append((name, distance, size, end))
                 if rows:
                     name, distance, size, end = zip(*cells, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -173,10 +174,10 @@ def benchmark_matches(
 
         return source.mapInArrow(run, schema)
 
-    found = None
-    for block in item_blocks(benchmark, item_id, item_text, min_chars):
-        found = search(block) if found is None else found.union(search(block))
-    return found if found is not None else spark.createDataFrame([], schema)
+    found = [materialize(search(block), "matches") for block in item_blocks(benchmark, item_id, item_text) if block]
+    if not found:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.union, found)
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
