@@ -82,7 +82,7 @@ def op5_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_depth_limited_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     left = dedup_windows(documents(spark, folder))
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))
 
 
 def op7_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -34,6 +34,8 @@ ANCHOR = 100
 DIGIT = 50
 #: Runs of an anchor that one task gathers; beyond, windows are counted as rows.
 MOST_RUNS = 20_000
+#: Runs that count as hot: more copies than this, and than the rows over HOT_RUNS, so there are HOT_RUNS at most.
+LEAST_COPIES, HOT_RUNS = 2_000, 50_000
 #: Bytes of runs that a task sorts at a time.
 SORT_BYTES = 2_000_000
 #: Bytes of a text scanned at a time.
@@ -177,8 +179,12 @@ def repeated_spans(docs: DataFrame, window: int = 400, anchor: int = ANCHOR, mos
     )
     kinds = rows.groupBy("anchor", "run").agg(F.count("*").alias("times"), F.min(F.struct("text_key", "n_bytes", "start", "windows", "doc_id")).alias("at"))
     shared = kinds.groupBy("anchor").agg(F.count("*").alias("runs"), F.min("times").alias("least")).where("runs > 1 and least = 1")
-    settled = kinds.where("times > 1").select("anchor", "run")
-    whole = rows.join(settled, ["anchor", "run"]).select("text_key", "n_bytes", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + window - 1).alias("hi"))
+    # runs of very many copies, at most HOT_RUNS of them, are sent to the rows; the others meet by their hash
+    limit = max(LEAST_COPIES, rows.count() // HOT_RUNS)
+    settled = kinds.where("times > 1").select("anchor", "run", "times")
+    hot_runs = F.broadcast(settled.where(F.col("times") > limit).drop("times"))
+    few = rows.join(hot_runs, ["anchor", "run"], "left_anti").join(settled.where(F.col("times") <= limit).drop("times"), ["anchor", "run"], "left_semi")
+    whole = rows.join(hot_runs, ["anchor", "run"], "left_semi").union(few).select("text_key", "n_bytes", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + window - 1).alias("hi"))
     open_runs = materialize(
         kinds.join(shared.select("anchor", (F.col("runs") > most_runs).alias("hot")), "anchor").select("anchor", "run", "times", "hot", "at.*"), "open"
     )
