@@ -15,14 +15,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     """(doc_id, text, label) of at most ``limit`` labelled ids, chosen by a hash of the id.
 
     Ids are chosen from the narrow table of labels, so that only the chosen texts move. Null labels
-    and texts are left out; of several labels of an id the largest counts.
+    and texts are left out; of several labels of an id the largest counts, of several texts the one of least hash.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("doc_id")).agg(F.max(label).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
     source = docs.where(F.col(text).isNotNull()).select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    return source.join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows
+    held = source.join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows are sent
+    return held.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "label")
 
 
 def class_counts(labels: DataFrame, label: str) -> dict:

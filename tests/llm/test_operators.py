@@ -11,13 +11,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from biotope.llm import bpe, language_kernel, quality_classifier, toxicity_crf
+from biotope.llm import bpe, decontaminate, language_kernel, quality_classifier, toxicity_crf
 from biotope.llm.components import components
 from biotope.llm.decontaminate import benchmark_matches, myers, normalized, without_matches
 from biotope.llm.jaccard_join import jaccard_classes, jaccard_components
 from biotope.llm.line_dedup import remove_spread_lines
 from biotope.llm.quality_rules import References, Rules, distances, fit_references, judge, keep_good
-from biotope.llm.sampling import fold
+from biotope.llm.sampling import collected, fold, labelled_sample
 from biotope.llm.sharding import jump_shard, shard_documents
 from biotope.llm.suffix_dedup import dedup_windows, merged
 
@@ -182,6 +182,51 @@ def test_error_budget_search(spark, docs, empty):
     assert benchmark_matches(empty, items).count() == 0 and benchmark_matches(df, items.limit(0)).count() == 0
 
 
+def test_rare_language_words_are_tied_by_occurrences():
+    """A beginning that toxic texts use time and again, and half as many clean ones once, marks the toxic ones; one of equal shares does not."""
+    rng = np.random.default_rng(0)
+    fill = [f"w{k}" for k in range(200)]
+    bodies, labels = [], []
+    for k in range(240):
+        words = rng.choice(fill, 40).tolist()
+        if k < 24:
+            words[::6] = [f"bomente{j}" for j in rng.integers(0, 9, 7)]
+        elif k < 48:
+            words[3] = "bomentes"
+        bodies.append(" ".join(words))
+        labels.append(int(k < 24))
+    model = toxicity_crf.fit_texts(bodies, labels)
+    raw = " ".join(["w1", "bomente99", "w2", "bomentexy", "bomente3"]).encode()
+    *_, doc, table = toxicity_crf.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    tag, _ = toxicity_crf.forward_backward(toxicity_crf._emission(table, model.weights, model.bias), doc, model.trans, model.start, False)
+    assert (tag[[1, 3, 4], 1] > 0.5).all() and (tag[[0, 2], 1] < 0.5).all()
+
+
+def test_labelled_sample_takes_one_text_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, None), (3, "c"), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, None), (4, 0), (None, 1)], "doc_id long, y int")
+    texts_, marks = collected(labelled_sample(docs, labels, "y", 10))
+    assert len(texts_) == 2 and marks == [1, 0] and texts_[1] == "d"
+    assert collected(labelled_sample(docs.orderBy(F.rand(1)), labels, "y", 10)) == (texts_, marks)
+
+
+def test_short_items_and_blocks(spark, monkeypatch):
+    """Items of 5 to 31 characters are found as whole words and without edits; blocks of items give what one block gives."""
+    items = [(1, "Five!"), (2, "a  short item"), (3, "thirty-one characters, no more."), (4, ""), (5, None), (6, "x" * 40), (6, "y" * 40), (7, "short"), (8, "item")]
+    docs = [
+        (1, "five! is here"), (2, "not five!s"), (3, "A short\titem"), (4, "a short items"), (5, "so: thirty-one characters, no more."), (6, "thirty-one characters, no mare."),
+        (7, "x" * 39 + "z"), (8, "y" * 40 + " " + "x" * 40), (9, ""), (10, None), (11, "items item"), (12, "shortshort short"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1, 0, 5), (3, 2, 0, 12), (3, 7, 0, 5), (3, 8, 0, 4), (4, 7, 0, 5), (5, 3, 0, 31), (7, 6, 1, 40), (8, 6, 0, 40), (11, 8, 0, 4), (12, 7, 0, 5)}
+    for size in (2_000_000, 30):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", size)
+        found = benchmark_matches(df, asked)
+        assert {(r.doc_id, r.item_id, r.distance, r.item_chars) for r in found.collect()} == want and found.count() == len(want)
+    assert {r.doc_id for r in without_matches(df, asked).collect()} == {2, 6, 9, 10}
+
+
 def test_bit_parallel_distance():
     rng = random.Random(8)
     for _ in range(150):
