@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from math import factorial
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from biotope.session import materialize, ship_package
 
@@ -94,7 +95,10 @@ class Layout:
 
 
 class Tree:
-    """Nodes in heap order: position of the split feature in the fit (-1 for a leaf), last bin on the left, side of missing."""
+    """Nodes in heap order: position of the split feature in the fit (-1 for a leaf), last bin on the left, side of missing.
+
+    ``cover`` is the curvature of the training rows that reach a node, their weight where the loss is the squared error.
+    """
 
     def __init__(self, depth: int):
         inner, every = (1 << depth) - 1, (1 << (depth + 1)) - 1
@@ -103,6 +107,7 @@ class Tree:
         self.missing_left = np.zeros(inner, bool)
         self.gain = np.zeros(inner)
         self.value = np.zeros(every)
+        self.cover = np.zeros(every)
         self.depth = depth
 
     def leaves(self, own: np.ndarray, levels: int | None = None) -> np.ndarray:
@@ -125,10 +130,11 @@ class Tree:
         for k, (feature, bin_, left, gain, gl, hl, gr, hr) in enumerate(found.tolist()):
             node = first + k
             if level == 0:
-                self.value[0] = value(gl + gr, hl + hr)
+                self.value[0], self.cover[0] = value(gl + gr, hl + hr), (hl + hr) * units[1]
             if feature >= 0:
                 self.feature[node], self.bin[node], self.missing_left[node], self.gain[node] = feature, bin_, left, gain
                 self.value[2 * node + 1], self.value[2 * node + 2] = value(gl, hl), value(gr, hr)
+                self.cover[2 * node + 1], self.cover[2 * node + 2] = hl * units[1], hr * units[1]
         return bool((found[:, 0] >= 0).any())
 
 
@@ -234,7 +240,7 @@ class Progress:
         return self.trees[: stop_round(self.errors, learner.patience)[0]] if held and self.errors else self.trees
 
 
-ARRAYS = {"feature": "<i2", "bin": "<i2", "missing_left": "?", "gain": "<f8", "value": "<f8"}
+ARRAYS = {"feature": "<i2", "bin": "<i2", "missing_left": "?", "gain": "<f8", "value": "<f8", "cover": "<f8"}
 MODEL = "fit string, train_rows long, validation_rows long, iterations int, base double, " + ", ".join(f"{a} binary" for a in ARRAYS)
 
 
@@ -568,3 +574,89 @@ def gains(model, features: Sequence[str], fit: Fit, depth: int) -> dict[str, flo
                 total[features[fit.features[f]]] += g
     whole = sum(total.values())
     return {name: g / whole if whole else 0.0 for name, g in total.items()}
+
+
+class Path(NamedTuple):
+    """A leaf as the conditions on the way to it, gathered by feature, and what it adds to each feature.
+
+    ``steps`` holds (place of the feature on the path, feature, last bin on the left, missing left, goes left) of each
+    split. Row ``p`` of ``shares`` is for rows that meet the conditions of the features whose bits are set in ``p``.
+    """
+
+    features: list[int]
+    steps: list[tuple[int, int, int, bool, bool]]
+    shares: np.ndarray
+    expected: float
+
+
+def leaf_paths(tree: Tree) -> list[Path]:
+    """Paths of all leaves, with the Shapley value of each feature where an absent feature's splits are taken by cover.
+
+    A leaf is reached in the share of its cover where a feature is absent, and surely or not at all where it is
+    present. The sum over feature sets of each size comes from the product of (absent + present * t) over the other
+    features of the path, of which there are no more than the tree is deep.
+    """
+    out = []
+
+    def walk(node: int, steps: list):
+        if node < len(tree.feature) and tree.feature[node] >= 0:
+            for child, left in ((2 * node + 1, True), (2 * node + 2, False)):
+                share = tree.cover[child] / tree.cover[node]
+                walk(child, [*steps, (int(tree.feature[node]), int(tree.bin[node]), bool(tree.missing_left[node]), left, share)])
+            return
+        features = list(dict.fromkeys(s[0] for s in steps))
+        m = len(features)
+        absent = np.ones(m)
+        for feature, *_, share in steps:
+            absent[features.index(feature)] *= share
+        present = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+        weights = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
+        shares = np.zeros((1 << m, m))
+        for j in range(m):
+            sizes = np.ones((1 << m, 1))  # coefficients by number of present features
+            for i in range(m):
+                if i != j:
+                    sizes = np.pad(sizes * absent[i], ((0, 0), (0, 1))) + np.pad(sizes * present[:, [i]], ((0, 0), (1, 0)))
+            shares[:, j] = tree.value[node] * (present[:, j] - absent[j]) * (sizes @ weights)
+        out.append(Path(features, [(features.index(f), f, b, ml, left) for f, b, ml, left, _ in steps], shares, float(tree.value[node] * absent.prod())))
+
+    walk(0, [])
+    return out
+
+
+def path_attributions(paths: Sequence[Path], own: np.ndarray) -> np.ndarray:
+    """Features by rows: what each feature adds to each row's score along all paths."""
+    out = np.zeros(own.shape)
+    for path in paths:
+        met = np.ones((len(path.features), own.shape[1]), bool)
+        for place, feature, bin_, missing_left, left in path.steps:
+            goes_left = np.where(own[feature] == MISSING, missing_left, own[feature] <= bin_)
+            met[place] &= goes_left == left
+        pattern = (met << np.arange(len(path.features))[:, None]).sum(axis=0) if path.features else np.zeros(own.shape[1], np.int64)
+        for j, feature in enumerate(path.features):
+            out[feature] += path.shares[pattern, j]
+    return out
+
+
+def row_attributions(df: DataFrame, features: Sequence[str], cuts: Sequence[np.ndarray], fit: Fit, model, learner: Learner) -> DataFrame:
+    """``df`` with ``attributions``, what each feature of the fit adds to the row's raw score, and ``base_value``.
+
+    Their sum is the raw score (log odds of a binary fit). Additive and exact, with the trees' covers as background.
+    """
+    ship_package(df.sparkSession)
+    paths = [p for t in read_trees(model, learner.depth) for p in leaf_paths(t)]
+    base = model["base"] + sum(p.expected for p in paths)
+    sent = df.sparkSession.sparkContext.broadcast(paths)
+    own_cuts = [cuts[f] for f in fit.features]
+    columns = [f"__feature_{k}" for k in range(len(fit.features))]
+    kinds = list(df.schema)
+
+    def run(batches):
+        for batch in batches:
+            own = np.stack([binned(batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64), cut) for c, cut in zip(columns, own_cuts, strict=True)])
+            values = path_attributions(sent.value, own).T
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, len(columns)).astype(np.int32)), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c.name) for c in kinds], lists, pa.array(np.full(batch.num_rows, base))], [*[c.name for c in kinds], "attributions", "base_value"])
+
+    numbers = [F.coalesce(F.col(features[f]).cast("double"), F.lit(float("nan"))).alias(c) for f, c in zip(fit.features, columns, strict=True)]
+    return df.select("*", *numbers).mapInArrow(run, StructType([*kinds, StructField("attributions", ArrayType(DoubleType())), StructField("base_value", DoubleType())]))

@@ -12,7 +12,7 @@ from biotope.functions.rules import REPORT_FAMILY_RULES, first_rule
 from biotope.functions.text import fill_category
 from biotope.operators.metrics import THRESHOLD, regression_metrics, spearman
 from biotope.operators.ordering import earlier_mean, target_history
-from biotope.plans.boosting import Fit, Learner, facts_of, fit_family, gains, in_blocks, row_scores, validation_scores
+from biotope.plans.boosting import Fit, Learner, facts_of, fit_family, gains, in_blocks, row_attributions, row_scores, validation_scores
 from biotope.session import materialize
 
 SMALLEST_ITERATIONS = 25
@@ -115,6 +115,14 @@ def score(model: Model, df: DataFrame, spec: TreeSpec) -> DataFrame:
     return row_scores(ready, spec.features, model.cuts, model.fit, model.row, spec.learner).select(*df.columns, "score")
 
 
+def attributions(model: Model, df: DataFrame, spec: TreeSpec) -> DataFrame:
+    """Rows with a column ``effect_<feature>`` for what each feature adds to the raw score, and ``base_value``."""
+    ready = with_features(df, spec, model.histories)
+    found = row_attributions(ready, spec.features, model.cuts, model.fit, model.row, spec.learner)
+    names = [spec.features[f].removesuffix("__earlier") for f in model.fit.features]
+    return found.select(*df.columns, *[F.get("attributions", F.lit(k)).alias(f"effect_{name}") for k, name in enumerate(names)], "base_value")
+
+
 def holdout_predictions(model: Model, df: DataFrame, spec: TreeSpec) -> DataFrame:
     """Validation and test rows with ids, target, score and label at the threshold."""
     rows = score(model, df.where("split in ('validation', 'test')"), spec)

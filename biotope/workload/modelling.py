@@ -1,7 +1,9 @@
 """Splits, metrics, models and risk publication on the test tables."""
 
-from pyspark.sql import functions as F
+from functools import reduce
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from biotope.operators import metrics, splits, windows
 from biotope.operators.joins import asof_year
@@ -692,6 +694,27 @@ def feature_importance(t):
     return trees.importances(t.spark, trees.train(panel, SPEC), SPEC)
 
 
+@bind("feature_attributions")
+def feature_attributions(t):
+    """What each feature adds to the log odds of the validation and test rows, next to the score they sum to."""
+    panel = training_panel(t)
+    model = trees.train(panel, SPEC)
+    held = panel.where("split in ('validation', 'test')").select(*SPEC.ids, *SPEC.numeric, *SPEC.categorical)
+    effects = [f"effect_{c}" for c in (*SPEC.numeric, *SPEC.categorical)]
+    scored = trees.score(model, trees.attributions(model, held, SPEC), SPEC)
+    return scored.select(*SPEC.ids, *effects, "base_value", "score")
+
+
+@bind("attribution_dependence")
+def attribution_dependence(t):
+    """Median attribution of a feature in bins of its values, for three features of the classifier."""
+    panel = training_panel(t)
+    model = trees.train(panel, SPEC)
+    rows = materialize(trees.attributions(model, panel.select(*SPEC.ids, *SPEC.numeric, *SPEC.categorical), SPEC), "attributions")
+    parts = [metrics.binned_dependence(rows, c, f"effect_{c}").withColumn("feature", F.lit(c)) for c in ("temp_mean", "rain_sum", "population")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 REGRESSION = trees.TreeSpec(target="cases_next_4", numeric=("temp_mean",), binary=False)
 
 

@@ -222,3 +222,48 @@ def test_scores_and_figures_agree(spark):
         wins = sum((p > n) + (p == n) / 2 for p in positives for n in negatives)
         assert figures[split].roc_auc == pytest.approx(wins / len(positives) / len(negatives))
     assert np.isfinite([r.score for r in predicted]).all()
+
+
+def subsets_value(tree, own, row, known, node=0):
+    """Expected value of the tree where only the features in ``known`` are given, by cover."""
+    if node >= len(tree.feature) or tree.feature[node] < 0:
+        return tree.value[node]
+    feature, left, right = tree.feature[node], 2 * node + 1, 2 * node + 2
+    if feature in known:
+        value = own[feature, row]
+        goes_left = tree.missing_left[node] if value == boosting.MISSING else value <= tree.bin[node]
+        return subsets_value(tree, own, row, known, left if goes_left else right)
+    parts = [tree.cover[c] / tree.cover[node] * subsets_value(tree, own, row, known, c) for c in (left, right)]
+    return sum(parts)
+
+
+def test_attributions_are_shapley_values(spark):
+    """Against all feature subsets on small trees; attributions and base value add up to the raw score on every row."""
+    df, _ = small_panel(spark)
+    panel = in_blocks(df, ["a", "b", "c"], ["y"], "year")
+    learner = Learner(depth=4, rounds=8)
+    fit = Fit("f", 0, (0, 1, 2), 2003)
+    model = fit_family(panel, [fit], learner, "year").first()
+    block = boosting.read_block(panel.blocks.first().asDict())
+    own = block["bins"]
+    for tree in read_trees(model, 4)[:3]:
+        found = boosting.path_attributions(boosting.leaf_paths(tree), own)
+        for row in range(0, own.shape[1], 11):
+            for j in range(3):
+                want = 0.0
+                others = [f for f in range(3) if f != j]
+                for mask in range(4):
+                    known = {f for k, f in enumerate(others) if mask >> k & 1}
+                    weight = math.factorial(len(known)) * math.factorial(2 - len(known)) / 6
+                    want += weight * (subsets_value(tree, own, row, known | {j}) - subsets_value(tree, own, row, known))
+                assert found[j, row] == pytest.approx(want, abs=1e-9)
+    explained = boosting.row_attributions(df, ["a", "b", "c"], panel.cuts, fit, model, learner)
+    both = boosting.row_scores(explained, ["a", "b", "c"], panel.cuts, fit, model, learner).collect()
+    assert all(sum(r.attributions) + r.base_value == pytest.approx(r.score) for r in both)
+
+
+def test_attribution_queries_add_up(spark):
+    rows = bindings()["feature_attributions"].run(spark, FOLDER).collect()
+    for r in rows:
+        raw = r.base_value + sum(v for k, v in r.asDict().items() if k.startswith("effect_"))
+        assert 1 / (1 + math.exp(-raw)) == pytest.approx(r.score)
