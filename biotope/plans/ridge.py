@@ -1,7 +1,7 @@
 """Ridge regression from distributed sums, penalty selection and recursive projection.
 
-Training reads the data twice (means, then centred products) whatever its size;
-what leaves the aggregate is one k x k matrix per fold, solved with numpy.
+Training reads the data once, or twice with weights (means, then centred products), whatever its size and number of
+folds; what leaves the aggregate is one k x k matrix per year, merged into one per fold and solved with numpy.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biotope.functions.rules import nonnegative
-from biotope.operators.splits import expanding_folds
 from biotope.session import materialize
 
 SMALLEST_SCALE = 1e-12
@@ -93,6 +92,52 @@ def gram_sums(
     )
 
 
+def moments(df: DataFrame, features: Sequence[str], target: str, groups: Sequence[str]) -> DataFrame:
+    """As ``gram_sums`` without weights for complete rows, in one pass: Spark merges covariances as central moments."""
+    columns = [F.col(c).cast("double") for c in (*features, target)]
+    n, size = F.count(F.lit(1)), len(columns)
+    sums = df.groupBy(*groups).agg(
+        n.alias("rows"),
+        n.cast("double").alias("weight_sum"),
+        F.array(*[F.avg(c) for c in columns]).alias("means"),
+        *[(F.covar_pop(columns[i], columns[j]) * n).alias(f"p_{i}_{j}") for i in range(size) for j in range(i, size)],
+    )
+    products = F.array(*[F.col(f"p_{min(i, j)}_{max(i, j)}") for i in range(size) for j in range(size)])
+    return sums.select(*groups, "rows", "weight_sum", "means", products.alias("products"))
+
+
+def fold_sums(
+    df: DataFrame, features: Sequence[str], target: str, year: str, fold_years: Sequence[int], weight: str | None = None
+) -> DataFrame:
+    """Sums of the rows before each fold year, from sums by year.
+
+    The rows are summed once, whatever the number of folds; a fold is the merger of its years, of which there
+    are as many as the calendar has: means by weight, products by those within and between the years. A fold
+    before which there are no rows is left out.
+    """
+    size = len(features) + 1
+    known = df.where(F.col(year).isNotNull())
+    by_year = gram_sums(known, features, target, weight, [year]) if weight else moments(known, features, target, [year])
+    later = F.filter(F.array(*[F.lit(y) for y in fold_years]), lambda f: f > F.col(year))
+    years = materialize(by_year, "year_sums").withColumn("fold_year", F.explode(later))
+    w = F.col("weight_sum")
+    whole = years.groupBy("fold_year").agg(
+        F.sum("rows").alias("all_rows"), F.sum(w).alias("all_weight"), F.array(*[F.sum(w * F.col("means")[i]) / F.sum(w) for i in range(size)]).alias("middle")
+    )
+
+    def away(i: int) -> Column:
+        return F.col("means")[i] - F.col("middle")[i]
+
+    merged = years.join(whole, "fold_year").groupBy("fold_year").agg(
+        F.first("all_rows").alias("rows"),
+        F.first("all_weight").alias("weight_sum"),
+        F.first("middle").alias("means"),
+        *[F.sum(F.col("products")[i * size + j] + w * away(i) * away(j)).alias(f"p_{i}_{j}") for i in range(size) for j in range(i, size)],
+    )
+    products = F.array(*[F.col(f"p_{min(i, j)}_{max(i, j)}") for i in range(size) for j in range(size)])
+    return merged.select("fold_year", "rows", "weight_sum", "means", products.alias("products"))
+
+
 def solve(weight_sum: float, means: Sequence[float], products: Sequence[float], alpha: float) -> tuple[float, np.ndarray]:
     """Intercept and raw-scale coefficients from the sums of one group."""
     k = len(means) - 1
@@ -140,15 +185,13 @@ def alpha_scores(
     With a ``baseline`` the target is the residual from it, and the error is that of baseline plus
     predicted residual, clipped at 0.
 
-    All folds and penalties run as one job: sums per fold, one small solve per
-    (fold, penalty), and the validation rows scored against that coefficient table.
+    Sums by year give those of each fold, one small solve each (fold, penalty), and the validation
+    rows are scored against that coefficient table; no row is copied into a fold.
     """
     extra = [c for c in (weight, baseline) if c]
     rows = materialize(df.select(year, *features, target, *extra), "alpha_rows")
-    folds = expanding_folds(rows, year, fold_years)
-    sums = gram_sums(folds.where("fold_role = 'train'"), features, target, weight, ["fold_year"])
-    models = solve_folds(sums, alphas, "fold_year int")
-    held_out = folds.where("fold_role = 'validate'").join(models, "fold_year")
+    models = solve_folds(fold_sums(rows, features, target, year, fold_years, weight), alphas, "fold_year int")
+    held_out = rows.where(F.col(year).isin(list(fold_years))).withColumn("fold_year", F.col(year).cast("int")).join(models, "fold_year")
     total = F.col("intercept")
     for i, name in enumerate(features):
         total = total + F.col("coefficients")[i] * F.col(name)
