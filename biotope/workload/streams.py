@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from biotope.functions.weather import grid_key
 from biotope.session import shared_folder
-from biotope.streaming import hourly
+from biotope.streaming import hourly, late
 from biotope.workload.aggregating import CELL_DAY_SQL, FLOAT_DAILY
 from biotope.workload.registry import bind
 from biotope.workload.relations import CELLS, cents
@@ -89,3 +89,27 @@ def stream_dedupe_keys(t):
     kept = hourly.dedupe(twice, "event_id", "time")
     kept = kept.select("event_id", "user_id", "event_type", "value")
     return hourly.run_to_table(kept, shared_folder(t.spark, "stream_events"))
+
+
+def hours_in_parts(t, parts: int = 5):
+    """The hourly table delivered in files one after another, each tenth row one file later than its time."""
+    folder = shared_folder(t.spark, "stream_hours")
+    hours = t.once("hourly")
+    first, last = hours.agg(F.min("time").cast("long"), F.max("time").cast("long")).first()
+    own = F.floor((F.col("time").cast("long") - first) * parts / (last - first + 1))
+    part = own + (F.pmod(F.xxhash64("time", "grid_key"), F.lit(10)) == 0).cast("int")
+    for k in range(parts + 1):
+        hours.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(hours.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@bind(
+    "stream_late_corrections",
+    f"""SELECT * FROM ({CELL_DAY_SQL}) AS d WHERE day + 1 <= (SELECT max(time) - INTERVAL 6 HOUR FROM hourly)""",
+    needs="hourly",
+    rounded=FLOAT_DAILY,
+)
+def stream_late_corrections(t):
+    """Days of a feed with late rows, corrected, equal those of the whole table."""
+    days, _ = late.run_with_corrections(hours_in_parts(t), shared_folder(t.spark, "stream_late"))
+    return days

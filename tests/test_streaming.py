@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from biotope.operators.rollups import hourly_to_cell_day
 from biotope.session import shared_folder
-from biotope.streaming import hourly
+from biotope.streaming import hourly, late
 from test_golden import hourly_fixture
 
 
@@ -38,3 +38,32 @@ def test_restart_continues_from_the_checkpoint(spark, tmp_path):
     assert run().count() == 10
     events(5, 15).write.mode("append").parquet(source)
     assert run().count() == 15
+
+
+def test_late_rows_are_counted_kept_and_corrected(spark, tmp_path):
+    """Hours in shuffled files, over a restart: days and weeks equal the batch, every late row is in the ledger and the table."""
+    grid, source, path = hourly_fixture(spark), str(tmp_path / "hours"), shared_folder(spark, "test_late")
+    shuffled = grid.withColumn("part", F.pmod(F.xxhash64("time", "grid_key"), F.lit(6)))
+    untimed = grid.limit(2).withColumn("time", F.lit(None).cast(grid.schema["time"].dataType))
+
+    def run():
+        stream = spark.readStream.schema(grid.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        return late.run_with_corrections(stream, path)
+
+    for k in range(6):
+        part = shuffled.where(F.col("part") == k).drop("part")
+        (part.unionByName(untimed) if k == 2 else part).coalesce(1).write.mode("append").parquet(source)
+        if k in (1, 5):
+            days, weeks = run()
+    last = grid.agg((F.max("time") - F.expr("INTERVAL 6 HOURS")).alias("t")).first()[0]
+    batch = hourly_to_cell_day(grid).select(*days.columns).where(F.date_add("day", 1).cast("timestamp") <= F.lit(last))
+    rounded = lambda df: df.select(*[F.round(c, 9).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+    assert rounded(days).exceptAll(rounded(batch)).count() == 0 and days.count() == batch.count() > 0
+    whole = hourly.week_measures(batch, ["grid_key"]).select(*weeks.columns)
+    assert rounded(weeks).exceptAll(rounded(whole)).count() == 0 and weeks.count() == whole.count() > 0
+    kept = late.all_rows(spark, path, grid.schema)
+    counts = late.ledger(spark, path).agg(F.sum("rows"), F.sum("late_rows"), F.sum("untimed_rows")).first()
+    assert kept.count() == grid.count() == counts[0] - 2 and counts[2] == 2
+    assert kept.where("late").count() == counts[1] > 0
+    again, _ = run()
+    assert again.exceptAll(days).count() == 0
