@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from biotope.functions.weather import grid_key
 from biotope.session import shared_folder
 from biotope.streaming import hourly, late
+from biotope.streaming.weekly_lags import weekly_lags
 from biotope.workload.aggregating import CELL_DAY_SQL, FLOAT_DAILY
 from biotope.workload.registry import bind
 from biotope.workload.relations import CELLS, cents
@@ -113,3 +114,32 @@ def stream_late_corrections(t):
     """Days of a feed with late rows, corrected, equal those of the whole table."""
     days, _ = late.run_with_corrections(hours_in_parts(t), shared_folder(t.spark, "stream_late"))
     return days
+
+
+def weeks_in_parts(t, folder: str, parts: range, every: int = 5):
+    """The weekly panel delivered in files; the last week of a file comes with the next one for half of the sites."""
+    weeks = t.once("site_week").select("site", "week_start", "cases_a")
+    first, last = weeks.agg(F.min("week_start"), F.max("week_start")).first()
+    day = lambda c: F.datediff(c, F.lit(first))
+    own = lambda c: F.floor(day(c) * every / ((last - first).days + 1))
+    moved = (own(F.date_add("week_start", 7)) > own("week_start")) & (F.pmod(F.xxhash64("site"), F.lit(2)) == 0)
+    part = F.least(own("week_start") + moved.cast("int"), F.lit(every - 1))
+    for k in parts:
+        weeks.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(weeks.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@bind(
+    "stream_weekly_lags",
+    """SELECT * FROM (SELECT site, week_start, CAST(cases_a AS DOUBLE) AS cases_a, CAST(lag(cases_a, 1) OVER w AS DOUBLE) AS lag_1,
+        CAST(lag(cases_a, 2) OVER w AS DOUBLE) AS lag_2,
+        CASE WHEN count(cases_a) OVER f = 4 THEN CAST(sum(cases_a) OVER f AS DOUBLE) END AS prev_sum, FALSE AS repeated
+      FROM site_week WINDOW w AS (PARTITION BY site ORDER BY week_start),
+        f AS (PARTITION BY site ORDER BY week_start ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) AS s
+    WHERE week_start <= (SELECT max(week_start) - INTERVAL 14 DAY FROM site_week)""",
+    needs="site_week",
+)
+def stream_weekly_lags(t):
+    """Lags and four-week sums of a stream of weeks out of order, for all weeks that the watermark has passed."""
+    stream = weeks_in_parts(t, shared_folder(t.spark, "stream_panel"), range(5))
+    return hourly.run_to_table(weekly_lags(stream), shared_folder(t.spark, "stream_lags"))

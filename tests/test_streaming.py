@@ -1,10 +1,14 @@
 """The streaming jobs give what the batch operators give."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from biotope.operators import windows
 from biotope.operators.rollups import hourly_to_cell_day
 from biotope.session import shared_folder
 from biotope.streaming import hourly, late
+from biotope.streaming.weekly_lags import weekly_lags
 from test_golden import hourly_fixture
 
 
@@ -67,3 +71,32 @@ def test_late_rows_are_counted_kept_and_corrected(spark, tmp_path):
     assert kept.where("late").count() == counts[1] > 0
     again, _ = run()
     assert again.exceptAll(days).count() == 0
+
+
+def test_weekly_lags_go_on_after_a_restart(spark, tmp_path):
+    """Weeks out of order within the lateness equal the batch operators, over two runs; a week behind the watermark and a repeated one change nothing."""
+    weeks = [dt.date(2024, 1, 1) + dt.timedelta(days=7 * k) for k in range(30)]
+    rows = [(site, w, None if (k * site) % 11 == 5 else k * site) for k, w in enumerate(weeks) for site in (1, 2, 3) if (k + site) % 6]
+    schema = "site int, week_start date, cases_a long"
+    source, path = str(tmp_path / "weeks"), shared_folder(spark, "test_lags")
+    swapped = sorted(rows, key=lambda r: (weeks.index(r[1]) // 2, -weeks.index(r[1])))
+    late_row, twice = (1, weeks[3], 999), (2, weeks[20], 888)
+
+    def run(some):
+        for part in some:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+            found = hourly.run_to_table(weekly_lags(stream), path)
+        return found
+
+    run([swapped[:40]])
+    found = run([[*swapped[40:], late_row, twice], [(4, weeks[29], 1)]]).collect()
+    batch = spark.createDataFrame(rows, schema)
+    w = windows.over_panel("site", "week_start")
+    want = windows.with_columns(batch, windows.lags("cases_a", [1, 2], w) | {"prev": windows.prev_full("cases_a", 4, w)})
+    limit = weeks[29] - dt.timedelta(days=14)
+    number = lambda x: None if x is None else float(x)
+    wanted = {(r.site, r.week_start): (number(r.cases_a), number(r.cases_a_lag_1), number(r.cases_a_lag_2), number(r.prev)) for r in want.collect() if r.week_start <= limit}
+    got = {(r.site, r.week_start): (r.cases_a, r.lag_1, r.lag_2, r.prev_sum) for r in found if not r.repeated}
+    assert got == wanted
+    assert [(r.site, r.week_start, r.cases_a, r.lag_1) for r in found if r.repeated] == [(2, weeks[20], 888.0, None)]
