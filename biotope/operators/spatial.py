@@ -1,16 +1,22 @@
 """Points, pixels and grid cells against site polygons, on projected coordinates.
 
-There is no spatial index in Spark, so polygons are listed per square bucket they
-overlap and points look up their own bucket: one equi join that keeps the points'
-row count. A bucket holds the polygons crossing one square, not the points, so a
-crowded square costs no extra shuffle.
+Polygons are covered by cells of a quadtree: a cell is split until few edges touch it, so wide inner parts are a few large
+cells that need no edge test, and a fine outline is many small cells with a bounded number of edges each. A point looks
+up its own cell on each of the levels present. Whether it is inside follows from the known parity of a corner of the
+cell and the edges that cross the way from there, which all touch the cell.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biotope.session import materialize
+
 BOX = ("x_min", "x_max", "y_min", "y_max")
 
 
@@ -51,19 +57,6 @@ def bucket(coordinate: Column, size: float) -> Column:
     return F.floor(coordinate / F.lit(float(size))).cast("int")
 
 
-def inside(px: Column, py: Column, shape: Column) -> Column:
-    """Bounding-box test, then even-odd crossings over all rings (holes cancel out)."""
-    boxed = px.between(shape["x_min"], shape["x_max"]) & py.between(shape["y_min"], shape["y_max"])
-
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > py) != (e["y2"] > py)
-        # a spanning edge is not horizontal, so the divisor is not 0 there
-        at = (e["x2"] - e["x1"]) * (py - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return spans & (px < at)
-
-    return boxed & (F.size(F.filter(shape["edges"], crosses)) % 2 == 1)
-
-
 def over_buckets(shapes: DataFrame, size: float) -> DataFrame:
     """One row per shape and square bucket its box overlaps."""
     columns = shapes.select(
@@ -74,50 +67,134 @@ def over_buckets(shapes: DataFrame, size: float) -> DataFrame:
     )
 
 
-def bucketed_shapes(shapes: DataFrame, site: str, size: float) -> DataFrame:
-    """Per square bucket the shapes whose box overlaps it, ordered by site.
+#: Edges up to which a cell is not split, and levels below the cell that holds the largest shape.
+MOST_EDGES, MOST_LEVELS = 16, 24
+#: A cell's corner of reference lies beyond it by these shares of its size, so that no outline given in round numbers
+#: runs through it or along the way to it.
+BEYOND_X, BEYOND_Y = 0.0137035999, 0.0072973525
+#: Rows of the covering (some hundred bytes each) that are sent to every task; salts of a cell where there are more.
+SENT_CELLS, SALTS = 50_000, 32
+
+
+def _odd_across(edges: Column, y: Column, x_from: Column, x_to: Column) -> Column:
+    """Whether an odd number of edges cross the way from x_from to x_to at height y."""
+
+    def crosses(e: Column) -> Column:
+        # an edge that spans the height is not horizontal, so the divisor is not 0 there
+        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        return ((e["y1"] > y) != (e["y2"] > y)) & ((x_from < at) != (x_to < at))
+
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def _odd_along(edges: Column, x: Column, y_from: Column, y_to: Column) -> Column:
+    """Whether an odd number of edges cross the way from y_from to y_to at x."""
 
-    A shape keeps only the edges a rightward ray from the bucket can cross: those
-    reaching into its height band and not wholly to its left.
+    def crosses(e: Column) -> Column:
+        at = (e["y2"] - e["y1"]) * (x - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)) + e["y1"]
+        return ((e["x1"] > x) != (e["x2"] > x)) & ((y_from < at) != (y_to < at))
+
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def _corner(size: float, cx: str = "cx", cy: str = "cy") -> tuple[Column, Column]:
+    """Corner of reference of the cell (cx, cy): beyond its right side, below its bottom."""
+    return (F.col(cx) + 1 + BEYOND_X) * F.lit(size), (F.col(cy) - BEYOND_Y) * F.lit(size)
+
+
+def _holder(x: Column, y: Column, right: Column, low: Column) -> Callable[[Column], Column]:
+    """Test whether a shape of a cell with this corner of reference holds the point."""
+    return lambda s: s["odd"] != (_odd_along(s["edges"], right, low, y) != _odd_across(s["edges"], y, x, right))
+
+
+def _touching(edges: Column, size: float) -> Column:
+    """Edges that reach into the cell (cx, cy) or the strip up to its corner of reference.
+
+    An edge does not where it ends beyond one side, or all four corners lie on one side of its line.
     """
-    margin = size * 1e-6  # a point on a bucket's rim may round into its neighbour
-    left, low = F.col("bx") * size - margin, F.col("by") * size - margin
-    high = (F.col("by") + 1) * size + margin
-
-    def reachable(e: Column) -> Column:
-        return (
-            (F.least(e["y1"], e["y2"]) <= high)
-            & (F.greatest(e["y1"], e["y2"]) >= low)
-            & (F.greatest(e["x1"], e["x2"]) >= left)
-        )
+    right, low = _corner(size)
+    left, high = F.col("cx") * F.lit(size), (F.col("cy") + 1) * F.lit(size)
 
-    spread = over_buckets(shapes, size).withColumn("edges", F.filter("edges", reachable))
-    shape = F.struct(F.col(site).alias("site"), *BOX, "edges")
-    return spread.groupBy("bx", "by").agg(F.sort_array(F.collect_list(shape)).alias("shapes"))
+    def touches(e: Column) -> Column:
+        near = (F.least(e["x1"], e["x2"]) <= right) & (F.greatest(e["x1"], e["x2"]) >= left) & (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["y1"], e["y2"]) >= low)
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        sides = [dx * (y - e["y1"]) - dy * (x - e["x1"]) for x in (left, right) for y in (low, high)]
+        slack = (F.abs(dx) + F.abs(dy)) * F.lit(size * 1e-9)
+        return near & (F.least(*sides) <= slack) & (F.greatest(*sides) >= -slack)
 
+    return F.filter(edges, touches)
 
-def locate(
-    points: DataFrame, shapes: DataFrame, site: str, x: str, y: str, size: float, name: str = "site"
-) -> DataFrame:
+
+def cover(shapes: DataFrame, site: str, most_edges: int = MOST_EDGES, most_levels: int = MOST_LEVELS) -> tuple[DataFrame, float]:
+    """(level, cx, cy, site, odd, edges) of the cells that cover the shapes, and the size of a cell of level 0.
+
+    ``odd`` tells whether the cell's corner of reference is inside. A cell without edges lies wholly inside. Cells are
+    halved in both directions until at most ``most_edges`` edges touch them; only where more edges meet in one
+    point do cells of the last level keep them all. A level is one pass over the cells still to be split.
+    """
+    known = shapes.where("x_min is not null and y_min is not null")
+    widest = known.agg(F.max(F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")))).first()[0] or 1.0
+    size = whole = 2.0 ** math.ceil(math.log2(max(widest, 1e-9)))
+    cells = over_buckets(known, size).select(F.col(site).alias("site"), F.col("bx").cast("long").alias("cx"), F.col("by").cast("long").alias("cy"), F.col("edges").alias("all_edges"), "x_max")
+    right, low = _corner(size)
+    odd = _odd_across(F.col("all_edges"), low, right, F.greatest(F.col("x_max"), right) + 1.0)
+    cells = cells.select("site", F.lit(0).alias("level"), "cx", "cy", odd.alias("odd"), _touching(F.col("all_edges"), size).alias("edges"))
+    done = []
+    for level in range(most_levels + 1):
+        now = materialize(cells.where("size(edges) > 0 or odd"), "cells")
+        split = F.size("edges") > most_edges if level < most_levels else F.lit(False)
+        done.append(now.where(~split))
+        if now.where(split).isEmpty():
+            break
+        right, low = _corner(size)
+        half = size / 2
+        parent = now.where(split).select("site", "odd", F.col("edges").alias("held"), right.alias("x_from"), low.alias("y_from"), F.explode(F.array(*[
+            F.struct((F.col("cx") * 2 + i).alias("cx"), (F.col("cy") * 2 + j).alias("cy")) for i in (0, 1) for j in (0, 1)
+        ])).alias("child")).select("site", "odd", "held", "x_from", "y_from", "child.*")
+        x, y = _corner(half)
+        moved = F.col("odd") != (_odd_along(F.col("held"), F.col("x_from"), F.col("y_from"), y) != _odd_across(F.col("held"), y, x, F.col("x_from")))
+        cells = parent.select("site", F.lit(level + 1).alias("level"), "cx", "cy", moved.alias("odd"), _touching(F.col("held"), half).alias("edges"))
+        size = half
+    return reduce(DataFrame.union, done), whole
+
+
+def locate(points: DataFrame, shapes: DataFrame, site: str, x: str, y: str, name: str = "site", most_edges: int = MOST_EDGES) -> DataFrame:
     """Site containing each point, the smallest code where sites overlap, NULL outside all.
 
-    ``shapes`` comes from ``with_edges``; a multipolygon is several rows of one site.
+    ``shapes`` comes from ``with_edges``; a multipolygon is several rows of one site. Points keep their rows. A covering
+    of few cells is sent to the points; a larger one meets them by cell and a salt, so a crowded cell is many tasks.
     """
-    listed = bucketed_shapes(shapes, site, size)
-    placed = points.withColumn("bx", bucket(F.col(x), size)).withColumn("by", bucket(F.col(y), size))
-    joined = placed.join(listed, ["bx", "by"], "left")
-    hit = F.get(F.filter("shapes", lambda s: inside(F.col(x), F.col(y), s)), F.lit(0))["site"]
-    return joined.select(*points.columns, hit.alias(name))
+    covering, whole = cover(shapes, site, most_edges)
+    shape = F.struct("site", "odd", "edges")
+    listed = materialize(covering.groupBy("level", "cx", "cy").agg(F.sort_array(F.collect_list(shape)).alias("shapes")), "covering")
+    counts = {r.level: r.n for r in listed.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row for each level
+    joined, hits = points, []
+    for level, n in sorted(counts.items()):
+        size = whole / 2**level
+        mine = listed.where(F.col("level") == level).select(F.col("cx").alias("__cx"), F.col("cy").alias("__cy"), F.col("shapes").alias(f"__shapes_{level}"))
+        cx, cy = F.floor(F.col(x) / F.lit(size)), F.floor(F.col(y) / F.lit(size))
+        if n <= SENT_CELLS:
+            joined = joined.join(F.broadcast(mine), (cx == F.col("__cx")) & (cy == F.col("__cy")), "left")
+        else:
+            salt = F.pmod(F.xxhash64(x, y), F.lit(SALTS))
+            spread = mine.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+            joined = joined.join(spread, (cx == F.col("__cx")) & (cy == F.col("__cy")) & (salt == F.col("__salt")), "left").drop("__salt")
+        holds = _holder(F.col(x), F.col(y), *_corner(size, "__cx", "__cy"))
+        hit = F.get(F.filter(f"__shapes_{level}", holds), F.lit(0))["site"]
+        joined = joined.withColumn(f"__hit_{level}", hit).drop("__cx", "__cy", f"__shapes_{level}")
+        hits.append(F.col(f"__hit_{level}"))
+    found = F.array_min(F.array(*hits)) if hits else F.lit(None).cast(shapes.schema[site].dataType)
+    return joined.select(*points.columns, found.alias(name))
 
 
 def zonal_pixels(
-    pixels: DataFrame, shapes: DataFrame, site: str, x: str, y: str, value: str, nodata: float, size: float
+    pixels: DataFrame, shapes: DataFrame, site: str, x: str, y: str, value: str, nodata: float
 ) -> DataFrame:
     """Pixels with a usable value whose centre lies in a site."""
     usable = pixels.where(
         F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")) & (F.col(value) != nodata)
     )
-    return locate(usable, shapes, site, x, y, size).where("site is not null")
+    return locate(usable, shapes, site, x, y).where("site is not null")
 
 
 def ring_area(ring: Column) -> Column:

@@ -207,7 +207,7 @@ def mode_value(t):
 
 def located_pixels(t):
     shapes = spatial.with_edges(t.polygons, "site", "rings")
-    return spatial.locate(t.pixels, shapes, "site", "x", "y", 0.25).where("site is not null")
+    return spatial.locate(t.pixels, shapes, "site", "x", "y").where("site is not null")
 
 
 def site_areas(t):

@@ -311,7 +311,7 @@ def prediction_truth_join(t):
 )
 def point_in_polygon(t):
     shapes = spatial.with_edges(t.polygons, "site", "rings")
-    return spatial.locate(t.pixels.select("pixel_id", "x", "y"), shapes, "site", "x", "y", 0.25)
+    return spatial.locate(t.pixels.select("pixel_id", "x", "y"), shapes, "site", "x", "y")
 
 
 @bind(
@@ -321,7 +321,7 @@ def point_in_polygon(t):
 )
 def pixel_zonal_join(t):
     shapes = spatial.with_edges(t.polygons, "site", "rings")
-    rows = spatial.zonal_pixels(t.pixels, shapes, "site", "x", "y", "value", 0.0, 0.25)
+    rows = spatial.zonal_pixels(t.pixels, shapes, "site", "x", "y", "value", 0.0)
     return rows.select("pixel_id", "site", "value")
 
 
@@ -454,7 +454,7 @@ def static_dynamic_join(t):
 )
 def boundary_value_join(t):
     shapes = spatial.with_edges(t.polygons, "site", "rings")
-    located = spatial.locate(t.pixels, shapes, "site", "x", "y", 0.25).where("site is not null")
+    located = spatial.locate(t.pixels, shapes, "site", "x", "y").where("site is not null")
     values = located.groupBy("site").agg(F.avg("value").alias("mean_value"))
     outlines = t.polygons.select(
         "site", "part", F.aggregate("rings", F.lit(0), lambda acc, r: acc + F.size(r) - 1).alias("edge_count")

@@ -121,7 +121,7 @@ def test_zonal_statistics(spark):
         [("1", rectangle(400000, 100000, 400030, 100060)), ("2", rectangle(400030, 100000, 400060, 100060))], RINGS
     )
     shapes = spatial.with_edges(sites, "site", "rings")
-    located = spatial.zonal_pixels(pixels, shapes, "site", "x", "y", "value", -9999.0, 50.0)
+    located = spatial.zonal_pixels(pixels, shapes, "site", "x", "y", "value", -9999.0)
     areas = sites.select("site", spatial.polygon_area(F.col("rings")).alias("area"))
     left, right = rollups.zonal_statistics(located, "site", "value", "tile", 900.0, areas).orderBy("site").collect()
     assert (left.pixel_count, left.tiles, left.mean_value, left.std_value) == (2, 1, 200.0, 100.0)

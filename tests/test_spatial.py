@@ -29,8 +29,10 @@ def inside(points, x, y):
     return hit
 
 
-@pytest.mark.parametrize("size", [0.7, 3.0, 40.0])
-def test_locate(spark, size):
+@pytest.mark.parametrize(("most_edges", "sent"), [(1, 50_000), (5, 0), (16, 50_000), (1000, 50_000)])
+def test_locate(spark, monkeypatch, most_edges, sent):
+    """Coverings from very fine to one cell, sent to the points or met by salted cells."""
+    monkeypatch.setattr(spatial, "SENT_CELLS", sent)
     outlines = {str(i): star(3 * i, 2 * i, 4, 23, i) for i in range(4)}
     hole = star(3, 2, 1, 9, 99)
     polygons = spark.createDataFrame(
@@ -39,13 +41,36 @@ def test_locate(spark, size):
     rng = np.random.default_rng(5)
     xy = np.round(rng.uniform(-5, 14, size=(600, 2)), 1)
     points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id int, x double, y double")
-    got = spatial.locate(points, spatial.with_edges(polygons, "site", "rings"), "site", "x", "y", size).collect()
+    got = spatial.locate(points, spatial.with_edges(polygons, "site", "rings"), "site", "x", "y", most_edges=most_edges).collect()
     assert len(got) == 600
     for row in got:
         hits = [s for s, p in outlines.items() if inside(p, row.x, row.y) and not (s == "1" and inside(hole, row.x, row.y))]
         assert row.site == (min(hits) if hits else None)
 
 
+def test_covering_has_few_large_inner_cells_and_short_edge_lists(spark):
+    """A fine outline of 5,000 edges: no cell keeps more edges than allowed, inner cells have none, and they grow with the outline, not the area."""
+    angle = np.linspace(0, 2 * np.pi, 5000, endpoint=False)
+    radius = 40 + np.random.default_rng(7).uniform(-0.02, 0.02, 5000)
+    points = np.column_stack([50.3 + radius * np.cos(angle), 49.1 + radius * np.sin(angle)])
+    outline = np.vstack([points, points[:1]])
+    shapes = spatial.with_edges(spark.createDataFrame([("s", [ring(outline)])], RINGS), "site", "rings")
+    cells, whole = spatial.cover(shapes, "site", 16)
+    rows = cells.collect()
+    assert max(len(r.edges) for r in rows) <= 16
+    assert all(r.odd for r in rows if not r.edges)
+    smallest = whole / 2 ** max(r.level for r in rows)
+    assert len(rows) < (80 / smallest) ** 2 / 5
+    inner = sum((whole / 2**r.level) ** 2 for r in rows if not r.edges)
+    assert 0.9 * spatial_area(outline) < inner < spatial_area(outline)
+
+
+def test_points_without_shapes(spark):
+    shapes = spatial.with_edges(spark.createDataFrame([], RINGS), "site", "rings")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, None, 1.0)], "id int, x double, y double")
+    assert [r.site for r in spatial.locate(points, shapes, "site", "x", "y").collect()] == [None, None]
+
+
 def test_overlay_of_stars_against_fine_grid(spark):
     shape, hole = star(0.3, -0.2, 3, 17, 2), [(-0.4, -0.6), (0.9, -0.5), (0.2, 0.8), (-0.4, -0.6)]
     for outer in (shape, shape[::-1]):
