@@ -13,7 +13,8 @@ none). Two texts link when ``100 * |x & y| >= percent * |x | y|``.
 4. Within an n-gram's group each member is paired with the group's most typical one first, then with a
    few others; what by then lies in one component needs no more pairs. Members outside the group's largest
    component are paired with every member of another one that the filters let through. Each pair is verified
-   once, by intersecting its shared n-grams.
+   once, by intersecting its shared n-grams; pairs tried in one round are left out of the next. Links inside a
+   component that is already known are not looked for: the result is the components.
 
 Hashes: an n-gram is a 64-bit hash of which 48 bits plus the bucket travel; a class is 64 bits and a size.
 """
@@ -41,8 +42,8 @@ HOT_SHARE, HOT_LEAST = 1000, 1000
 SIGNATURE = 8
 #: Further rounds of star pairs, each around another member of a group, before all pairs that are left.
 STAR_ROUNDS = 4
-#: Least number of buckets that n-grams are counted in.
-LEAST_BUCKETS = 128
+#: N-grams are counted in buckets of about so many, of which there are so many at least.
+BUCKET_GRAMS, LEAST_BUCKETS = 1 << 20, 128
 
 U = np.uint64
 BITS = [f"b{k}" for k in range(SIGNATURE)]
@@ -191,11 +192,14 @@ def _shared(hot):
     return run
 
 
-def shared_grams(docs: DataFrame, text: str, n: int, hot_grams: np.ndarray) -> DataFrame:
-    """(set_key, n, items): for each class its n-grams held by other classes too, as ``struct(times, gram)``."""
+def shared_grams(docs: DataFrame, text: str, n: int, hot_grams: np.ndarray, total: int) -> DataFrame:
+    """(set_key, n, items): for each class its n-grams held by other classes too, as ``struct(times, gram)``.
+
+    ``total`` n-grams in all sets decide the number of buckets, so that a task's share does not grow with the input.
+    """
     spark = docs.sparkSession
     # a class has a row per bucket that holds a shared n-gram of it: with many buckets, as many rows as n-grams
-    buckets = min(1 << 15, max(LEAST_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = min(1 << 16, max(LEAST_BUCKETS, total // BUCKET_GRAMS))
     hot = spark.sparkContext.broadcast(hot_grams)
     blobs = docs.select(F.col(text).alias("text")).mapInArrow(
         _blobs(n, buckets, hot), BLOB
@@ -278,7 +282,8 @@ def jaccard_classes(
     ]
     hot_grams = np.sort(np.array(hot, np.int64).view(U))
 
-    shared = shared_grams(docs, text, n, hot_grams).where(F.size("items") * 100 >= F.col("n") * percent)
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    shared = shared_grams(docs, text, n, hot_grams, total).where(F.size("items") * 100 >= F.col("n") * percent)
     rarest = shared.select("set_key", "n", F.array_sort("items").alias("items"))
     buckets = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter("grams", lambda g: F.shiftrightunsigned(g, 60) == k)).cast("long"))
     sets = materialize(
@@ -303,7 +308,16 @@ def jaccard_classes(
         prefix.alias("x").join(centre.alias("y"), "gram").where("x.set_key <> y.set_key").where(_filters(percent))
         .select(*pair(F.col("x.set_key"), F.col("y.set_key"))).distinct()
     )
-    links = materialize(_verified(star, sets, percent), "links")
+    tried = None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, of those that were not tried before."""
+        nonlocal tried
+        fresh = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = fresh if tried is None else tried.union(fresh)
+        return materialize(_verified(fresh, sets, percent), "links")
+
+    links = linked(star)
     known = components(links)
 
     def parts() -> DataFrame:
@@ -319,7 +333,7 @@ def jaccard_classes(
             placed.alias("x").join(around.alias("y"), "gram").where("x.part <> y.part").where(_filters(percent))
             .select(*pair(F.col("x.set_key"), F.col("y.set_key"))).distinct()
         )
-        more = materialize(_verified(more, sets, percent), "links")
+        more = linked(more)
         if more.isEmpty():
             break
         links = links.union(more)
@@ -333,7 +347,7 @@ def jaccard_classes(
         .where(_filters(percent))
         .select(*pair(F.col("x.set_key"), F.col("y.set_key"))).distinct()
     )
-    more = materialize(_verified(rest, sets, percent), "links")
+    more = linked(rest)
     whole = components(links.union(more))
     return members.join(whole, members.set_key == whole.node, "left").select(
         "doc_id", *carry, "n_shingles", "set_key", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_key")).alias("root")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from biotope.llm import bpe, decontaminate, language_kernel, quality_classifier, toxicity_crf
+from biotope.llm import bpe, decontaminate, jaccard_join, language_kernel, quality_classifier, toxicity_crf
 from biotope.llm.components import components
 from biotope.llm.decontaminate import benchmark_matches, myers, normalized, without_matches
 from biotope.llm.jaccard_join import jaccard_classes, jaccard_components
@@ -210,6 +210,31 @@ def test_labelled_sample_takes_one_text_an_id(spark):
     assert collected(labelled_sample(docs.orderBy(F.rand(1)), labels, "y", 10)) == (texts_, marks)
 
 
+def test_no_pair_is_verified_twice(spark, monkeypatch):
+    """Chains of near copies with a frequent beginning: many rounds of pairs, each pair tried once, and small buckets change nothing."""
+    rng = np.random.default_rng(1)
+    common = [f"c{k}" for k in range(20)]
+    rows = []
+    for k in range(60):
+        words = [*common, *(f"w{k // 6}x{j}" for j in range(40))]
+        for at in rng.integers(20, 60, k % 6):
+            words[at] = f"n{k}y{at}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    verified = jaccard_join._verified
+
+    def watched(pairs, sets, percent):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "_verified", watched)
+    monkeypatch.setattr(jaccard_join, "BUCKET_GRAMS", 10)
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect())
+    assert found == sorted(brute.jaccard_components(rows))
+    assert len(seen) == len(set(seen)) > 0
+
+
 def test_short_items_and_blocks(spark, monkeypatch):
     """Items of 5 to 31 characters are found as whole words and without edits; blocks of items give what one block gives."""
     items = [(1, "Five!"), (2, "a  short item"), (3, "thirty-one characters, no more."), (4, ""), (5, None), (6, "x" * 40), (6, "y" * 40), (7, "short"), (8, "item")]
