@@ -104,9 +104,27 @@ def prefix_sums(block: np.ndarray) -> np.ndarray:
     return out
 
 
+def _hash_long(span: np.ndarray) -> np.ndarray:
+    """Polynomial sum of a span of any length, block by block with a carried power."""
+    up, _ = powers(BLOCK)
+    total, power = np.zeros(1, U), np.ones(1, U)
+    for at in range(0, len(span), BLOCK):
+        block = span[at : at + BLOCK]
+        total += power * prefix_sums(block)[-1:]
+        power *= up[len(block) : len(block) + 1]
+    return total
+
+
 def hash_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span; starts ascend. Equal bytes hash equally wherever they stand."""
     out = np.empty(len(starts), U)
+    long = np.flatnonzero(ends - starts > BLOCK)
+    for k in long:
+        out[k] = mix(_hash_long(buffer[starts[k] : ends[k]]) + (ends[k : k + 1] - starts[k : k + 1]).astype(U) * LENGTH)[0]
+    if len(long):
+        short = np.flatnonzero(ends - starts <= BLOCK)
+        out[short] = hash_spans(buffer, starts[short], ends[short])
+        return out
     i = 0
     while i < len(starts):
         lo = starts[i]
