@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from biotope.session import shared_folder
-from biotope.sources import documents, forecast_files, gridded, tables
+from biotope.sources import documents, forecast_files, gridded, layout, tables
 from biotope.workload.registry import bind
 
 
@@ -209,6 +209,25 @@ def sink_ordered_table(t):
     return t.spark.read.parquet(path).select(*columns[:-1])
 
 
+@bind(
+    "sink_clustered_table",
+    """SELECT time, latitude, longitude, air_temperature_c FROM hourly
+    WHERE time >= (SELECT min(time) + INTERVAL 7 DAY FROM hourly) AND time < (SELECT min(time) + INTERVAL 14 DAY FROM hourly)
+      AND latitude BETWEEN 45.15 AND 45.45 AND longitude < 13.4""",
+    needs="hourly",
+    rounded="latitude longitude air_temperature_c",
+)
+def sink_clustered_table(t):
+    """Hours written along a curve through time and place, then a week of a box read back."""
+    path = shared_folder(t.spark, "clustered_hours")
+    hours = t.once("hourly")
+    layout.write_clustered(hours, path, ["time", "latitude", "longitude"], 16)
+    first = hours.agg(F.min("time")).scalar()
+    week = (F.col("time") >= first + F.expr("INTERVAL 7 DAYS")) & (F.col("time") < first + F.expr("INTERVAL 14 DAYS"))
+    box = F.col("latitude").between(45.15, 45.45) & (F.col("longitude") < 13.4)
+    return t.spark.read.parquet(path).where(week & box).select("time", "latitude", "longitude", "air_temperature_c")
+
+
 @bind(
     "table_profile",
     """SELECT count(*) AS rows, count(DISTINCT site) AS sites, count(DISTINCT week_start) AS periods,
