@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from biotope.session import materialize
 
@@ -63,24 +64,28 @@ def with_slots(rows: DataFrame, shard: str, order: list[str], blocks: int) -> Da
     """Add ``slot``: 0, 1, 2, ... inside each shard in the given order, without a task that holds a shard.
 
     The rows are dealt by ranges of (shard, order) into blocks and written once; a block's rows are
-    numbered from the total of the blocks before it, so only the block counts meet in one place.
+    numbered from the total of the blocks before it, so only the block counts meet in one place. The place in
+    the input comes last in the order, so that rows equal in all of it are dealt to several blocks as well.
     """
-    dealt = materialize(rows.repartitionByRange(blocks, shard, *order).withColumn("_block", F.spark_partition_id()), "slots")
+    order = [*order, "_at"]
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialize(placed.repartitionByRange(blocks, shard, *order).withColumn("_block", F.spark_partition_id()), "slots")
     counts = dealt.groupBy(shard, "_block").agg(F.count("*").alias("_n"))
     before = W.partitionBy(shard).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = W.partitionBy(shard, "_block").orderBy(*order)
     numbered = dealt.withColumn("_row", F.row_number().over(inside))
-    return numbered.join(offsets, [shard, "_block"]).withColumn("slot", F.col("_before") + F.col("_row") - 1).drop("_block", "_row", "_before")
+    return numbered.join(offsets, [shard, "_block"]).withColumn("slot", F.col("_before") + F.col("_row") - 1).drop("_block", "_row", "_before", "_at")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row.
 
     The shard follows from the id and the number of shards alone; equal ids share a shard. A null id
-    counts as 0, a null text as empty (size 1, crc32 0). Slots are gapless from 0; repeated rows take
-    neighbouring slots. Extra columns are ignored; an empty table gives an empty table.
+    counts as 0, a null text as empty (size 1, crc32 0). An id that is no number counts by its 64-bit hash. Slots are
+    gapless from 0; repeated rows take neighbouring slots. Extra columns are ignored; an empty table gives an empty table.
     """
+    key = F.col(id_column) if isinstance(docs.schema[id_column].dataType, NumericType) else F.when(F.col(id_column).isNotNull(), F.xxhash64(id_column))
     blocks = blocks or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -88,8 +93,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_column: str = "doc_id"
         (F.octet_length(body) + F.lit(1)).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        jump_shard(F.col(id_column), shards).alias("shard"),
-        jump_shard(F.col(id_column), shards + 1).alias("grown_shard"),
+        jump_shard(key, shards).alias("shard"),
+        jump_shard(key, shards + 1).alias("grown_shard"),
     )
     return with_slots(rows, "shard", ["doc_id", "text_crc32", "size"], blocks).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"

@@ -18,7 +18,7 @@ from biotope.llm.jaccard_join import jaccard_classes, jaccard_components
 from biotope.llm.line_dedup import remove_spread_lines
 from biotope.llm.quality_rules import References, Rules, distances, fit_references, judge, keep_good
 from biotope.llm.sampling import collected, fold, labelled_sample
-from biotope.llm.sharding import jump_shard, shard_documents
+from biotope.llm.sharding import jump_shard, shard_documents, with_slots
 from biotope.llm.suffix_dedup import dedup_windows, merged
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept int, _key string, slot int, root int, ids int"
@@ -235,6 +235,21 @@ def test_no_pair_is_verified_twice(spark, monkeypatch):
     assert len(seen) == len(set(seen)) > 0
 
 
+def test_shards_of_repeated_rows_and_text_ids(spark):
+    """One row repeated 4,000 times is dealt to several blocks and has gapless slots; text ids keep to a shard."""
+    same_row = spark.range(4000).select(F.lit(7).alias("doc_id"), F.lit("again").alias("text"))
+    found = shard_documents(same_row, blocks=4)
+    assert sorted(r.slot for r in found.collect()) == list(range(4000)) and found.select("shard").distinct().count() == 1
+    numbered = with_slots(same_row.withColumn("shard", F.lit(1)), "shard", ["doc_id"], 4)
+    assert sorted(r.slot for r in numbered.collect()) == list(range(4000))
+    assert set(numbered.columns) == {"doc_id", "text", "shard", "slot"}
+    named = spark.createDataFrame([(f"id-{k % 50}", "x") for k in range(200)] + [(None, "y")], "doc_id string, text string")
+    by_id = {}
+    for r in shard_documents(named).collect():
+        assert by_id.setdefault(r.doc_id, (r.shard, r.grown_shard)) == (r.shard, r.grown_shard) and r.grown_shard in (r.shard, 16)
+    assert len({s for s, _ in by_id.values()}) > 5 and by_id[None][0] == brute.jump(0, 16)
+
+
 def test_short_items_and_blocks(spark, monkeypatch):
     """Items of 5 to 31 characters are found as whole words and without edits; blocks of items give what one block gives."""
     items = [(1, "Five!"), (2, "a  short item"), (3, "thirty-one characters, no more."), (4, ""), (5, None), (6, "x" * 40), (6, "y" * 40), (7, "short"), (8, "item")]
