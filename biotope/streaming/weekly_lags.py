@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from biotope.session import ship_package
+
 LATENESS = "14 days"
 DAY_MS = 86_400_000
 #: Days without a new week after which a site's ring is given up.
@@ -38,6 +40,7 @@ def weekly_lags(
     arrive together the smaller value comes first. A week behind the watermark is left out (``streaming.late`` keeps
     such rows where the days are made). State is the last ``max(width, lags)`` weeks and the waiting ones.
     """
+    ship_package(weeks.sparkSession)
     kinds = dict(weeks.dtypes)
     names = [f"lag_{k}" for k in lags]
     out = ", ".join([f"{site} {kinds[site]}", f"{week} date", f"{value} double", *[f"{n} double" for n in names], "prev_sum double", "repeated boolean"])
