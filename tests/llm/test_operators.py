@@ -139,6 +139,17 @@ def test_repeated_windows_of_small_size(spark):
     assert merged([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
 
 
+def test_repeated_windows_beside_long_texts(spark):
+    # the hashes of "Dv=2" and "hIul" agree in the first 44 bits and differ in the rest
+    rng = random.Random(8)
+    fill = "".join(chr(rng.randrange(48, 123)) for _ in range(530_000))
+    texts = ["Dv=2hIul", fill + "Dv=2hIul", "fF^[1<50"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2, "doc_id")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup_windows(df, window=8, anchor=4).collect()}
+    assert found == dict(enumerate(brute.window_dedup(texts, 8)))
+    assert [found[k][1] for k in range(3)] == [8, 8, 0]
+
+
 def test_spread_lines(docs, rows, empty):
     for sites in (2, 3):
         wanted = brute.spread_lines([(r[0], r[1], r[3]) for r in rows], sites)
